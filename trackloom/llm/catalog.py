@@ -15,9 +15,37 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import bpe
+
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {
+        "op1_source_mix": op1_source_mix,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op8_bpe": op8_bpe,
+        "op10_language": op10_language,
     }
     if find_spec("corpus_pipeline") is not None:
         import corpus_pipeline
