@@ -122,3 +122,34 @@ def _mark(edges: DataFrame) -> tuple:
         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
     ).first()
     return row["n"], row["h"]
+
+
+def row_keys(id_col: str, text):
+    """Two hashes that tell rows apart by id and text; never null."""
+    ident = F.col(id_col).cast("string")
+    return F.xxhash64(ident, text).alias("k1"), F.xxhash64(F.lit(1), text, ident, F.lit(2)).alias("k2")
+
+
+def let(value, body):
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def numbered(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """df with `no`, its rows' places 0, 1, ... in ascending order of keys (nulls first), and their number.
+
+    A range partitioning sorts; the offsets of the partitions, one row for
+    each, are all that is summed in one place.
+    """
+    spark = df.sparkSession
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(starts, "_p long, _start long")
+    rows = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return rows.withColumn("no", F.col("_start") + low).drop("_p", "_at", "_start"), total
