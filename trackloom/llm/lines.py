@@ -1,7 +1,8 @@
 """Fuzzy line dedup with built-in functions.
 
 Lines are normalised (trimmed, lower case); equal ones are one node. A node's
-SimHash is the bitwise majority of its words' hashes, counted in lanes: bits k,
+SimHash is the bitwise majority of its distinct words' hashes (a separator
+repeated through a table's line would outvote all else), counted in lanes: bits k,
 k + 16, k + 32 and k + 48 of a hash are four 16-bit lanes of one long, so that 16
 sums count all 64 bits of up to 65,535 words; longer lines are counted in parts.
 
@@ -49,7 +50,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     lines = lines.select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
     lines = lines.select("id", "k1", "k2", "pos", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("len"))
     keys = ["id", "k1", "k2", "pos", "h1", "h2", "len"]
-    words = lines.select(*keys, F.posexplode(F.split("norm", r"[\x20\x09-\x0D]+")).alias("at", "word"))
+    words = lines.select(*keys, F.posexplode(F.array_distinct(F.split("norm", r"[\x20\x09-\x0D]+"))).alias("at", "word"))
     words = words.select(*keys, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
     lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE))
     sums = words.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
@@ -71,16 +72,18 @@ def _majority(count, n: Column) -> Column:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, lid, sim): each node under every pair of blocks; the key holds the pair's number and both blocks."""
+    """(key, lid, sim, len): each node under every pair of blocks; the key holds the pair's number and both blocks."""
     ends = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
     block = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
     keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    return nodes.select("lid", "sim", F.explode(F.array(*keys)).alias("key")).select(F.col("key").cast("int"), "lid", "sim")
+    return nodes.select("lid", "sim", "len", F.explode(F.array(*keys)).alias("key")).select(F.col("key").cast("int"), "lid", "sim", "len")
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+def _near(a: str, b: str, least: float) -> Column:
+    """Whether nodes a and b can be linked: few differing bits, and lengths that allow the similarity."""
+    la, lb = F.col(f"{a}len"), F.col(f"{b}len")
+    return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= BITS) & (F.least(la, lb) >= F.ceil(F.greatest(la, lb) * least - 1e-9))
 
 
 def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
@@ -101,10 +104,7 @@ def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float) -> DataFrame:
     """pairs(a, b) with `ok`: whether their lines are similar. Fetches the texts of these lines only."""
-    size = nodes.select("lid", "len")
-    fit = pairs.join(size.select(F.col("lid").alias("a"), F.col("len").alias("la")), "a").join(size.select(F.col("lid").alias("b"), F.col("len").alias("lb")), "b")
-    fit = cut(fit.withColumn("fits", F.least("la", "lb") >= F.ceil(F.greatest("la", "lb") * least - 1e-9)).select("a", "b", "fits"))
-    wanted = fit.where("fits").select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(nodes.select("lid", "keep"), "lid")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(nodes.select("lid", "keep"), "lid")
     wanted = cut(wanted.select("lid", "keep.k1", "keep.k2", "keep.pos"))
     # At most 2**20 rows: the documents that can hold a wanted line, by 20 bits of their key.
     some = wanted.select(F.shiftrightunsigned("k1", 44).alias("_b")).distinct()
@@ -114,28 +114,27 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
     texts = rows.join(wanted, ["k1", "k2"]).select("lid", normal(F.expr("element_at(split(_t, '\\n'), pos + 1)")).alias("norm"))
     texts = cut(texts.groupBy("lid").agg(F.first("norm").alias("norm")))
     one, two = texts.select(F.col("lid").alias("a"), F.col("norm").alias("na")), texts.select(F.col("lid").alias("b"), F.col("norm").alias("nb"))
-    told = fit.where("fits").join(one, "a").join(two, "b").select("a", "b", edit_similar(F.col("na"), F.col("nb"), least).alias("ok"))
-    out = cut(told.unionByName(fit.where("not fits").select("a", "b", F.lit(False).alias("ok"))))
-    for done in (fit, wanted, texts):
-        drop_scratch(done)
+    out = cut(pairs.join(one, "a").join(two, "b").select("a", "b", edit_similar(F.col("na"), F.col("nb"), least).alias("ok")))
+    drop_scratch(wanted)
+    drop_scratch(texts)
     return out
 
 
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between nodes(lid, sim, len, keep) that make the connected groups."""
     buckets = _buckets(nodes)
-    pick = F.min(F.struct(F.xxhash64("lid", "key").alias("r"), "lid", "sim")).alias("rep")
-    shared = buckets.groupBy("key").agg(pick, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("rep.lid").alias("rep"), F.col("rep.sim").alias("rep_sim"))
-    members = cut(buckets.join(shared, "key").select("key", "lid", "sim", "rep", _near("sim", "rep_sim").alias("near")))
+    pick = F.min(F.struct(F.xxhash64("lid", "key").alias("r"), "lid", "sim", "len")).alias("rep")
+    shared = buckets.groupBy("key").agg(pick, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("rep.lid").alias("rep"), F.col("rep.sim").alias("rep_sim"), F.col("rep.len").alias("rep_len"))
+    members = cut(buckets.join(shared, "key").where("lid <> rep").select("key", "lid", "sim", "len", "rep", _near("", "rep_", least).alias("near")))
     release(nodes.sparkSession)
-    star = members.where("near and lid <> rep").select(F.least("rep", "lid").alias("a"), F.greatest("rep", "lid").alias("b")).distinct()
+    pair = [F.least("rep", "lid").alias("a"), F.greatest("rep", "lid").alias("b")]
+    star = cut(members.where("near").select(*pair).distinct())
     first = _verified(star, nodes, docs, text, id_col, least)
-    failed = first.where("not ok").select("a", "b")
-    bad = members.where("near and lid <> rep").withColumn("a", F.least("rep", "lid")).withColumn("b", F.greatest("rep", "lid")).join(failed, ["a", "b"], "left_semi").select("key", "lid", "sim", "rep")
-    left = members.where("not near").select("key", "lid", "sim", "rep").unionByName(bad)
-    others = members.select("key", F.col("lid").alias("lid2"), F.col("sim").alias("sim2"))
-    met = left.join(others, "key").where((F.col("lid") != F.col("lid2")) & (F.col("lid2") != F.col("rep")) & _near("sim", "sim2"))
-    rest = met.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    bad = members.where("near").select("key", "lid", "sim", "len", *pair).join(first.where("not ok").select("a", "b"), ["a", "b"], "left_semi")
+    left = members.where("not near").select("key", "lid", "sim", "len").unionByName(bad.select("key", "lid", "sim", "len"))
+    others = members.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "sim", "len")))
+    met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least))
+    rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(cut(rest), nodes, docs, text, id_col, least)
     drop_scratch(members)
     return first.unionByName(second).where("ok").select("a", "b")
