@@ -35,14 +35,17 @@ from trackloom.llm.common import arrow_batch_rows, text_or_empty
 END = "</w>"
 #: Unicode White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What str.split() cuts at besides.
+CONTROLS = "\x1c\x1d\x1e\x1f"
 #: How the vocabulary cuts a lower-case text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Pieces, and words, that a worker remembers before it starts afresh; about 200 bytes each.
+REMEMBERED, REMEMBERED_WORDS = 1_200_000, 800_000
+#: Letters up to which a word is merged by scanning for the least rank, not with a heap.
+SHORT = 40
 
 _white = re.compile(f"[{re.escape(WHITE)}]+")
 _odd = re.compile("[ɐ-\U0010ffff]")
-_controls = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -123,8 +126,27 @@ class Merges:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging with a heap; word in byte letters, not empty."""
+        """Exact merging; word in byte letters, not empty."""
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
+        return self._scan(ids) if len(ids) <= SHORT else self._heap(ids)
+
+    def _scan(self, ids: list[int]) -> list[int]:
+        table, none = self._pairs(), (1 << 60, -1)
+        found = [table.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best[1] < 0:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            found[i : i + 1] = []
+            if i:
+                found[i - 1] = table.get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = table.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         table = self._pairs()
@@ -176,7 +198,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self._words = regex.compile(WORDS)
         self._added = re.compile("|".join(map(re.escape, self.merges.added)) or r"(?!)")
-        self._known_words: dict[str, list[int]] = {}
+        self._known_words: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -185,13 +207,15 @@ class Encoder:
         self._start, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _pieces(self, text: str) -> list[str]:
-        """Between white space; around added tokens also where there is none."""
-        if _controls.search(text):
+        """Between white space. Lower case at once where that is the same for each letter alone."""
+        if (text.isascii() or not _odd.search(text)) and not self._added.search(text):
+            text = text.lower()
+        if any(c in text for c in CONTROLS):
             return [p for p in _white.split(text) if p]
         return text.split()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self._known_words) > REMEMBERED:
+        if len(self._known_words) > REMEMBERED_WORDS:
             self._known_words = {}
         known, letters = self._known_words, self.merges.letters
         plain = [p for p in pieces if not _odd.search(p) and not self._added.search(p)]
@@ -199,20 +223,24 @@ class Encoder:
         missing = list({w for c in cuts for w in c if w not in known})
         if missing:
             found = self.merges.words(["".join([letters[b] for b in w.encode()]) for w in missing])
-            known.update(zip(missing, found, strict=True))
-        made = {p: [i for w in c for i in known[w]] for p, c in zip(plain, cuts, strict=True)}
-        odd = [p for p in pieces if p not in made]
-        for p, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
-            made[p] = e.ids
-        for p, ids in made.items():
-            k, n = len(self._at), len(ids)
-            if k == len(self._start):
-                self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
-            while self._used + n > len(self._pool):
-                self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-            self._at[p], self._start[k], self._size[k] = k, self._used, n
-            self._pool[self._used : self._used + n] = ids
-            self._used += n
+            known.update(zip(missing, (np.array(x, "<i4").tobytes() for x in found), strict=True))
+        packed = [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cuts]
+        if len(plain) < len(pieces):
+            rest = set(plain)
+            odd = [p for p in pieces if p not in rest]
+            packed += [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch(odd, add_special_tokens=False)]
+            plain += odd
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, k = np.frombuffer(b"".join(packed), "<i4"), len(self._at)
+        while k + len(plain) > len(self._start):
+            self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
+        while self._used + len(ids) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        self._at.update(zip(plain, range(k, k + len(plain)), strict=True))
+        self._start[k : k + len(plain)] = self._used + np.cumsum(sizes) - sizes
+        self._size[k : k + len(plain)] = sizes
+        self._pool[self._used : self._used + len(ids)] = ids
+        self._used += len(ids)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and each text's number of ids."""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from importlib.util import find_spec
-
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from trackloom.llm.common import table
 
 
@@ -74,7 +73,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {
+    return {
         "op1_source_mix": op1_source_mix,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_fingerprints": op3_fingerprints,
@@ -85,13 +84,10 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
     }
-    if find_spec("corpus_pipeline") is not None:
-        import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
-    return found
 
 
 def oracles() -> dict[str, str]:
+    """SQL where it can express an operator; the others are tested against brute force in tests/llm."""
     return {}

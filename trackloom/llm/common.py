@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator may broadcast after counting it.
@@ -93,7 +93,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = _mark(now)
     if mark[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return _rooted(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -112,10 +112,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop_scratch(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return _rooted(now)
     raise RuntimeError("components did not settle")
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    """(node, root) of each end of stars(u, v), roots included."""
+    named = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -141,15 +147,11 @@ def numbered(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     A range partitioning sorts; the offsets of the partitions, one row for
     each, are all that is summed in one place.
     """
-    spark = df.sparkSession
     rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
     part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(starts, "_p long, _start long")
-    rows = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    return rows.withColumn("no", F.col("_start") + low).drop("_p", "_at", "_start"), total
+    counts = rows.groupBy(part.alias("_p")).count()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    out = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return out.withColumn("no", F.col("_start") + low).drop("_p", "_at", "_start"), rows.count()

@@ -2,15 +2,19 @@
 
 Lines are normalised (trimmed, lower case); equal ones are one node. A node's
 SimHash is the bitwise majority of its distinct words' hashes (a separator
-repeated through a table's line would outvote all else), counted in lanes: bits k,
-k + 16, k + 32 and k + 48 of a hash are four 16-bit lanes of one long, so that 16
-sums count all 64 bits of up to 65,535 words; longer lines are counted in parts.
-
-Two nodes are linked if their SimHashes differ in at most 3 bits and their edit
-similarity is 0.8 or more. The 64 bits are cut into 5 blocks; linked nodes agree
-on at least two of them, so nodes meet under each of the 10 pairs of blocks. In
-such a bucket all are compared with one representative; those not linked to it
-are compared with the whole bucket. Two nodes that are both linked to the
+repeated through a table's line would outvote all else), counted in lanes: bits
+k, k + 16, k + 32 and k + 48 of a hash are four 16-bit lanes of one long, so that
+16 sums count all 64 bits; very long lines are counted in parts.
+
+The 64 bits are cut into 5 blocks, and nodes meet in a bucket for each pair of
+blocks on which they agree; all nodes whose SimHashes differ in at most 3 bits
+meet in some bucket. Two nodes that meet are linked if their SimHashes differ
+in at most 10 bits and their edit similarity is 0.8 or more: one less the edit
+distance in words over the longer line's words. For the distance each word is a
+letter, one of LETTERS by its hash.
+
+In a bucket all are compared with one representative; those not linked to it are
+compared with the whole bucket. Two nodes that are both linked to the
 representative need no comparison: they are in its group anyhow. The groups are
 therefore exactly the connected ones, while a bucket of many like lines costs
 its size, not the square of it.
@@ -26,10 +30,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, cut, drop_scratch, release, row_keys, text_or_empty
+from trackloom.llm.common import components, cut, drop_scratch, maybe_broadcast, release, row_keys, text_or_empty
 
-SIMILARITY, BITS, BLOCKS = 0.8, 3, 5
-LANES, PART = 16, 32_768
+SIMILARITY, BITS, BLOCKS = 0.8, 10, 5
+#: Lanes of a sum; words of a part; letters in a line from which it may have more words than a part.
+LANES, PART, LONG = 16, 32_767, 65_534
+#: Letters that stand for words in edit distances, from U+0100 on; below the surrogates.
+LETTERS = 55_000
 _LANE = 0x0001000100010001
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -38,54 +45,80 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_WHITE)))
 
 
+def words(norm: Column) -> Column:
+    """Words of a normalised line. Single spaces, by far the usual case, need no pattern."""
+    plain = reduce(lambda a, b: a & b, (~norm.contains(c) for c in ("  ", "\t", "\x0b", "\x0c", "\r")))
+    return F.when(plain, F.split(norm, " ")).otherwise(F.split(norm, r"[\x20\x09-\x0D]+"))
+
+
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, len, sim): every line that is not blank, with its SimHash.
+    """(id, k1, k2, pos, h1, h2, size, sim): every line that is not blank, its number of words and its SimHash.
 
     Words are counted before rows are dealt out, so what moves is one row of
     counts for each line.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t"))
-    rows = rows.select("id", *row_keys("id", F.col("t")), "t")
-    lines = rows.select("id", "k1", "k2", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    lines = lines.select("id", "k1", "k2", "pos", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("len"))
-    keys = ["id", "k1", "k2", "pos", "h1", "h2", "len"]
-    words = lines.select(*keys, F.posexplode(F.array_distinct(F.split("norm", r"[\x20\x09-\x0D]+"))).alias("at", "word"))
-    words = words.select(*keys, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
+    short = _sums(rows, F.length("norm") < LONG).select(*_KEYS, _majority(F.col("n")).alias("sim"))
+    # A longer line may have several parts; its counts are added bit by bit.
+    long = _sums(rows.where(F.length("t") >= LONG), F.length("norm") >= LONG)
+    long = long.groupBy(*_KEYS).agg(F.sum("n").alias("n"), *(F.sum(_count(b)).alias(f"c{b}") for b in range(64)))
+    bits = (F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64))
+    return short.unionByName(long.select(*_KEYS, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim")))
+
+
+_KEYS = ["id", "k1", "k2", "pos", "h1", "h2", "size"]
+
+
+def _sums(rows: DataFrame, some: Column) -> DataFrame:
+    """(keys, part, n, s0..s15): words and lane sums of the lines for which `some` holds."""
+    lines = rows.select("id", *row_keys("id", F.col("t")), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    lines = lines.select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm")).where((F.col("norm") != "") & some)
+    lines = lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words(F.col("norm")).alias("words"))
+    each = lines.select(*_KEYS[:-1], F.size("words").alias("size"), F.posexplode(F.array_distinct("words")).alias("at", "word"))
+    each = each.select(*_KEYS, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
     lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE))
-    sums = words.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
-    # A line over PART words has several parts; its counts are added bit by bit.
-    more = F.col("len") >= PART
-    short = sums.where(~more).select(*keys, _majority(lambda b: _count(f"s{b % LANES}", b), F.col("n")).alias("sim"))
-    long = sums.where(more).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(_count(f"s{b % LANES}", b)).alias(f"c{b}") for b in range(64)))
-    return short.unionByName(long.select(*keys, _majority(lambda b: F.col(f"c{b}"), F.col("n")).alias("sim")))
+    return each.groupBy(*_KEYS, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
 
 
-def _count(column: str, bit: int) -> Column:
-    return F.shiftrightunsigned(column, bit // LANES * 16).bitwiseAND(F.lit(0xFFFF))
+def _count(bit: int) -> Column:
+    return F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * 16).bitwiseAND(F.lit(0xFFFF))
 
 
-def _majority(count, n: Column) -> Column:
-    """The 64 bits whose counts are over half of n; as a sum of four groups, to keep expressions short."""
-    bits = [F.when(count(b) * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _majority(n: Column) -> Column:
+    """Bits whose counts are over half of n: 2**15 less the least majority is added to each count, whose bit 15 then tells.
+
+    Lanes are taken two at a time, 32 bits apart, so that no sum reaches the sign.
+    """
+    two, carry = 0x0000000100000001, F.lit(1 << 15) - F.floor(n / 2) - 1
+
+    def told(counts: Column) -> Column:
+        return F.shiftrightunsigned(counts.bitwiseAND(F.lit(0xFFFF * two)) + carry * F.lit(two), 15).bitwiseAND(F.lit(two))
+
+    lanes = [told(F.col(f"s{k}")).bitwiseOR(F.shiftleft(told(F.shiftrightunsigned(f"s{k}", 16)), 16)) for k in range(LANES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(x, k) for k, x in enumerate(lanes)))
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, lid, sim, len): each node under every pair of blocks; the key holds the pair's number and both blocks."""
+    """(key, lid): each node under every pair of blocks; the key holds the pair's number and both blocks."""
     ends = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
     block = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
     keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    return nodes.select("lid", "sim", "len", F.explode(F.array(*keys)).alias("key")).select(F.col("key").cast("int"), "lid", "sim", "len")
+    return nodes.select("lid", F.explode(F.array(*keys)).alias("key")).select(F.col("key").cast("int"), "lid")
 
 
 def _near(a: str, b: str, least: float) -> Column:
     """Whether nodes a and b can be linked: few differing bits, and lengths that allow the similarity."""
-    la, lb = F.col(f"{a}len"), F.col(f"{b}len")
+    la, lb = F.col(f"{a}size"), F.col(f"{b}size")
     return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= BITS) & (F.least(la, lb) >= F.ceil(F.greatest(la, lb) * least - 1e-9))
 
 
+def letters(norm: Column) -> Column:
+    """A letter for each word of a normalised line."""
+    code = F.transform(words(norm), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(LETTERS)) + 256), 4, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
 def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     """Whether edit similarity, 1 - distance / longer length, is at least `least`.
 
@@ -111,9 +144,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"))
     rows = rows.select(*row_keys("_id", F.col("_t")), "_t")
     rows = rows.join(F.broadcast(some), F.shiftrightunsigned("k1", 44) == F.col("_b"), "left_semi")
-    texts = rows.join(wanted, ["k1", "k2"]).select("lid", normal(F.expr("element_at(split(_t, '\\n'), pos + 1)")).alias("norm"))
-    texts = cut(texts.groupBy("lid").agg(F.first("norm").alias("norm")))
-    one, two = texts.select(F.col("lid").alias("a"), F.col("norm").alias("na")), texts.select(F.col("lid").alias("b"), F.col("norm").alias("nb"))
+    found = rows.join(wanted, ["k1", "k2"]).select("lid", normal(F.expr("element_at(split(_t, '\\n'), pos + 1)")).alias("norm"))
+    found = found.select("lid", letters(F.col("norm")).alias("letters"))
+    texts = cut(found.groupBy("lid").agg(F.first("letters").alias("letters")))
+    one, two = texts.select(F.col("lid").alias("a"), F.col("letters").alias("na")), texts.select(F.col("lid").alias("b"), F.col("letters").alias("nb"))
     out = cut(pairs.join(one, "a").join(two, "b").select("a", "b", edit_similar(F.col("na"), F.col("nb"), least).alias("ok")))
     drop_scratch(wanted)
     drop_scratch(texts)
@@ -121,18 +155,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between nodes(lid, sim, len, keep) that make the connected groups."""
+    """Edges (a, b) between nodes(lid, sim, size, keep) that make the connected groups."""
     buckets = _buckets(nodes)
-    pick = F.min(F.struct(F.xxhash64("lid", "key").alias("r"), "lid", "sim", "len")).alias("rep")
-    shared = buckets.groupBy("key").agg(pick, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("rep.lid").alias("rep"), F.col("rep.sim").alias("rep_sim"), F.col("rep.len").alias("rep_len"))
-    members = cut(buckets.join(shared, "key").where("lid <> rep").select("key", "lid", "sim", "len", "rep", _near("", "rep_", least).alias("near")))
+    shared = buckets.groupBy("key").agg(F.min("lid").alias("rep"), F.max("lid").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.where("n > 1"))
+    release(nodes.sparkSession)
+    # Two in a bucket are its least and its greatest; only larger buckets are looked up again.
+    larger = maybe_broadcast(shared.where("n > 2").select("key", "rep"))
+    both = shared.where("n = 2").select("key", "rep", F.col("last").alias("lid"))
+    more = buckets.join(larger, "key").where("lid <> rep").select("key", "rep", "lid")
+    members = both.unionByName(more)
+    known = nodes.select("lid", "sim", "size")
+    reps = known.select(F.col("lid").alias("rep"), F.col("sim").alias("rep_sim"), F.col("size").alias("rep_size"))
+    members = members.join(known, "lid").join(reps, "rep")
+    members = cut(members.select("key", "rep", "lid", "sim", "size", _near("", "rep_", least).alias("near")))
+    drop_scratch(shared)
     release(nodes.sparkSession)
     pair = [F.least("rep", "lid").alias("a"), F.greatest("rep", "lid").alias("b")]
     star = cut(members.where("near").select(*pair).distinct())
     first = _verified(star, nodes, docs, text, id_col, least)
-    bad = members.where("near").select("key", "lid", "sim", "len", *pair).join(first.where("not ok").select("a", "b"), ["a", "b"], "left_semi")
-    left = members.where("not near").select("key", "lid", "sim", "len").unionByName(bad.select("key", "lid", "sim", "len"))
-    others = members.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "sim", "len")))
+    bad = members.where("near").select("key", "lid", "sim", "size", *pair).join(first.where("not ok").select("a", "b"), ["a", "b"], "left_semi")
+    left = members.where("not near").select("key", "lid", "sim", "size").unionByName(bad.select("key", "lid", "sim", "size"))
+    others = members.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "sim", "size")))
     met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least))
     rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(cut(rest), nodes, docs, text, id_col, least)
@@ -146,7 +190,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     found = cut(occurrences(docs, id_col, text))
     release(spark)
     place = F.struct("id", "k1", "k2", "pos")
-    nodes = found.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.min(place).alias("keep"), F.count(F.lit(1)).alias("n"))
+    nodes = found.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.min(place).alias("keep"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.withColumn("lid", F.monotonically_increasing_id()))
     release(spark)
     groups = components(line_links(nodes, docs, text, id_col, least))

@@ -1,17 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Targets: sources share all words by weight, each up to max_copies times its own
-words, the excess shared again by weight. A source's target is spread over its
-documents as expected copies; a document above one copy gets its whole copies
-for certain, and the fraction is its inclusion probability p. For the fraction
-each document draws u from a hash of its id, and documents are ranked by
+words, the excess shared again by weight. Every document gets as many whole
+copies for certain as the target holds its source's words. The rest of the
+target is spread over the documents as inclusion probabilities p of one copy
+more; those that reach 1 are certain too. For the others each document draws u
+from a hash of its id, and documents are ranked by
 (u / (1 - u)) / (p / (1 - p)): Pareto order sampling of a sample whose size is
 fixed in words. The sample is the longest prefix of that order that does not
 exceed the words still due; what remains due, less than the next document, is
 filled by further prefixes of the documents that still fit.
 
-Expected copies fall slowly with a document's length (weight size ** -damping),
-so that a few giants don't make up a source's sample.
+Inclusion falls slowly with a document's length (weight size ** -damping), so
+that a few giants don't make up a source's sample.
 
 The cut in a source's order is found from histograms: words by bucket of the
 rank, then by finer bucket within the bucket that holds the cut, then row by
@@ -146,13 +147,15 @@ def plan(
     sources = cut(sources.select("no", "source", "source_size", F.col("filled").alias("target")))
 
     known = classes.withColumnRenamed("source", "_s").join(maybe_broadcast(sources), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-    known = known.withColumn("cap", F.col("words") * max_copies)
-    known = known.withColumn("weight", F.col("words") * F.pow(F.lit(2.0), -F.lit(damping) * F.col("class") / 2))
-    known = water_fill(known, ["no"], "cap", "weight", "target")
-    copies = F.least(F.col("filled") / F.col("words"), F.lit(float(max_copies)))
-    near = F.when(F.abs(copies - F.round(copies)) < 1e-9, F.round(copies)).otherwise(copies)
-    known = known.withColumn("copies", near).withColumn("whole", F.floor("copies").cast("int"))
-    known = cut(known.withColumn("p", F.col("copies") - F.col("whole")).select("no", "source", "class", "words", "source_size", "target", "whole", "p"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
+    near = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
+    known = known.withColumn("sure", F.floor(near)).withColumn("rest", (near - F.col("sure")) * F.col("source_size"))
+    known = known.withColumn("cap", F.col("words")).withColumn("weight", F.col("words") * F.pow(F.lit(2.0), -F.lit(damping) * F.col("class") / 2))
+    known = water_fill(known, ["no"], "cap", "weight", "rest")
+    p = F.col("filled") / F.col("words")
+    known = known.withColumn("more", F.when(p > 1 - 1e-9, 1.0).when(p < 1e-9, 0.0).otherwise(p))
+    known = known.withColumn("whole", (F.col("sure") + F.floor("more")).cast("int")).withColumn("p", F.col("more") - F.floor("more"))
+    known = cut(known.select("no", "source", "class", "words", "source_size", "target", "whole", "p"))
 
     rows = used.withColumnRenamed("source", "_s").withColumnRenamed("class", "_c")
     rows = rows.join(maybe_broadcast(known.where("p > 0")), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_c") == F.col("class")))

@@ -29,7 +29,7 @@ from trackloom.llm.common import arrow_batch_rows, text_or_empty
 #: Bound of the labelled sample, features chosen for a category, folds.
 SAMPLE, FEATURES, FOLDS = 12_000, 3000, 5
 PLACES, REMEMBERED = 1 << 22, 300_000
-L2, STEPS = 2e-4, 200
+L2, STEPS = 2e-4, 80
 THRESHOLD = 0.5
 #: Categories in the order of the chain, as conditions on the labels.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 and quality = 0"}
@@ -122,7 +122,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.nda
 
 
 def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features: dict[int, int], folds: int = FOLDS) -> tuple[Model, np.ndarray]:
-    """The chain fitted on feature sets and labels (a column for each category), and its out-of-fold probabilities."""
+    """The chain fitted on feature sets and labels (a column for each category), and the out-of-fold probabilities of all but the last category."""
     n, c_all, n_features = len(sets), len(names), len(features)
     model = Model(names, features, np.zeros((c_all, n_features)), np.zeros((c_all, c_all)), np.full(c_all, -40.0))
     apart = np.zeros((n, c_all))
@@ -133,7 +133,8 @@ def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features:
     for c in range(c_all):
         dense = apart[:, :c]
         model.weights[c], model.chain[c, :c], model.bias[c] = logistic(rows, columns, dense, y[:, c], n_features)
-        for f in range(folds if n >= folds else 0):
+        last = c == c_all - 1  # no later model needs its out-of-fold probabilities
+        for f in range(folds if n >= folds and not last else 0):
             own, other = fold == f, fold != f
             inside = other[rows]
             to = np.cumsum(other) - 1
