@@ -1 +1 @@
-
+"""Structured Streaming: windows and jobs."""
