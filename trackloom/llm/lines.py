@@ -7,8 +7,8 @@ k, k + 16, k + 32 and k + 48 of a hash are four 16-bit lanes of one long, so tha
 16 sums count all 64 bits; very long lines are counted in parts.
 
 The 64 bits are cut into 5 blocks, and nodes meet in a bucket for each pair of
-blocks on which they agree; all nodes whose SimHashes differ in at most 3 bits
-meet in some bucket. Two nodes that meet are linked if their SimHashes differ
+blocks on which they agree, apart from nodes whose numbers of words rule out the
+similarity; all others whose SimHashes differ in at most 3 bits meet in some bucket. Two nodes that meet are linked if their SimHashes differ
 in at most 10 bits and their edit similarity is 0.8 or more: one less the edit
 distance in words over the longer line's words. For the distance each word is a
 letter, one of LETTERS by its hash.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import components, cut, drop_scratch, maybe_broadcast, release, row_keys, text_or_empty
 
 SIMILARITY, BITS, BLOCKS = 0.8, 10, 5
-#: Lanes of a sum; words of a part; letters in a line from which it may have more words than a part.
-LANES, PART, LONG = 16, 32_767, 65_534
+#: Lanes of a sum, words of a part.
+LANES, PART = 16, 32_767
 #: Letters that stand for words in edit distances, from U+0100 on; below the surrogates.
 LETTERS = 55_000
 _LANE = 0x0001000100010001
@@ -55,29 +55,28 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, k1, k2, pos, h1, h2, size, sim): every line that is not blank, its number of words and its SimHash.
 
     Words are counted before rows are dealt out, so what moves is one row of
-    counts for each line.
+    counts for each line and part. A line of several parts is kept with its
+    counts, which are then added bit by bit.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t"))
-    short = _sums(rows, F.length("norm") < LONG).select(*_KEYS, _majority(F.col("n")).alias("sim"))
-    # A longer line may have several parts; its counts are added bit by bit.
-    long = _sums(rows.where(F.length("t") >= LONG), F.length("norm") >= LONG)
-    long = long.groupBy(*_KEYS).agg(F.sum("n").alias("n"), *(F.sum(_count(b)).alias(f"c{b}") for b in range(64)))
-    bits = (F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64))
-    return short.unionByName(long.select(*_KEYS, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim")))
-
-
-_KEYS = ["id", "k1", "k2", "pos", "h1", "h2", "size"]
-
-
-def _sums(rows: DataFrame, some: Column) -> DataFrame:
-    """(keys, part, n, s0..s15): words and lane sums of the lines for which `some` holds."""
     lines = rows.select("id", *row_keys("id", F.col("t")), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm")).where((F.col("norm") != "") & some)
+    lines = lines.where(F.btrim("line", F.lit(_WHITE)) != "").select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm"))
     lines = lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words(F.col("norm")).alias("words"))
     each = lines.select(*_KEYS[:-1], F.size("words").alias("size"), F.posexplode(F.array_distinct("words")).alias("at", "word"))
     each = each.select(*_KEYS, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
     lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE))
-    return each.groupBy(*_KEYS, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
+    sums = each.groupBy(*_KEYS, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
+    one = F.col("size") <= PART
+    counts = F.when(~one, F.array(*(f"s{k}" for k in range(LANES))))
+    found = cut(sums.select(*_KEYS, "n", F.when(one, _majority(F.col("n"))).alias("sim"), counts.alias("counts")))
+    long = found.where(~one).select(*_KEYS, "n", *(F.col("counts")[k].alias(f"s{k}") for k in range(LANES)))
+    long = long.groupBy(*_KEYS).agg(F.sum("n").alias("n"), *(F.sum(_count(b)).alias(f"c{b}") for b in range(64)))
+    bits = (F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64))
+    long = long.select(*_KEYS, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
+    return found.where(one).select(*_KEYS, "sim").unionByName(long)
+
+
+_KEYS = ["id", "k1", "k2", "pos", "h1", "h2", "size"]
 
 
 def _count(bit: int) -> Column:
@@ -98,13 +97,20 @@ def _majority(n: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(x, k) for k, x in enumerate(lanes)))
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, lid): each node under every pair of blocks; the key holds the pair's number and both blocks."""
+def _buckets(nodes: DataFrame, least: float) -> DataFrame:
+    """(key, lid): each node under every pair of blocks and its class of lengths, in a hash.
+
+    Classes of numbers of words are powers of two. A node that is so short in
+    its class that one of the class below can be similar is under that, too.
+    """
     ends = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
     block = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
+    own, low = F.floor(F.log2("size")).cast("long"), F.floor(F.log2(F.greatest(F.ceil(F.col("size") * least - 1e-9), F.lit(1)))).cast("long")
     keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    return nodes.select("lid", F.explode(F.array(*keys)).alias("key")).select(F.col("key").cast("int"), "lid")
+    rows = nodes.select("lid", "sim", F.explode(F.array_distinct(F.array(own, low))).alias("class"))
+    keys = [k + F.col("class") * (1 << 30) for k in keys]
+    return rows.select("lid", F.explode(F.array(*keys)).alias("key")).select("key", "lid")
 
 
 def _near(a: str, b: str, least: float) -> Column:
@@ -137,8 +143,8 @@ def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float) -> DataFrame:
     """pairs(a, b) with `ok`: whether their lines are similar. Fetches the texts of these lines only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(nodes.select("lid", "keep"), "lid")
-    wanted = cut(wanted.select("lid", "keep.k1", "keep.k2", "keep.pos"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    wanted = cut(wanted.join(nodes.select("lid", "k1", "k2", "pos"), "lid"))
     # At most 2**20 rows: the documents that can hold a wanted line, by 20 bits of their key.
     some = wanted.select(F.shiftrightunsigned("k1", 44).alias("_b")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"))
@@ -155,8 +161,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between nodes(lid, sim, size, keep) that make the connected groups."""
-    buckets = _buckets(nodes)
+    """Edges (a, b) between nodes(lid, sim, size, k1, k2, pos) that make the connected groups."""
+    buckets = _buckets(nodes, least)
     shared = buckets.groupBy("key").agg(F.min("lid").alias("rep"), F.max("lid").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = cut(shared.where("n > 1"))
     release(nodes.sparkSession)
@@ -189,16 +195,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     spark = docs.sparkSession
     found = cut(occurrences(docs, id_col, text))
     release(spark)
-    place = F.struct("id", "k1", "k2", "pos")
-    nodes = found.groupBy("h1", "h2").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.min(place).alias("keep"), F.count(F.lit(1)).alias("n"))
+    # One occurrence stands for a node's text: first() takes all its columns from one row.
+    some = [F.first(c).alias(c) for c in ("sim", "size", "k1", "k2", "pos")]
+    nodes = found.groupBy("h1", "h2").agg(*some, F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.withColumn("lid", F.monotonically_increasing_id()))
     release(spark)
     groups = components(line_links(nodes, docs, text, id_col, least))
     release(spark)
-    of = nodes.join(groups, nodes["lid"] == groups["node"], "left").select("h1", "h2", "n", "keep", "root")
-    stays = of.where("root is not null").groupBy("root").agg(F.min("keep").alias("first"))
-    of = of.where("n > 1 or root is not null").join(stays, "root", "left").select("h1", "h2", F.coalesce("first", "keep").alias("first"))
-    gone = found.join(of, ["h1", "h2"]).where(~F.struct("id", "k1", "k2", "pos").eqNullSafe(F.col("first")))
+    of = nodes.join(groups, nodes["lid"] == groups["node"], "left").select("h1", "h2", "n", "id", "lid", "root")
+    of = of.where("n > 1 or root is not null").select("h1", "h2", "id", F.coalesce("root", "lid").alias("root"))
+    first = of.groupBy("root").agg(F.min("id").alias("first"))
+    of = of.select("h1", "h2", "root").join(first, "root")
+    met = found.select("id", "k1", "k2", "pos", "h1", "h2").join(of, ["h1", "h2"])
+    later = ~F.col("id").eqNullSafe(F.col("first"))
+    # In the first document the first line stays; rows that repeat its id are in order of their keys.
+    own = met.where(~later).groupBy("root").agg(F.min(F.struct("k1", "k2", "pos")).alias("stays"))
+    gone = met.join(own, "root").where(later | (F.struct("k1", "k2", "pos") != F.col("stays")))
     return cut(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
 
 
@@ -208,7 +220,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
     Blank lines are kept and never compared. A null text stays null, with no
     lines; an empty one has one blank line. Rows that repeat both id and text
     count as one document: all of them keep the same lines. A null id comes
-    first in the order that tells which occurrence stays. Columns of docs named
+    last in the order that tells which occurrence stays. Columns of docs named
     like the new ones are replaced.
     """
     gone = removals(docs, id_col, text, least).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
