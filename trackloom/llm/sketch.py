@@ -96,12 +96,13 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     """Fingerprints of each text and of its edited text, and their likeness.
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next). The edited text has its last floor(n_chars / 2) code points
+    near_next, next_id). The edited text has its last floor(n_chars / 2) code points
     replaced by as many first ones of the next document in descending order of
     ids, the first one after the last. A null text counts as empty. Documents
     with equal ids are ordered by hashes of their texts, null ids come last,
     and rows that repeat both id and text give one row. Texts are dealt out
-    once, what a document lends (a beginning and a sketch) once more.
+    once, what a document lends (a beginning and a sketch) once more: both
+    sides read the same columns, so that the planner reuses the exchange.
     """
     whole = text_or_empty(text)
     base = docs.select(F.col(id_col).alias("_id"), whole.alias("_text"))
@@ -112,10 +113,10 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     lends = order.select("no", "k1", "k2").join(borrowers, "no").drop("no")
 
     texts = base.dropDuplicates(["k1", "k2"])
-    lent = texts.select("k1", "k2", "_text").join(lends, ["k1", "k2"]).select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.expr("left(_text, half)").alias("start"), sketch(F.col("_text"), k, shingle).alias("next"))
+    lent = texts.join(lends, ["k1", "k2"]).select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("_id").alias("next_id"), F.expr("left(_text, half)").alias("start"), sketch(F.col("_text"), k, shingle).alias("next"))
     rows = texts.join(lent, ["k1", "k2"]).withColumn("n", F.length("_text"))
     rows = rows.withColumn("edited", F.expr("concat(left(_text, n - cast(floor(n / 2) as int)), start)"))
-    rows = rows.select("_id", "n", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("_text"), k, shingle).alias("own"), sketch(F.col("edited"), k, shingle).alias("changed"), "next")
+    rows = rows.select("_id", "n", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("_text"), k, shingle).alias("own"), sketch(F.col("edited"), k, shingle).alias("changed"), "next", "next_id")
     return rows.select(
         F.col("_id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
@@ -124,4 +125,5 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
         to_text(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("next"), k).alias("near_next"),
+        F.col("next_id").alias(f"next_{id_col}"),
     )
