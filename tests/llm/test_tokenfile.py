@@ -35,7 +35,7 @@ def test_large_symbols_take_four_bytes():
 def test_encoder_equals_the_library(library):
     rng = random.Random(7)
     enc = tokenfile.Encoder(tokenfile.default_path())
-    texts = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "x\n\n y", "don't we'll", "<|endoftext|> a <|endoftext|>", "é日本 \U0001f600 ok", "end\n", "\tq w", "a\x85b \xa0 c"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "x\n\n y", "don't we'll", "<|endoftext|> a <|endoftext|>", "é日本 \U0001f600 ok", "end\n", "\tq w", "a\x85b \xa0 c", "a \u2003b c", "x\u3000 y"]
     texts += ["".join(rng.choice("ab cé'\n  .,1") for _ in range(60)) for _ in range(400)]
     for t, ids in zip(texts, enc.encode_batch(texts), strict=True):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)

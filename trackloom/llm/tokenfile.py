@@ -9,20 +9,21 @@ spans two documents, so every document begins at a symbol.
 
 A file is a Parquet table with a row for each shard: its number, its first
 place in order, its numbers of documents and ids, and the payload. A payload
-holds, little-endian: b"TLRP", version, bytes of a symbol (2 or 4), and the
-numbers of documents, rules and symbols (u32 each); then ids of documents (i64)
-with a byte each for null, each document's first symbol (u32, one more at the
-end), the rules' pairs (2 u32 each), the rules' expansion lengths (u32), and
-the symbols. Symbol 2**31 // 2**15 and so on are not special: symbols below
-`first` are ids, symbol first + i is rule i; `first` is a u32 after the counts.
+holds, little-endian: b"TLRP", version and bytes of a symbol (u16 each), the
+numbers of documents, rules and symbols and `first` (u32 each); ids of documents
+(i64), a byte each for null; each document's first symbol (u32, and the end);
+the rules' pairs (2 u32 each), their expansion lengths (u32), and the symbols.
+Symbols below `first` are ids, symbol first + i is rule i.
 A document is decoded from its own symbols alone, and the lengths give the
 place of any id without expanding what comes before it.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +35,34 @@ from trackloom.llm.bpe import ragged
 from trackloom.llm.common import arrow_batch_rows, maybe_broadcast, text_or_empty
 
 END_ID = 2
-#: Ids of a shard, rounds, rules of a round, least uses of a rule, pieces that a worker remembers.
-SHARD, ROUNDS, RULES, USES, REMEMBERED = 1 << 20, 6, 4096, 4, 600_000
+#: Ids of a shard, rounds, rules of a round, least uses of a rule.
+SHARD, ROUNDS, RULES, USES = 1 << 20, 6, 4096, 4
+#: Pieces that a worker remembers before it starts afresh; about 200 bytes each.
+REMEMBERED = 1_800_000
 _HEAD = struct.Struct("<4sHHIIII")
 _TABLE = 1 << 18
 
 
+#: Matches pieces without white space and "<".
+_usual = re.compile("[!-;=-~\xa1-\u167f\u1681-\u1fff\u2010-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\U0010ffff]+").fullmatch
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them with a byte-level vocabulary.
 
     Between single spaces a text falls into pieces that are encoded
-    independently, each with its space. The library encodes pieces that are
-    new to the worker, and whole texts in which white space meets white space
-    or an added token occurs.
+    independently, each with its space. The library encodes the pieces that are
+    new to the worker, many in a call, set apart by an added token, and whole
+    texts in which white space meets white space or an added token occurs.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self._added = [t.content for t in added.values()]
+        self._apart = min(added, default=None)
         self._forget()
 
     def _forget(self) -> None:
@@ -62,43 +71,66 @@ class Encoder:
         self._pool, self._used = np.zeros(1 << 20, np.int32), 0
         self._start, self._size, self._n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
+    def _library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, and each one's number, straight from the library."""
+        if self._apart is None:
+            lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+        mark = self.library.id_to_token(self._apart)
+        groups = [mark.join(["", *pieces[i : i + 500]]) for i in range(0, len(pieces), 500)]
+        found = self.library.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        begin = np.flatnonzero(ids == self._apart)
+        return ids[ids != self._apart], np.diff(np.append(begin, len(ids))) - 1
+
     def _learn(self, pieces: set[str], known: dict[str, int], space: str) -> None:
-        safe = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and not any(a in p for a in self._added)]
-        known.update(dict.fromkeys(pieces, -1))
-        lists = [e.ids for e in self.library.encode_batch_fast([space + p for p in safe], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
-        while self._n + len(lists) > len(self._start):
+        safe = list(filter(_usual, pieces))
+        if len(safe) < len(pieces):
+            rest = pieces.difference(safe)
+            known.update(dict.fromkeys(rest, -1))
+            safe += [p for p in rest if p and not p[0].isspace() and not p[-1].isspace() and not any(a in p for a in self._added)]
+        if any("<" not in a for a in self._added):
+            safe = [p for p in safe if not any(a in p for a in self._added)]
+            known.update(dict.fromkeys(pieces.difference(safe), -1))
+        if not safe:
+            return
+        ids, sizes = self._library_ids([space + p for p in safe])
+        while self._n + len(safe) > len(self._start):
             self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
         while self._used + len(ids) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         known.update(zip(safe, range(self._n, self._n + len(safe)), strict=True))
-        self._start[self._n : self._n + len(lists)] = self._used + np.cumsum(sizes) - sizes
-        self._size[self._n : self._n + len(lists)] = sizes
+        self._start[self._n : self._n + len(safe)] = self._used + np.cumsum(sizes) - sizes
+        self._size[self._n : self._n + len(safe)] = sizes
         self._pool[self._used : self._used + len(ids)] = ids
-        self._n, self._used = self._n + len(lists), self._used + len(ids)
+        self._n, self._used = self._n + len(safe), self._used + len(ids)
+
+    def _places(self, pieces: list[str], known: dict[str, int], space: str) -> np.ndarray:
+        """Place of each piece among those remembered, after learning the new ones; -1 for those to leave to the library."""
+        out = np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
+        new = np.flatnonzero(out == -2)
+        if len(new):
+            words = [pieces[i] for i in new.tolist()]
+            self._learn(set(words), known, space)
+            out[new] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if self._n > REMEMBERED:
             self._forget()
-        at, first = self._at, self._first
         cuts = [t.split(" ") for t in texts]
-        new = {p for c in cuts for p in c[1:] if p not in at}
-        if new:
-            self._learn(new, at, " ")
-        new = {c[0] for c in cuts if c[0] not in first}
-        if new:
-            self._learn(new, first, "")
-        out = []
-        for t, c in zip(texts, cuts, strict=True):
-            if not t:
-                out.append(np.zeros(0, np.int32))
-                continue
-            which = np.array([first[c[0]], *[at[p] for p in c[1:]]])
-            if which.min() < 0:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
-            else:
-                out.append(ragged(self._pool, self._start[which], self._size[which]))
+        counts = np.array([len(c) for c in cuts], np.int64)
+        begin = np.cumsum(counts) - counts
+        first = self._places([c[0] for c in cuts], self._first, "")
+        which = self._places([p for c in cuts for p in c], self._at, " ")
+        which[begin] = first
+        rest = np.minimum.reduceat(which, begin) < 0 if len(cuts) else np.zeros(0, bool)
+        sizes = np.where(which < 0, 0, self._size[which])
+        ids = ragged(self._pool, self._start[which], sizes)
+        ends = np.cumsum(sizes)[begin + counts - 1] if len(cuts) else begin
+        out = np.split(ids, ends[:-1]) if len(cuts) else []
+        for i in np.flatnonzero(rest).tolist():
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids if texts[i] else [], np.int32)
         return out
 
 
