@@ -24,6 +24,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -244,15 +245,16 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and each text's number of ids."""
-        cuts = [self._pieces(t) for t in texts]
         if len(self._at) > REMEMBERED:
             self._forget()
-        at = self._at
-        new = {p for c in cuts for p in c if p not in at}
-        if new:
-            self._learn(sorted(new))
-        total = sum(map(len, cuts))
-        which = np.fromiter((at[p] for c in cuts for p in c), np.int64, total)
+        cuts = [self._pieces(t) for t in texts]
+        pieces = [p for c in cuts for p in c]
+        which = np.fromiter(map(self._at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            words = [pieces[i] for i in new.tolist()]
+            self._learn(sorted(set(words)))
+            which[new] = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
         sizes = self._size[which]
         ids = ragged(self._pool, self._start[which], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])
