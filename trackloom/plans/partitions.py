@@ -185,7 +185,7 @@ def _store(v, name: str) -> str:
 def ix20(v):
     """Boxes dealt to spaces, written as a partitioned store with its master table."""
     master = sinks.write_store(_placed(v), _store(v, "index"))
-    return master.select("space_id", "record_count")
+    return master.select(F.col("space_id").cast("long").alias("space_id"), "record_count")
 
 
 @query("ix_ix20_indexer_replicated", f"SELECT CAST(s.space_id AS BIGINT) AS space_id, COUNT(*) AS record_count, MIN(greatest(b.x1, s.x1)) AS x1, MAX(least(b.z2, s.z2)) AS z2 FROM boxes b JOIN ({SPACES}) s ON {_MEET} GROUP BY 1")
@@ -194,7 +194,7 @@ def ix20_replicated(v):
     from trackloom.operators.joins import replicate
 
     master = sinks.write_store(replicate(v.boxes, spaces).withColumnRenamed("space_id", "cell_id"), _store(v, "replicated"), cells=spaces)
-    return master.select("space_id", "record_count", "x1", "z2")
+    return master.select(F.col("space_id").cast("long").alias("space_id"), "record_count", "x1", "z2")
 
 
 _HIT = "x2 > 100 AND x1 < 300 AND y2 > 100 AND y1 < 400 AND z2 > 10 AND z1 < 60"
