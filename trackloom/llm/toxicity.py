@@ -7,8 +7,9 @@ model that has not seen the row, as it will be for rows scored later.
 
 Features are the distinct words of a text and the first 4 to 8 letters of each
 word, present or not, numbered by a hash. They are chosen by the
-log-likelihood ratio of their counts in a category's rows and the others; the
-counts are summed on the executors, so the driver holds the chosen features of
+log-likelihood ratio of their counts in a category's rows and the others, for
+each category its own, so that what speaks for one has no say in another but
+through the chain; the counts are summed on the executors, so the driver holds the chosen features of
 a bounded sample of labelled rows only.
 """
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, text_or_empty
+from trackloom.llm.common import arrow_batch_rows, cut, text_or_empty
 
 #: Bound of the labelled sample, features chosen for a category, folds.
 SAMPLE, FEATURES, FOLDS = 12_000, 3000, 5
+#: Least log-likelihood ratio of a feature.
+LEAST = 8.0
 PLACES, REMEMBERED = 1 << 22, 300_000
-L2, STEPS = 2e-4, 80
-THRESHOLD = 0.5
+L2, STEPS = 2e-5, 200
+THRESHOLD = 0.3
 #: Categories in the order of the chain, as conditions on the labels.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 and quality = 0"}
 
@@ -121,26 +124,31 @@ def logistic(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.nda
     return w[:n_features], w[n_features:], float(bias)
 
 
-def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features: dict[int, int], folds: int = FOLDS) -> tuple[Model, np.ndarray]:
-    """The chain fitted on feature sets and labels (a column for each category), and the out-of-fold probabilities of all but the last category."""
+def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features: dict[int, int], own: np.ndarray | None = None, folds: int = FOLDS) -> tuple[Model, np.ndarray]:
+    """The chain fitted on feature sets and labels (a column for each category), and the out-of-fold probabilities of all but the last category.
+
+    own: the features (columns) that each category (rows) uses; all if None.
+    """
     n, c_all, n_features = len(sets), len(names), len(features)
     model = Model(names, features, np.zeros((c_all, n_features)), np.zeros((c_all, c_all)), np.full(c_all, -40.0))
     apart = np.zeros((n, c_all))
     if not n:
         return model, apart
-    rows, columns = flat(sets)
+    all_rows, all_columns = flat(sets)
     fold = np.arange(n) % folds
     for c in range(c_all):
+        used = slice(None) if own is None else own[c][all_columns]
+        rows, columns = all_rows[used], all_columns[used]
         dense = apart[:, :c]
         model.weights[c], model.chain[c, :c], model.bias[c] = logistic(rows, columns, dense, y[:, c], n_features)
         last = c == c_all - 1  # no later model needs its out-of-fold probabilities
         for f in range(folds if n >= folds and not last else 0):
-            own, other = fold == f, fold != f
+            held, other = fold == f, fold != f
             inside = other[rows]
             to = np.cumsum(other) - 1
             w, chain, bias = logistic(to[rows[inside]], columns[inside], dense[other], y[other, c], n_features)
             z = np.bincount(rows, w[columns], n) + dense @ chain + bias
-            apart[own, c] = sigmoid(z)[own]
+            apart[held, c] = sigmoid(z)[held]
     return model, apart
 
 
@@ -175,17 +183,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(seen[c][part].astype(np.int64)) for c in range(k + 1))], ["place", *ys, "n"])
 
     schema = ", ".join(["place long", *(f"{y} long" for y in ys), "n long"])
-    counts = rows.mapInArrow(count, schema).groupBy("place").agg(*(F.sum(c).alias(c) for c in [*ys, "n"])).where("n >= 3")
+    counts = cut(rows.mapInArrow(count, schema).groupBy("place").agg(*(F.sum(c).alias(c) for c in [*ys, "n"])).where("n >= 3"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     total = totals["n"]
-    at: dict[int, int] = {}
-    if total:
-        picked = None
-        for y in ys:
-            score = _ratio(F.col(y).cast("double"), F.col("n").cast("double"), float(totals[y] or 0), float(total))
-            best = counts.select("place", score.alias("score")).orderBy(F.desc("score"), "place").limit(features).select("place")
-            picked = best if picked is None else picked.union(best)
-        at = {r.place: i for i, r in enumerate(picked.distinct().orderBy("place").collect())}
+    chosen_by: list[set[int]] = [set() for _ in ys]
+    for c, y in enumerate(ys if total else []):
+        score = _ratio(F.col(y).cast("double"), F.col("n").cast("double"), float(totals[y] or 0), float(total))
+        best = counts.select("place", score.alias("score")).where(F.col("score") >= LEAST).orderBy(F.desc("score"), "place").limit(features)
+        chosen_by[c] = {r.place for r in best.collect()}
+    at = {p: i for i, p in enumerate(sorted(set().union(*chosen_by)))}
+    own = np.array([[p in some for p in at] for some in chosen_by], bool).reshape(k, len(at))
     shared = docs.sparkSession.sparkContext.broadcast(at)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     out = rows.mapInArrow(pick, rows.drop("_t").select("_id", *ys).withColumn("held", F.array(F.lit(0))).schema).toArrow()
     got = sorted(zip(out["_id"].to_pylist(), out["held"].to_pylist(), *(out[y].to_pylist() for y in ys), strict=True))
     y = np.array([g[2:] for g in got], float).reshape(len(got), k)
-    return fit_chain([g[1] for g in got], y, names, at)[0]
+    return fit_chain([g[1] for g in got], y, names, at, own)[0]
 
 
 def _ratio(has, n, positives: float, total: float):
