@@ -138,8 +138,19 @@ def replay_groups(rows: DataFrame, time: str = "time", value: str = "rec") -> Da
 
 
 def replay_files(rows: DataFrame, path: str, files: int, time: str = "time") -> None:
-    """Write files in order of time, to be replayed as a stream one file for each trigger."""
+    """Write at most `files` files in order of time, to be replayed as a stream one file for each trigger.
+
+    A file stream takes files in order of their modification times, so these
+    are set a second apart.
+    """
     rows.repartitionByRange(files, time).sortWithinPartitions(time).write.mode("overwrite").parquet(path)
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {f.getPath().getName(): f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")}
+    oldest = min((f.getModificationTime() for f in found.values()), default=0) - 1000 * len(found)
+    for i, name in enumerate(sorted(found)):
+        system.setTimes(found[name].getPath(), oldest + 1000 * i, -1)
 
 
 def replay_stream(spark: SparkSession, path: str, schema) -> DataFrame:
