@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The folder that holds the package.
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Largest table, in rows, that an operator may broadcast after counting it.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -71,8 +74,15 @@ def text_or_empty(name: str):
 
 
 def arrow_batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so a batch of long texts fits a worker."""
+    """Bound the rows of an Arrow batch, so a batch of long texts fits a worker.
+
+    Also lets Python workers find this package where the driver found it; on a
+    cluster without shared folders it is installed or sent with --py-files.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    paths = spark.sparkContext.environment
+    if HOME not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), HOME]))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

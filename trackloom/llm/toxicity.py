@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     k = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((k + 1, PLACES), np.int32)
+        seen = np.zeros((k + 1, PLACES), np.int16 if sample < 1 << 15 else np.int32)
         for b in batches:
             y = np.stack([b.column(c).to_numpy() for c in ys])
             for i, t in enumerate(b.column("_t").to_pylist()):

@@ -5,8 +5,8 @@ bounded sample cut the nodes into overlapping shards: each node goes to its
 OVERLAP nearest centroids; a shard over MAX_SHARD nodes is cut in parts, and
 the cluster's nodes then query every part. Each shard builds a graph by robust
 pruning: from a node's nearest candidates the nearest is kept and those are
-dropped that are much nearer to it than to the node, again and again. The
-adjacency lists that a node gets in its shards are united, and made mutual.
+dropped that are much nearer to it than to the node, again and again; a few
+edges across the node's range keep dense groups in one piece. The adjacency lists that a node gets in its shards are united, and made mutual.
 
 Every node is a query in its shards. A greedy beam search starts at the shard's
 medoids; whatever it meets in range is then expanded along the graph until
@@ -45,6 +45,7 @@ class Settings:
     overlap: int = 2
     candidates: int = 48
     degree: int = 16
+    across: int = 6
     alpha: float = 1.2
     beam: int = 48
     medoids: int = 8
@@ -81,10 +82,15 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 
 def prune(x: np.ndarray, s: Settings) -> np.ndarray:
-    """Robust-pruned out-edges of each row of x (rows of length one), -1 where there are fewer."""
+    """Robust-pruned out-edges of each row of x (rows of length one), -1 where there are fewer.
+
+    A row with more rows in range than pruning leaves gets `across` edges to
+    any of those, so that a dense group does not fall into islands.
+    """
     n = len(x)
     k = min(s.candidates, n - 1)
-    out = np.full((n, s.degree), -1, np.int64)
+    out = np.full((n, s.degree + s.across), -1, np.int64)
+    rng = np.random.default_rng(11)
     if k < 1:
         return out
     small = x.astype(np.float32)
@@ -108,6 +114,10 @@ def prune(x: np.ndarray, s: Settings) -> np.ndarray:
             alive[rows, pick] = False
             between = 1 - np.einsum("ijk,ik->ij", points, small[best])
             alive &= s.alpha * between > far
+        near = sims >= s.threshold
+        for i in np.flatnonzero(near.sum(axis=1) > 4).tolist():
+            some = np.flatnonzero(near[i])
+            out[a + i, s.degree :][: min(s.across, len(some))] = rng.choice(some, min(s.across, len(some)), replace=False)
     return out
 
 
