@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, cut, drop_scratch, maybe_broadcast, release, row_keys, text_or_empty
+from trackloom.llm.common import components, cut, drop_scratch, let, maybe_broadcast, release, row_keys, text_or_empty
 
 SIMILARITY, BITS, BLOCKS = 0.8, 10, 5
 #: Lanes of a sum, words of a part.
@@ -86,15 +86,23 @@ def _count(bit: int) -> Column:
 def _majority(n: Column) -> Column:
     """Bits whose counts are over half of n: 2**15 less the least majority is added to each count, whose bit 15 then tells.
 
-    Lanes are taken two at a time, 32 bits apart, so that no sum reaches the sign.
+    Lanes are taken two at a time, 32 bits apart, so that no sum reaches the
+    sign. A loop over the sums keeps the generated code small enough to be compiled.
     """
-    two, carry = 0x0000000100000001, F.lit(1 << 15) - F.floor(n / 2) - 1
+    two = 0x0000000100000001
 
-    def told(counts: Column) -> Column:
-        return F.shiftrightunsigned(counts.bitwiseAND(F.lit(0xFFFF * two)) + carry * F.lit(two), 15).bitwiseAND(F.lit(two))
+    def told(counts: Column, carry: Column) -> Column:
+        return F.shiftrightunsigned(counts.bitwiseAND(F.lit(0xFFFF * two)) + carry, 15).bitwiseAND(F.lit(two))
 
-    lanes = [told(F.col(f"s{k}")).bitwiseOR(F.shiftleft(told(F.shiftrightunsigned(f"s{k}", 16)), 16)) for k in range(LANES)]
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(x, k) for k, x in enumerate(lanes)))
+    def lanes(carry: Column) -> Column:
+        def bits(s: Column, k: Column) -> Column:
+            both = told(s, carry).bitwiseOR(F.shiftleft(told(F.shiftrightunsigned(s, 16), carry), 16))
+            return F.call_function("shiftleft", both, k)
+
+        sums = F.array(*(f"s{k}" for k in range(LANES)))
+        return F.aggregate(F.transform(sums, bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    return let((F.lit(1 << 15) - F.floor(n / 2) - 1) * F.lit(two), lanes)
 
 
 def _buckets(nodes: DataFrame, least: float) -> DataFrame:
@@ -128,17 +136,12 @@ def letters(norm: Column) -> Column:
 def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     """Whether edit similarity, 1 - distance / longer length, is at least `least`.
 
-    The distance is sought in bands of 32, 256 and as many as allowed, so that few edits in long lines are found fast.
+    The distance is sought in a band of 16 and then in one as wide as allowed, so that few edits in long lines are found fast.
     """
     longer = F.greatest(F.length(a), F.length(b))
     most = F.floor(longer * (1 - least) + 1e-9).cast("int")
-
-    def within(band: int) -> Column:
-        return F.levenshtein(a, b, band) >= 0
-
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (
-        F.when(most <= 32, F.levenshtein(a, b).between(0, most)).when(within(32), True).when(most <= 256, F.levenshtein(a, b).between(0, most)).when(within(256), True).otherwise(F.levenshtein(a, b) <= most)
-    )
+    few = (most > 16) & (F.levenshtein(a, b, 16) >= 0)
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (few | (F.call_function("levenshtein", a, b, most) >= 0))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float) -> DataFrame:
@@ -193,7 +196,7 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least:
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(k1, k2, gone): for each row of docs, by its keys, the places of lines that go."""
     spark = docs.sparkSession
-    found = cut(occurrences(docs, id_col, text))
+    found = occurrences(docs, id_col, text)
     release(spark)
     # One occurrence stands for a node's text: first() takes all its columns from one row.
     some = [F.first(c).alias(c) for c in ("sim", "size", "k1", "k2", "pos")]
