@@ -38,7 +38,7 @@ END_ID = 2
 #: Ids of a shard, rounds, rules of a round, least uses of a rule.
 SHARD, ROUNDS, RULES, USES = 1 << 20, 6, 4096, 4
 #: Pieces that a worker remembers before it starts afresh; about 200 bytes each.
-REMEMBERED = 1_800_000
+REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4sHHIIII")
 _TABLE = 1 << 18
 
