@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import components, cut, drop_scratch, let, maybe_broadcast, release, row_keys, text_or_empty
 
 SIMILARITY, BITS, BLOCKS = 0.8, 10, 5
+#: Rows up to which a counted table of line ids (of 40 bytes or so) is broadcast.
+FEW = 400_000
 #: Lanes of a sum, words of a part.
 LANES, PART = 16, 32_767
 #: Letters that stand for words in edit distances, from U+0100 on; below the surrogates.
@@ -146,8 +148,9 @@ def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float) -> DataFrame:
     """pairs(a, b) with `ok`: whether their lines are similar. Fetches the texts of these lines only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    wanted = cut(wanted.join(nodes.select("lid", "k1", "k2", "pos"), "lid"))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
+    wanted = cut(nodes.select("lid", "k1", "k2", "pos").join(maybe_broadcast(ids, FEW), "lid"))
+    drop_scratch(ids)
     # At most 2**20 rows: the documents that can hold a wanted line, by 20 bits of their key.
     some = wanted.select(F.shiftrightunsigned("k1", 44).alias("_b")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"))
@@ -205,11 +208,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     release(spark)
     groups = components(line_links(nodes, docs, text, id_col, least))
     release(spark)
-    of = nodes.join(groups, nodes["lid"] == groups["node"], "left").select("h1", "h2", "n", "id", "lid", "root")
-    of = of.where("n > 1 or root is not null").select("h1", "h2", "id", F.coalesce("root", "lid").alias("root"))
+    of = nodes.join(maybe_broadcast(groups, FEW), nodes["lid"] == groups["node"], "left").select("h1", "h2", "n", "id", "lid", "root")
+    of = cut(of.where("n > 1 or root is not null").select("h1", "h2", "id", F.coalesce("root", "lid").alias("root")))
     first = of.groupBy("root").agg(F.min("id").alias("first"))
-    of = of.select("h1", "h2", "root").join(first, "root")
-    met = found.select("id", "k1", "k2", "pos", "h1", "h2").join(of, ["h1", "h2"])
+    of = cut(of.select("h1", "h2", "root").join(first, "root"))
+    met = cut(found.select("id", "k1", "k2", "pos", "h1", "h2").join(maybe_broadcast(of, FEW), ["h1", "h2"]))
     later = ~F.col("id").eqNullSafe(F.col("first"))
     # In the first document the first line stays; rows that repeat its id are in order of their keys.
     own = met.where(~later).groupBy("root").agg(F.min(F.struct("k1", "k2", "pos")).alias("stays"))
