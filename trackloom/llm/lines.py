@@ -108,7 +108,7 @@ def _majority(n: Column) -> Column:
 
 
 def _buckets(nodes: DataFrame, least: float) -> DataFrame:
-    """(key, lid): each node under every pair of blocks and its class of lengths, in a hash.
+    """(key, lid, sim, size): each node under every pair of blocks and its class of lengths, in a hash.
 
     Classes of numbers of words are powers of two. A node that is so short in
     its class that one of the class below can be similar is under that, too.
@@ -118,9 +118,9 @@ def _buckets(nodes: DataFrame, least: float) -> DataFrame:
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
     own, low = F.floor(F.log2("size")).cast("long"), F.floor(F.log2(F.greatest(F.ceil(F.col("size") * least - 1e-9), F.lit(1)))).cast("long")
     keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    rows = nodes.select("lid", "sim", F.explode(F.array_distinct(F.array(own, low))).alias("class"))
+    rows = nodes.select("lid", "sim", "size", F.explode(F.array_distinct(F.array(own, low))).alias("class"))
     keys = [k + F.col("class") * (1 << 30) for k in keys]
-    return rows.select("lid", F.explode(F.array(*keys)).alias("key")).select("key", "lid")
+    return rows.select("lid", "sim", "size", F.explode(F.array(*keys)).alias("key"))
 
 
 def _near(a: str, b: str, least: float) -> Column:
@@ -151,12 +151,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
     wanted = cut(nodes.select("lid", "k1", "k2", "pos").join(maybe_broadcast(ids, FEW), "lid"))
     drop_scratch(ids)
-    # At most 2**20 rows: the documents that can hold a wanted line, by 20 bits of their key.
-    some = wanted.select(F.shiftrightunsigned("k1", 44).alias("_b")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"))
     rows = rows.select(*row_keys("_id", F.col("_t")), "_t")
-    rows = rows.join(F.broadcast(some), F.shiftrightunsigned("k1", 44) == F.col("_b"), "left_semi")
-    found = rows.join(wanted, ["k1", "k2"]).select("lid", normal(F.expr("element_at(split(_t, '\\n'), pos + 1)")).alias("norm"))
+    if wanted.limit(FEW + 1).count() <= FEW:
+        rows = rows.join(F.broadcast(wanted), ["k1", "k2"])
+    else:
+        # At most 2**20 rows: the documents that can hold a wanted line, by 20 bits of their key.
+        some = wanted.select(F.shiftrightunsigned("k1", 44).alias("_b")).distinct()
+        rows = rows.join(F.broadcast(some), F.shiftrightunsigned("k1", 44) == F.col("_b"), "left_semi").join(wanted, ["k1", "k2"])
+    found = rows.select("lid", normal(F.expr("element_at(split(_t, '\\n'), pos + 1)")).alias("norm"))
     found = found.select("lid", letters(F.col("norm")).alias("letters"))
     texts = cut(found.groupBy("lid").agg(F.first("letters").alias("letters")))
     one, two = texts.select(F.col("lid").alias("a"), F.col("letters").alias("na")), texts.select(F.col("lid").alias("b"), F.col("letters").alias("nb"))
@@ -169,11 +172,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between nodes(lid, sim, size, k1, k2, pos) that make the connected groups."""
     buckets = _buckets(nodes, least)
-    shared = buckets.groupBy("key").agg(F.min("lid").alias("rep"), F.max("lid").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = cut(shared.where("n > 1"))
+    ends = [F.min("lid").alias("rep"), F.max("lid").alias("last"), F.bit_xor("sim").alias("differ"), F.min("size").alias("short"), F.max("size").alias("long")]
+    shared = buckets.groupBy("key").agg(*ends, F.count(F.lit(1)).alias("n"))
+    # Two in a bucket are its least and its greatest, and what their SimHashes differ in is
+    # the sum of both: most such meetings are chance and end here. Larger buckets are looked up again.
+    near = (F.bit_count("differ") <= BITS) & (F.col("short") >= F.ceil(F.col("long") * least - 1e-9))
+    shared = cut(shared.where((F.col("n") > 2) | ((F.col("n") == 2) & near)).select("key", "rep", "last", "n"))
     release(nodes.sparkSession)
-    # Two in a bucket are its least and its greatest; only larger buckets are looked up again.
-    larger = maybe_broadcast(shared.where("n > 2").select("key", "rep"))
+    larger = maybe_broadcast(shared.where("n > 2").select("key", "rep"), FEW)
     both = shared.where("n = 2").select("key", "rep", F.col("last").alias("lid"))
     more = buckets.join(larger, "key").where("lid <> rep").select("key", "rep", "lid")
     members = both.unionByName(more)
