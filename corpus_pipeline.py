@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text. Only what the stage itself has emptied goes."""
-    out = lines.dedup(docs, new="text").withColumn("n_chars", F.length("text").cast("long"))
+    out = lines.dedup(docs, new="text", exact=True).withColumn("n_chars", F.length("text").cast("long"))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) == "")
     return out.where(~emptied).select(*COLUMNS)
 

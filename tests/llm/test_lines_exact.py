@@ -1,0 +1,81 @@
+"""Exact line dedup against all pairs of lines, with no SimHash in the reference."""
+
+import random
+
+import pytest
+from test_lines import corpus, distance
+
+from trackloom.llm import lines
+
+
+def links_of_all_pairs(docs):
+    """Kept lines of each (id, text) if every two lines of edit similarity 0.8 in words are linked."""
+    first, order = {}, []
+    for d, text in sorted(docs):
+        for pos, line in enumerate(text.split("\n")):
+            n = line.strip(" \t\n\x0b\x0c\r").lower()
+            if n:
+                order.append((d, pos, n))
+                first.setdefault(n, len(first))
+    names, root = [n.split() for n in first], list(range(len(first)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(names):
+        for j in range(i):
+            most = max(len(a), len(names[j])) // 5
+            if abs(len(a) - len(names[j])) <= most and distance(a, names[j]) <= most:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    seen, gone = set(), {}
+    for d, pos, n in order:
+        r = find(first[n])
+        if r in seen:
+            gone.setdefault(d, set()).add(pos)
+        seen.add(r)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, set())) for d, t in docs}
+
+
+def edited(seed):
+    """Pairs of lines at every number of edits that 0.8 allows and one more: words changed, added, dropped, moved lengths."""
+    rng, docs = random.Random(seed), []
+    for n in (1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 16, 19, 20, 24, 25, 40):
+        for edits in range(n // 5 + 2):
+            for kind in ("change", "add", "drop"):
+                a = [f"w{rng.randrange(400)}" for _ in range(n)]
+                b = list(a)
+                for k in rng.sample(range(n), min(edits, n - 1)):
+                    if kind == "drop":
+                        b[k] = None
+                    else:
+                        b[k] = f"x{rng.randrange(400)}" if kind == "change" else f"{b[k]} y{rng.randrange(400)}"
+                docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(w for w in b if w))]
+    docs.append((len(docs), "w1  w2\nw1 w2\nw1 w2 w1 w2 w1 w2 w1 w2\nw1 w2 w1 w2 w1 w2 w1"))
+    return docs
+
+
+@pytest.mark.parametrize("docs", [corpus(0, 40), edited(5)], ids=["corpus", "edited"])
+def test_all_similar_lines_are_linked(spark, docs):
+    out = lines.dedup(spark.createDataFrame(docs, "doc_id long, text string"), exact=True)
+    assert {r.doc_id: r.text_kept for r in out.collect()} == links_of_all_pairs(docs)
+
+
+def test_words_far_apart_in_bits_are_linked(spark):
+    """20 of 100 words changed: the SimHashes differ in far more than 10 bits."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(20):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        b = [f"x{rng.randrange(10**6)}" if k % 5 == 2 else w for k, w in enumerate(a)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {i: i % 2 for i in range(40)}
+
+
+def test_odd_documents(spark, odd_docs):
+    got = {r.doc_id: r for r in lines.dedup(odd_docs, exact=True).collect()}
+    assert got[1].text_kept is None and got[2].text_kept == "" and got[6].text_kept == ""
+    assert lines.dedup(odd_docs.limit(0), exact=True).count() == 0

@@ -38,7 +38,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm import lines
 
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=True)
     return out.select("doc_id", "n_lines", "n_removed", "text_kept")
 
 

@@ -19,6 +19,13 @@ representative need no comparison: they are in its group anyhow. The groups are
 therefore exactly the connected ones, while a bucket of many like lines costs
 its size, not the square of it.
 
+That finds by chance what differs in 4 to 10 bits, and nothing beyond. With
+`exact`, which the registered queries use, no SimHash decides: nodes meet under
+pairs of neighbouring words. An edit of one word changes two pairs at most, so
+lines within t edits share one of the 2t + 1 first pairs of either in any order
+common to all lines; pairs in rarer bins of a sample come first, which affects
+costs only. Every two lines of the edit similarity therefore meet and are linked.
+
 Of each connected group the first occurrence stays, in order of document id and
 line.
 """
@@ -39,6 +46,8 @@ FEW = 400_000
 LANES, PART = 16, 32_767
 #: Letters that stand for words in edit distances, from U+0100 on; below the surrogates.
 LETTERS = 55_000
+#: Bins in which pairs of words are counted, and the share of documents, one in SAMPLE, that is counted.
+BINS, SAMPLE = 1 << 14, 8
 _LANE = 0x0001000100010001
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -53,6 +62,54 @@ def words(norm: Column) -> Column:
     return F.when(plain, F.split(norm, " ")).otherwise(F.split(norm, r"[\x20\x09-\x0D]+"))
 
 
+def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, k1, k2, pos, h1, h2, words): every line that is not blank."""
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t"))
+    lines = rows.select("id", *row_keys("id", F.col("t")), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    lines = lines.where(F.btrim("line", F.lit(_WHITE)) != "").select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm"))
+    return lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words(F.col("norm")).alias("words"))
+
+
+def _pairs(words: Column) -> Column:
+    """Hashes of neighbouring words, with repetitions."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _bin(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(BINS - 1)).cast("int")
+
+
+def _levels(lines: DataFrame) -> Column:
+    """For each bin of pairs how frequent it is in a sample: BINS small numbers, whatever the table."""
+    some = lines.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select(F.explode(_pairs(F.col("words"))).alias("pair"))
+    level = F.round(F.log2(F.count(F.lit(1)) + 1) * 2).cast("int").alias("level")
+    found = {r["bin"]: r["level"] for r in some.groupBy(_bin(F.col("pair")).alias("bin")).agg(level).collect()}
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BINS))), ",").cast("array<int>")
+
+
+def exact_occurrences(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """(id, k1, k2, pos, h1, h2, size, sim, keys): sim is 0 for all, keys are the first pairs of words.
+
+    T = most - 1 - 2 t pairs are common to lines of at most `most` words and t =
+    most * (1 - least) edits, so the first 2 t + 1 - (most - n) of a line of n
+    words hold one of them; that is greatest for most = n or n + 1. Lines of
+    under four words are similar only if their words are equal.
+    """
+    if least < SIMILARITY:
+        raise ValueError(f"lines below an edit similarity of {SIMILARITY} need not share a pair of words")
+    lines = _lines(docs, id_col, text)
+    levels = _levels(lines)
+    size = F.size("words")
+    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    first = F.greatest(2 * edits(size) + 1, 2 * edits(size + 1))
+    ranked = F.sort_array(F.transform(_pairs(F.col("words")), lambda p: F.shiftleft(F.get(levels, _bin(p)).cast("long"), 31) + F.shiftrightunsigned(p, 33)))
+    mask = F.lit((1 << 31) - 1)
+    keys = F.array_distinct(F.transform(F.slice(ranked, 1, first), lambda p: p.bitwiseAND(mask).cast("int")))
+    whole = F.array(F.xxhash64("words").bitwiseAND(mask).cast("int"))
+    return lines.select(*_KEYS[:-1], size.alias("size"), F.lit(0).cast("long").alias("sim"), F.when(size < 4, whole).otherwise(keys).alias("keys"))
+
+
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, k1, k2, pos, h1, h2, size, sim): every line that is not blank, its number of words and its SimHash.
 
@@ -60,10 +117,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     counts for each line and part. A line of several parts is kept with its
     counts, which are then added bit by bit.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t"))
-    lines = rows.select("id", *row_keys("id", F.col("t")), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.where(F.btrim("line", F.lit(_WHITE)) != "").select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm"))
-    lines = lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words(F.col("norm")).alias("words"))
+    lines = _lines(docs, id_col, text)
     each = lines.select(*_KEYS[:-1], F.size("words").alias("size"), F.posexplode(F.array_distinct("words")).alias("at", "word"))
     each = each.select(*_KEYS, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
     lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE))
@@ -108,7 +162,7 @@ def _majority(n: Column) -> Column:
 
 
 def _buckets(nodes: DataFrame, least: float) -> DataFrame:
-    """(key, lid, sim, size): each node under every pair of blocks and its class of lengths, in a hash.
+    """(key, lid, sim, size): each node under every pair of blocks, or its keys if it has some, and its class of lengths, in a hash.
 
     Classes of numbers of words are powers of two. A node that is so short in
     its class that one of the class below can be similar is under that, too.
@@ -118,7 +172,12 @@ def _buckets(nodes: DataFrame, least: float) -> DataFrame:
     pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
     own, low = F.floor(F.log2("size")).cast("long"), F.floor(F.log2(F.greatest(F.ceil(F.col("size") * least - 1e-9), F.lit(1)))).cast("long")
     keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    rows = nodes.select("lid", "sim", "size", F.explode(F.array_distinct(F.array(own, low))).alias("class"))
+    classes = F.explode(F.array_distinct(F.array(own, low))).alias("class")
+    if "keys" in nodes.columns:
+        rows = nodes.select("lid", "sim", "size", "keys", classes)
+        rows = rows.select("lid", "sim", "size", "class", F.explode("keys").alias("key"))
+        return rows.select("lid", "sim", "size", (F.col("class") * (1 << 31) + F.col("key")).alias("key"))
+    rows = nodes.select("lid", "sim", "size", classes)
     keys = [k + F.col("class") * (1 << 30) for k in keys]
     return rows.select("lid", "sim", "size", F.explode(F.array(*keys)).alias("key"))
 
@@ -202,14 +261,19 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least:
     return first.unionByName(second).where("ok").select("a", "b")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """(k1, k2, gone): for each row of docs, by its keys, the places of lines that go."""
     spark = docs.sparkSession
-    found = occurrences(docs, id_col, text)
+    if exact:
+        # Keys are computed again for the nodes rather than kept for each occurrence.
+        all_of = exact_occurrences(docs, id_col, text, least)
+        found = cut(all_of.drop("keys", "sim"))
+    else:
+        all_of = found = occurrences(docs, id_col, text)
     release(spark)
     # One occurrence stands for a node's text: first() takes all its columns from one row.
-    some = [F.first(c).alias(c) for c in ("sim", "size", "k1", "k2", "pos")]
-    nodes = found.groupBy("h1", "h2").agg(*some, F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    some = [F.first(c).alias(c) for c in ("sim", "size", "k1", "k2", "pos", *(["keys"] if exact else []))]
+    nodes = all_of.groupBy("h1", "h2").agg(*some, F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.withColumn("lid", F.monotonically_increasing_id()))
     release(spark)
     groups = components(line_links(nodes, docs, text, id_col, least))
@@ -226,16 +290,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     return cut(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, new: str = "text_kept") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, new: str = "text_kept", exact: bool = False) -> DataFrame:
     """docs with n_lines, n_removed and the text of the lines that stay.
 
     Blank lines are kept and never compared. A null text stays null, with no
     lines; an empty one has one blank line. Rows that repeat both id and text
     count as one document: all of them keep the same lines. A null id comes
     last in the order that tells which occurrence stays. Columns of docs named
-    like the new ones are replaced.
+    like the new ones are replaced. With exact all lines of the similarity are
+    linked, else those that their SimHashes find.
     """
-    gone = removals(docs, id_col, text, least).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
+    gone = removals(docs, id_col, text, least, exact).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
     rows = docs.drop(*({"n_lines", "n_removed", new} - {id_col, text}))
     ident, t = row_keys(id_col, text_or_empty(text))
     rows = rows.withColumns({"_r1": ident, "_r2": t})
