@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geom import BOX, box, box_intersection, box_volume, boxes_overlap, col, planar_distance, rect, rect_has_point
+from trackloom.operators.stays import _cut as cut
 
 #: Cells up to which each row is compared with all of them; beyond, both sides meet in a coarse grid.
 FEW_CELLS = 2000
@@ -110,13 +113,59 @@ def nearest(points: DataFrame, x: float, y: float, k: int, key: str, px: str = "
     return points.withColumn("distance", planar_distance(px, py, x, y)).orderBy("distance", key).limit(k)
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, k: int, q_key: str, p_key: str, x: str = "lng", y: str = "lat") -> DataFrame:
-    """(q_key, p_key, distance, rank): each query's k nearest points. queries is a small table."""
-    q = queries.select(F.col(q_key).alias("_q"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
-    pairs = points.join(F.broadcast(q)).withColumn("distance", planar_distance(x, y, "_qx", "_qy"))
-    order = Window.partitionBy("_q").orderBy("distance", p_key)
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("_q").alias(q_key), p_key, "distance", "rank")
+def nearest_join(queries: DataFrame, points: DataFrame, k: int, q_key: str, p_key: str, x: str = "lng", y: str = "lat", per_cell: int | None = None) -> DataFrame:
+    """(q_key, p_key, distance, rank): each query's k nearest points, whatever the number of queries.
+
+    Points are dealt to a grid over their area of some per_cell points a cell. A
+    query first asks the smallest square of cells around its own that holds k
+    points; its k-th distance there bounds the answer, which then lies in the
+    cells that a circle of that radius meets. Both steps join on the cell. Squares
+    are found in a table of counts by cell, by rings of cells that double. Queries and
+    points without coordinates have no neighbours.
+    """
+    points = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(p_key).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    q = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(q_key).alias("_q"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
+    s = points.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("x1"), F.min("_y").alias("y1"), F.max("_x").alias("x2"), F.max("_y").alias("y2")).first()
+    side = max(1, math.ceil(math.sqrt(s["n"] / (per_cell or 2 * k))))
+    x1, y1 = s["x1"] or 0.0, s["y1"] or 0.0
+    dx, dy = ((s["x2"] or 0.0) - x1) / side or 1.0, ((s["y2"] or 0.0) - y1) / side or 1.0
+    # Queries outside the points' area belong to the cell at its edge; the same clamped order holds for points.
+    cell = lambda v, low, d: F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(d)), F.lit(0)), F.lit(side - 1)).cast("int")
+    placed = points.select("*", cell(F.col("_x"), x1, dx).alias("_cx"), cell(F.col("_y"), y1, dy).alias("_cy"))
+    asked = q.select("*", cell(F.col("_qx"), x1, dx).alias("_ax"), cell(F.col("_qy"), y1, dy).alias("_ay"))
+
+    def around(rows: DataFrame, xs: tuple[Column, Column], ys: tuple[Column, Column]) -> DataFrame:
+        clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(side - 1)).cast("int")
+        rows = rows.withColumn("_cx", F.explode(F.sequence(clip(xs[0]), clip(xs[1]))))
+        return rows.withColumn("_cy", F.explode(F.sequence(clip(ys[0]), clip(ys[1]))))
+
+    counts = placed.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    homes = asked.select("_ax", "_ay").distinct()
+    reach, ring = None, 0
+    while True:
+        near = around(homes, (F.col("_ax") - ring, F.col("_ax") + ring), (F.col("_ay") - ring, F.col("_ay") + ring))
+        held = near.join(counts, ["_cx", "_cy"]).groupBy("_ax", "_ay").agg(F.sum("_n").alias("_n"))
+        full = (held if ring >= side else held.where(F.col("_n") >= k)).select("_ax", "_ay", F.lit(ring).alias("_ring"))
+        full = cut(full)
+        reach = full if reach is None else reach.unionByName(full)
+        homes = cut(homes.join(full, ["_ax", "_ay"], "left_anti"))
+        if ring >= side or homes.isEmpty():
+            break
+        ring = 2 * ring or 1
+    asked = asked.join(reach, ["_ax", "_ay"])
+    far = planar_distance("_x", "_y", "_qx", "_qy")
+    order = Window.partitionBy("_q").orderBy("distance", "_p")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.join(placed, ["_cx", "_cy"]).withColumn("distance", far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = ranked(around(asked, (F.col("_ax") - F.col("_ring"), F.col("_ax") + F.col("_ring")), (F.col("_ay") - F.col("_ring"), F.col("_ay") + F.col("_ring"))))
+    # A little more than the k-th distance, for rounding; with fewer than k points all cells were asked.
+    bound = first.groupBy("_q").agg((F.max("distance") * (1 + 1e-9) + 1e-12).alias("_r"))
+    asked = q.join(bound, "_q")
+    span = lambda v, low, d: (cell(F.col(v) - F.col("_r"), low, d), cell(F.col(v) + F.col("_r"), low, d))
+    out = ranked(around(asked, span("_qx", x1, dx), span("_qy", y1, dy)))
+    return out.select(F.col("_q").alias(q_key), F.col("_p").alias(p_key), "distance", "rank")
 
 
 def lookup_towers(calls: DataFrame, towers: DataFrame, *columns: Column) -> DataFrame:

@@ -144,6 +144,17 @@ def jn12_join(v):
     return joins.nearest_join(q, v.gps, 3, "query_id", "event_id").select("query_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
+_NEAREST_ALL = """SELECT q AS query_id, event_id, rank FROM (SELECT a.event_id AS q, b.event_id, row_number() OVER (PARTITION BY a.event_id ORDER BY sqrt(pow(b.lng - a.lng, 2) + pow(b.lat - a.lat, 2)), b.event_id) AS rank
+FROM (SELECT * FROM gps WHERE event_id % 20 = 0) a, gps b) t WHERE rank <= 3"""
+
+
+@query("join_jn12_nearest_join_all", _NEAREST_ALL)
+def jn12_join_all(v):
+    """The searches of the whole table: every row whose id is divisible by 20, against all points."""
+    q = v.gps.where("event_id % 20 = 0").select(F.col("event_id").alias("query_id"), "lng", "lat")
+    return joins.nearest_join(q, v.gps, 3, "query_id", "event_id").select("query_id", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("agg_ag8_population", f"SELECT region AS district, COUNT(*) AS n FROM ({_DISTRICTS.format(t='live_at')}) t GROUP BY 1")
 def ag8(v):
     return commute.population(_districts(v.live_at))
