@@ -202,6 +202,14 @@ def st11(v):
     return report.select("user", F.array_join(F.array_sort(F.col("bids").cast("array<string>")), ";").alias("bids"))
 
 
+@query("stay_st11_user_report_all", f"""SELECT u."user", string_agg(DISTINCT CAST(t.bid AS VARCHAR), ';' ORDER BY CAST(t.bid AS VARCHAR)) AS bids FROM (SELECT DISTINCT "user", cell FROM ({_ON.format(calls="calls")}) o) u
+JOIN (SELECT bid, {cell_sql(n=N)} AS cell FROM towers) t ON abs(t.cell % {N} - u.cell % {N}) <= 1 AND abs(t.cell // {N} - u.cell // {N}) <= 1 GROUP BY 1""")
+def st11_all(v):
+    """The report over the calls of all hours."""
+    report = stays.user_report(_cells(v).withColumnRenamed("cell", "centre"), v.towers, GRID)
+    return report.select("user", F.array_join(F.array_sort(F.col("bids").cast("array<string>")), ";").alias("bids"))
+
+
 @query("stay_st12_record_order", f'SELECT "user", sec, bid, row_number() OVER (PARTITION BY "user" ORDER BY sec, bid) AS place FROM (SELECT DISTINCT "user", sec, bid FROM calls) c')
 def st12(v):
     from pyspark.sql import Window
