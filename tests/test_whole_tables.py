@@ -8,3 +8,9 @@ FOLDER = "/root/testdata/sf0.001"
 def test_report_holds_the_users_of_all_hours(spark):
     users = spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id").distinct().count()
     assert QUERIES["stay_st11_user_report_all"](spark, FOLDER).count() == users
+
+
+def test_every_car_is_registered(spark):
+    cars = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("count(distinct cast(user_id as int)) n", "count(user_id) rows").first()
+    out = QUERIES["stream_ws12_registered_all"](spark, FOLDER)
+    assert (out.select("query_id").distinct().count(), out.count()) == (cars.n, cars.rows)

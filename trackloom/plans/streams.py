@@ -86,6 +86,13 @@ def ws12(v):
     return windows.registered(v.gps, asked).select("query_id", "event_id")
 
 
+@query("stream_ws12_registered_all", "SELECT q.query_id, g.event_id FROM gps g JOIN (SELECT car_id, CAST(MIN(event_id) AS BIGINT) AS query_id FROM gps GROUP BY 1) q ON g.car_id = q.car_id")
+def ws12_all(v):
+    """A query registered for each car that the table holds."""
+    asked = v.gps.groupBy("car_id").agg(F.min("event_id").alias("query_id"))
+    return windows.registered(v.gps, asked).select("query_id", "event_id")
+
+
 @query("stream_src1_replay", "SELECT car_id, COUNT(*) AS n FROM gps GROUP BY 1")
 def replay(v):
     """The points replayed as a stream of files and counted."""
