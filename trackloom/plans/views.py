@@ -38,6 +38,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "live_at": (("live", "towers"), """SELECT l."user", l.bid, t.lon, t.lat, t.region FROM live l JOIN towers t ON l.bid = t.bid"""),
     "work_at": (("work", "towers"), """SELECT w."user", w.bid, t.lon, t.lat, t.region FROM work w JOIN towers t ON w.bid = t.bid"""),
 }
+#: Homes and work places from all orders: both from each order.
+ALL_ORDERS = {
+    "live": (("orders",), """SELECT DISTINCT o_custkey AS "user", (o_orderkey * 37) % 100 AS bid FROM orders"""),
+    "work": (("orders",), """SELECT DISTINCT o_custkey AS "user", (o_orderkey * 53 + 7) % 100 AS bid FROM orders"""),
+}
 _SEC = {"spark": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))", "duck": "CAST(floor(epoch(ts)) AS BIGINT)"}
 
 
@@ -65,6 +70,8 @@ def oracle(sql: str) -> str:
 class Views:
     """The tables and views of a folder as DataFrames."""
 
+    _texts = VIEWS
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -76,7 +83,7 @@ class Views:
             raise AttributeError(name)
         if name not in VIEWS:
             return self.table(name)
-        needs, sql = VIEWS[name]
+        needs, sql = self._texts[name]
         sql = sql.replace("{sec}", _SEC["spark"]).replace('"user"', "`user`")
         sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(needs)})\b", r"\1 {\2}", sql)
         return self.spark.sql(sql, **{n: getattr(self, n) for n in needs})
@@ -87,5 +94,11 @@ class Views:
         return self.gps.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+class WholeViews(Views):
+    """Views whose homes and work places come from all orders."""
+
+    _texts = VIEWS | ALL_ORDERS
+
+
 def epoch(ts: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
