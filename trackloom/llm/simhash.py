@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, components, cut, text_or_empty
+from trackloom.llm.common import arrow_batch_rows, components, cut, row_keys, text_or_empty
 
 #: Rows of a shard that one task joins; larger shards are cut in parts.
 MAX_SHARD = 40_000
@@ -217,6 +217,13 @@ def links(distinct: DataFrame, budget: int = 4, max_shard: int = MAX_SHARD) -> D
     return grouped.applyInArrow(run, "a long, b long").distinct()
 
 
+def _roots(rows: DataFrame, id_col: str, budget: int) -> DataFrame:
+    """(fp, least, root): each fingerprint of rows, its least id and its component."""
+    groups = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+    linked = components(links(groups.select("fp"), budget))
+    return groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
     """(id, fp, fingerprint, component_id), one row for each row of docs.
 
@@ -227,18 +234,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Other columns of docs, whatever their names, are not read.
     """
     rows = cut(fingerprints(docs.select(F.col(id_col), F.col(text).alias("_text")), "_text", shingle))
-    groups = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    linked = components(links(groups.select("fp"), budget))
-    roots = groups.join(linked, groups["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = _roots(rows, id_col, budget)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = roots.join(least, "root").select("fp", "component_id")
     out = rows.join(ids, "fp")
     return out.select(F.col(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is their component's least, one of each id."""
-    groups = near_duplicates(docs, id_col, text, **how)
-    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_w")).distinct()
-    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col("_w")), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+    """One row of docs for each component: that of the least id, nulls last, then the least fingerprint and keys.
+
+    Rows are told apart by id and text, so ids may be null or stand for several texts.
+    """
+    keyed = docs.select(F.col(id_col).alias("_id"), *(k.alias(n) for k, n in zip(row_keys(id_col, text_or_empty(text)), ("_k1", "_k2"), strict=True)), F.col(text).alias("_text"))
+    rows = cut(fingerprints(keyed, "_text", shingle))
+    ranked = rows.join(_roots(rows, "_id", budget).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_k1", "_k2")).alias("w")
+    winners = ranked.groupBy("root").agg(first).select("w._k1", "w._k2")
+    k1, k2 = row_keys(id_col, text_or_empty(text))
+    kept = docs.withColumns({"_r1": k1, "_r2": k2})
+    kept = kept.join(winners, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi")
+    return kept.dropDuplicates(["_r1", "_r2"]).drop("_r1", "_r2")
