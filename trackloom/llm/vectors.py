@@ -318,12 +318,55 @@ def link(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     return counts, found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def link_exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """What link() returns, from all pairs of nodes of one dimension: blocks of nodes are dealt as pairs of blocks."""
+    sizes = cut(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / s.max_shard).cast("int").alias("parts")))
+    dealt = nodes.select("rid", "copies", "emb", "dim").join(maybe_broadcast(sizes), "dim").withColumn("home", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("rid", "copies", "emb", "dim", "home", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rid, copies, home = (t.column(c).to_numpy() for c in ("rid", "copies", "home"))
+        x, lo, hi = unit(_matrix(t.column("emb"))), key[1].as_py(), key[2].as_py()
+        one, two = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
+        counts, forest = np.zeros(len(rid), np.int64), Forest(len(rid))
+        for i in range(0, len(one), 256):
+            a, b = np.nonzero(x[one[i : i + 256]] @ x[two].T >= s.threshold)
+            a, b = one[i + a], two[b]
+            a, b = a[a != b], b[a != b]
+            np.add.at(counts, a, copies[b])
+            if lo != hi:
+                np.add.at(counts, b, copies[a])
+            forest.join(a, b)
+        root = forest.find(np.arange(len(rid)))
+        keep = (counts > 0) | (root != np.arange(len(rid)))
+        return pa.table({"rid": rid[keep], "links": counts[keep], "root": rid[root[keep]]})
+
+    found = cut(dealt.groupBy("dim", "lo", "hi").applyInArrow(run, "rid long, links long, root long"))
+    counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    return counts, found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
+
+
+#: Linked nodes that an audit should rest on, and how often a sample with fewer is made eight times as large.
+LINKED, GROWS = 30, 2
+
+
 def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> float:
-    """Share of the true links of a bounded sample of nodes that counts holds."""
-    picked = nodes.orderBy(F.xxhash64(F.lit(3), "k1"), "k1").limit(s.audit)
+    """Mean over the linked nodes of a bounded sample of the share of their true links that counts holds.
+
+    A sample with few linked nodes is grown. 1 if the largest one has none.
+    """
+    for grown in range(GROWS + 1):
+        shares = _shares(nodes, counts, s, s.audit * 8**grown)
+        if len(shares) >= LINKED:
+            break
+    return float(shares.mean()) if len(shares) else 1.0
+
+
+def _shares(nodes: DataFrame, counts: DataFrame, s: Settings, size: int) -> np.ndarray:
+    """For each node of a sample that has true links, the share that counts holds."""
+    picked = nodes.orderBy(F.xxhash64(F.lit(3), "k1"), "k1").limit(size)
     sample = picked.join(counts, "rid", "left").select("rid", "emb", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
-    if not len(sample):
-        return 1.0
     held = {}
     for r, e in zip(sample["rid"].to_pylist(), sample["emb"].to_pylist(), strict=True):
         held.setdefault(len(e), []).append((r, e))
@@ -338,11 +381,15 @@ def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> float:
                     continue
                 rids, q = shared.value[int(d)]
                 part = b.take(pa.array(np.flatnonzero(dims == d)))
-                near = (q @ unit(_matrix(part.column("emb"))).T >= s.threshold) & (rids[:, None] != part.column("rid").to_numpy()[None])
-                yield pa.RecordBatch.from_arrays([pa.array((near * part.column("copies").to_numpy()).sum(axis=1).sum()[None].astype(np.int64))], ["n"])
+                x, other, copies = unit(_matrix(part.column("emb"))), part.column("rid").to_numpy(), part.column("copies").to_numpy()
+                for i in range(0, len(q), 512):
+                    near = (q[i : i + 512] @ x.T >= s.threshold) & (rids[i : i + 512, None] != other[None])
+                    n = (near * copies).sum(axis=1).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(rids[i : i + 512][n > 0]), pa.array(n[n > 0])], ["rid", "n"])
 
-    true = nodes.select("rid", "copies", "emb", "dim").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-    return sum(sample["links"].to_pylist()) / true if true else 1.0
+    true = nodes.select("rid", "copies", "emb", "dim").mapInArrow(run, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n")).collect()
+    links = dict(zip(sample["rid"].to_pylist(), sample["links"].to_pylist(), strict=True))
+    return np.array([min(1.0, links[r["rid"]] / r["n"]) for r in true])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", emb: str = "embedding", settings: Settings | None = None) -> DataFrame:
@@ -357,11 +404,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", emb: str = "embe
     s = settings or Settings()
     arrow_batch_rows(vectors.sparkSession, 4096)
     rows, nodes = nodes_of(vectors, id_col, emb)
-    for attempt in range(s.tries):
+    for _ in range(s.tries):
         counts, edges = link(nodes, s)
-        if attempt == s.tries - 1 or audit(nodes, counts, s) >= s.least_recall:
+        if audit(nodes, counts, s) >= s.least_recall:
             break
         s = replace(s, overlap=s.overlap + 1, beam=s.beam * 2, candidates=s.candidates + 16, degree=s.degree + 8)
+    else:
+        counts, edges = link_exact(nodes, s)
     groups = components(edges)
     roots = nodes.join(groups, nodes["rid"] == groups["node"], "left").select("rid", "k1", "k2", "least", "copies", F.coalesce("root", "rid").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
