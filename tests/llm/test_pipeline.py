@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from test_lines import plain_dedup
+from test_lines import links_of_all_pairs
 from test_simhash import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
@@ -50,7 +50,7 @@ def test_stages(spark, folder):
     assert sum("vileness" not in (r.text or "") for r in rows) == clean.count()
 
     kept = stages["line_dedup"](spark, clean, folder).cache()
-    plain = plain_dedup([(r.doc_id, r.text) for r in clean.collect()])
+    plain = links_of_all_pairs([(r.doc_id, r.text) for r in clean.where("text is not null").collect()])
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts == {d: t for d, t in plain.items() if t is None or t.strip() or not (dict((r.doc_id, r.text) for r in clean.collect())[d] or "").strip()}
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept.collect())

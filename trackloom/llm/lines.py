@@ -1,30 +1,29 @@
 """Fuzzy line dedup with built-in functions.
 
-Lines are normalised (trimmed, lower case); equal ones are one node. A node's
-SimHash is the bitwise majority of its distinct words' hashes (a separator
-repeated through a table's line would outvote all else), counted in lanes: bits
-k, k + 16, k + 32 and k + 48 of a hash are four 16-bit lanes of one long, so that
-16 sums count all 64 bits; very long lines are counted in parts.
-
-The 64 bits are cut into 5 blocks, and nodes meet in a bucket for each pair of
-blocks on which they agree, apart from nodes whose numbers of words rule out the
-similarity; all others whose SimHashes differ in at most 3 bits meet in some bucket. Two nodes that meet are linked if their SimHashes differ
-in at most 10 bits and their edit similarity is 0.8 or more: one less the edit
-distance in words over the longer line's words. For the distance each word is a
-letter, one of LETTERS by its hash.
-
-In a bucket all are compared with one representative; those not linked to it are
-compared with the whole bucket. Two nodes that are both linked to the
+Lines are normalised (trimmed, lower case); equal ones are one node. Two nodes
+are linked if their edit similarity is 0.8 or more: one less the edit distance
+in words over the longer line's words.
+
+Nodes meet on pigeonhole blocks that no linked pair can miss. A SimHash of 64
+bits has no such blocks at this similarity: 0.8 moves some 13 bits, and of one
+word changed in 12 to 30 its blocks found 28 to 68 %. The blocks are therefore
+pairs of neighbouring words: an edit of one word changes two pairs at most, so
+lines within t edits share one of the 2t + 1 first pairs of either, in any
+order common to all lines. Pairs of words that a sample finds rare come first,
+which affects costs only.
+
+Nodes that meet are compared by a signature before their texts are fetched: 256
+bits, of which each word sets one by its hash. An edit adds and removes one word
+at most, so linked lines' signatures differ in at most 2t bits; those of
+unrelated lines of up to some 250 words hardly ever do. For the edit distance each word is a letter, one
+of LETTERS by its hash.
+
+In a block all are compared with one representative; those not linked to it are
+compared with the whole block. Two nodes that are both linked to the
 representative need no comparison: they are in its group anyhow. The groups are
-therefore exactly the connected ones, while a bucket of many like lines costs
-its size, not the square of it.
-
-That finds by chance what differs in 4 to 10 bits, and nothing beyond. With
-`exact`, which the registered queries use, no SimHash decides: nodes meet under
-pairs of neighbouring words. An edit of one word changes two pairs at most, so
-lines within t edits share one of the 2t + 1 first pairs of either in any order
-common to all lines; pairs in rarer bins of a sample come first, which affects
-costs only. Every two lines of the edit similarity therefore meet and are linked.
+therefore exactly the connected ones, while a block of many like lines costs its
+size, not the square of it. Blocks that the sample finds frequent are counted
+before they are dealt out, so that no task holds one.
 
 Of each connected group the first occurrence stays, in order of document id and
 line.
@@ -33,22 +32,24 @@ line.
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, cut, drop_scratch, let, maybe_broadcast, release, row_keys, text_or_empty
+from trackloom.llm.common import components, cut, drop_scratch, maybe_broadcast, release, row_keys, text_or_empty
 
-SIMILARITY, BITS, BLOCKS = 0.8, 10, 5
+SIMILARITY = 0.8
 #: Rows up to which a counted table of line ids (of 40 bytes or so) is broadcast.
 FEW = 400_000
-#: Lanes of a sum, words of a part.
-LANES, PART = 16, 32_767
 #: Letters that stand for words in edit distances, from U+0100 on; below the surrogates.
 LETTERS = 55_000
-#: Bins in which pairs of words are counted, and the share of documents, one in SAMPLE, that is counted.
+#: Bins in which words are counted, and the share of documents, one in SAMPLE, that is counted.
 BINS, SAMPLE = 1 << 14, 8
-_LANE = 0x0001000100010001
+#: Bins in which the sample's keys are counted, and the share of them from which a bin's blocks are counted first.
+KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
+#: Longs of a signature.
+SIGS = 4
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -63,129 +64,86 @@ def words(norm: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, words): every line that is not blank."""
+    """(id, k1, k2, pos, h1, h2, hashes): every line that is not blank, with its words' hashes."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t"))
     lines = rows.select("id", *row_keys("id", F.col("t")), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     lines = lines.where(F.btrim("line", F.lit(_WHITE)) != "").select("id", "k1", "k2", "pos", normal(F.col("line")).alias("norm"))
-    return lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words(F.col("norm")).alias("words"))
+    hashes = F.transform(words(F.col("norm")), lambda w: F.xxhash64(w))
+    return lines.select("id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), hashes.alias("hashes"))
+
+
+def _zipped(array: Column, body) -> Column:
+    """body(x, y) of neighbours x, y of an array."""
+    n = F.greatest(F.size(array) - 1, F.lit(0))
+    return F.zip_with(F.slice(array, 1, n), F.slice(array, 2, n), body)
 
 
-def _pairs(words: Column) -> Column:
-    """Hashes of neighbouring words, with repetitions."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+def _bin(x: Column, bins: int) -> Column:
+    return x.bitwiseAND(F.lit(bins - 1)).cast("int")
 
 
-def _bin(pair: Column) -> Column:
-    return pair.bitwiseAND(F.lit(BINS - 1)).cast("int")
+def _counts(values: DataFrame, bins: int) -> list[int]:
+    """For each bin the number of values(x) in it: `bins` numbers, whatever the table."""
+    found = {r["bin"]: r["n"] for r in values.groupBy(_bin(F.col("x"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [found.get(i, 0) for i in range(bins)]
 
 
-def _levels(lines: DataFrame) -> Column:
-    """For each bin of pairs how frequent it is in a sample: BINS small numbers, whatever the table."""
-    some = lines.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select(F.explode(_pairs(F.col("words"))).alias("pair"))
-    level = F.round(F.log2(F.count(F.lit(1)) + 1) * 2).cast("int").alias("level")
-    found = {r["bin"]: r["level"] for r in some.groupBy(_bin(F.col("pair")).alias("bin")).agg(level).collect()}
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BINS))), ",").cast("array<int>")
+def _table(numbers: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
-def exact_occurrences(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, size, sim, keys): sim is 0 for all, keys are the first pairs of words.
+def _with_keys(lines: DataFrame, levels: Column, least: float) -> DataFrame:
+    """lines(hashes) with size and keys, the first pairs of a line, those of rare words first.
 
     T = most - 1 - 2 t pairs are common to lines of at most `most` words and t =
     most * (1 - least) edits, so the first 2 t + 1 - (most - n) of a line of n
     words hold one of them; that is greatest for most = n or n + 1. Lines of
     under four words are similar only if their words are equal.
+    Each step is a column of its own, as it is used more than once.
     """
-    if least < SIMILARITY:
-        raise ValueError(f"lines below an edit similarity of {SIMILARITY} need not share a pair of words")
-    lines = _lines(docs, id_col, text)
-    levels = _levels(lines)
-    size = F.size("words")
-    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
-    first = F.greatest(2 * edits(size) + 1, 2 * edits(size + 1))
-    ranked = F.sort_array(F.transform(_pairs(F.col("words")), lambda p: F.shiftleft(F.get(levels, _bin(p)).cast("long"), 31) + F.shiftrightunsigned(p, 33)))
     mask = F.lit((1 << 31) - 1)
-    keys = F.array_distinct(F.transform(F.slice(ranked, 1, first), lambda p: p.bitwiseAND(mask).cast("int")))
-    whole = F.array(F.xxhash64("words").bitwiseAND(mask).cast("int"))
-    return lines.select(*_KEYS[:-1], size.alias("size"), F.lit(0).cast("long").alias("sim"), F.when(size < 4, whole).otherwise(keys).alias("keys"))
-
-
-def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, size, sim): every line that is not blank, its number of words and its SimHash.
-
-    Words are counted before rows are dealt out, so what moves is one row of
-    counts for each line and part. A line of several parts is kept with its
-    counts, which are then added bit by bit.
-    """
-    lines = _lines(docs, id_col, text)
-    each = lines.select(*_KEYS[:-1], F.size("words").alias("size"), F.posexplode(F.array_distinct("words")).alias("at", "word"))
-    each = each.select(*_KEYS, F.floor(F.col("at") / PART).cast("int").alias("part"), F.xxhash64("word").alias("h"))
-    lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE))
-    sums = each.groupBy(*_KEYS, "part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(lane(k)).alias(f"s{k}") for k in range(LANES)))
-    one = F.col("size") <= PART
-    counts = F.when(~one, F.array(*(f"s{k}" for k in range(LANES))))
-    found = cut(sums.select(*_KEYS, "n", F.when(one, _majority(F.col("n"))).alias("sim"), counts.alias("counts")))
-    long = found.where(~one).select(*_KEYS, "n", *(F.col("counts")[k].alias(f"s{k}") for k in range(LANES)))
-    long = long.groupBy(*_KEYS).agg(F.sum("n").alias("n"), *(F.sum(_count(b)).alias(f"c{b}") for b in range(64)))
-    bits = (F.when(F.col(f"c{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64))
-    long = long.select(*_KEYS, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
-    return found.where(one).select(*_KEYS, "sim").unionByName(long)
-
-
-_KEYS = ["id", "k1", "k2", "pos", "h1", "h2", "size"]
-
-
-def _count(bit: int) -> Column:
-    return F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * 16).bitwiseAND(F.lit(0xFFFF))
-
-
-def _majority(n: Column) -> Column:
-    """Bits whose counts are over half of n: 2**15 less the least majority is added to each count, whose bit 15 then tells.
-
-    Lanes are taken two at a time, 32 bits apart, so that no sum reaches the
-    sign. A loop over the sums keeps the generated code small enough to be compiled.
-    """
-    two = 0x0000000100000001
-
-    def told(counts: Column, carry: Column) -> Column:
-        return F.shiftrightunsigned(counts.bitwiseAND(F.lit(0xFFFF * two)) + carry, 15).bitwiseAND(F.lit(two))
+    # A word's level goes to the lowest bits of its hash, so that a pair's level is a sum.
+    tagged = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(~63)).bitwiseOR(F.get(levels, _bin(F.shiftright(h, 6), BINS)).cast("long")))
+    level = lambda h: h.bitwiseAND(F.lit(63))
+    pairs = _zipped(F.col("_tagged"), lambda a, b: F.shiftleft(level(a) + level(b), 31) + F.xxhash64(a, b).bitwiseAND(mask))
+    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    first = F.greatest(2 * edits(F.col("size")) + 1, 2 * edits(F.col("size") + 1))
+    keys = F.array_distinct(F.transform(F.slice("_pairs", 1, first), lambda p: p.bitwiseAND(mask).cast("int")))
+    whole = F.array(F.xxhash64("hashes").bitwiseAND(mask).cast("int"))
+    out = lines.select("*", F.size("hashes").alias("size"), tagged.alias("_tagged"))
+    out = out.withColumn("_pairs", F.sort_array(pairs))
+    return out.withColumn("keys", F.when(F.col("size") < 4, whole).otherwise(keys)).drop("_tagged", "_pairs")
 
-    def lanes(carry: Column) -> Column:
-        def bits(s: Column, k: Column) -> Column:
-            both = told(s, carry).bitwiseOR(F.shiftleft(told(F.shiftrightunsigned(s, 16), carry), 16))
-            return F.call_function("shiftleft", both, k)
 
-        sums = F.array(*(f"s{k}" for k in range(LANES)))
-        return F.aggregate(F.transform(sums, bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+def _signature(hashes: Column) -> list[Column]:
+    """SIGS longs; a word sets one bit of one of them."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda i: lambda a, h: F.when(F.shiftright(h, 26).bitwiseAND(F.lit(SIGS - 1)) == i, a.bitwiseOR(bit(h))).otherwise(a)
+    return [F.aggregate(hashes, F.lit(0).cast("long"), of(i)).alias(s) for i, s in enumerate(_SIGS)]
 
-    return let((F.lit(1 << 15) - F.floor(n / 2) - 1) * F.lit(two), lanes)
 
+_SIGS = [f"s{i}" for i in range(SIGS)]
 
-def _buckets(nodes: DataFrame, least: float) -> DataFrame:
-    """(key, lid, sim, size): each node under every pair of blocks, or its keys if it has some, and its class of lengths, in a hash.
 
-    Classes of numbers of words are powers of two. A node that is so short in
-    its class that one of the class below can be similar is under that, too.
-    """
-    ends = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = lambda i: F.shiftrightunsigned("sim", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    own, low = F.floor(F.log2("size")).cast("long"), F.floor(F.log2(F.greatest(F.ceil(F.col("size") * least - 1e-9), F.lit(1)))).cast("long")
-    keys = [F.lit(p).cast("long") * (1 << 26) + block(i) * (1 << 13) + block(j) for p, (i, j) in enumerate(pairs)]
-    classes = F.explode(F.array_distinct(F.array(own, low))).alias("class")
-    if "keys" in nodes.columns:
-        rows = nodes.select("lid", "sim", "size", "keys", classes)
-        rows = rows.select("lid", "sim", "size", "class", F.explode("keys").alias("key"))
-        return rows.select("lid", "sim", "size", (F.col("class") * (1 << 31) + F.col("key")).alias("key"))
-    rows = nodes.select("lid", "sim", "size", classes)
-    keys = [k + F.col("class") * (1 << 30) for k in keys]
-    return rows.select("lid", "sim", "size", F.explode(F.array(*keys)).alias("key"))
+def occurrences(docs: DataFrame, id_col: str, text: str, least: float = SIMILARITY) -> tuple[DataFrame, list[int]]:
+    """(id, k1, k2, pos, h1, h2, size, keys, s0..s3) of every line that is not blank, and the bins of frequent keys."""
+    if least < SIMILARITY:
+        raise ValueError(f"lines below an edit similarity of {SIMILARITY} need not share a pair of words")
+    lines = _lines(docs, id_col, text)
+    some = cut(lines.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select("hashes"))
+    levels = _table([min(31, round(log2(n + 1))) for n in _counts(some.select(F.explode("hashes").alias("x")).select(F.shiftright("x", 6).alias("x")), BINS)])
+    counts = _counts(_with_keys(some, levels, least).select(F.explode("keys").alias("x")), KEY_BINS)
+    drop_scratch(some)
+    rows = _with_keys(lines, levels, least).select("id", "k1", "k2", "pos", "h1", "h2", "size", "keys", *_signature(F.col("hashes")))
+    return rows, [i for i, n in enumerate(counts) if n > sum(counts) * FREQUENT]
 
 
 def _near(a: str, b: str, least: float) -> Column:
-    """Whether nodes a and b can be linked: few differing bits, and lengths that allow the similarity."""
+    """Whether lengths and signatures of a and b allow the similarity; whatever has it passes."""
     la, lb = F.col(f"{a}size"), F.col(f"{b}size")
-    return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= BITS) & (F.least(la, lb) >= F.ceil(F.greatest(la, lb) * least - 1e-9))
+    most = F.floor(F.greatest(la, lb) * (1 - least) + 1e-9)
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SIGS))
+    return (F.abs(la - lb) <= most) & (differ <= 2 * most)
 
 
 def letters(norm: Column) -> Column:
@@ -228,79 +186,83 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
     return out
 
 
-def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between nodes(lid, sim, size, k1, k2, pos) that make the connected groups."""
-    buckets = _buckets(nodes, least)
-    ends = [F.min("lid").alias("rep"), F.max("lid").alias("last"), F.bit_xor("sim").alias("differ"), F.min("size").alias("short"), F.max("size").alias("long")]
-    shared = buckets.groupBy("key").agg(*ends, F.count(F.lit(1)).alias("n"))
-    # Two in a bucket are its least and its greatest, and what their SimHashes differ in is
-    # the sum of both: most such meetings are chance and end here. Larger buckets are looked up again.
-    near = (F.bit_count("differ") <= BITS) & (F.col("short") >= F.ceil(F.col("long") * least - 1e-9))
-    shared = cut(shared.where((F.col("n") > 2) | ((F.col("n") == 2) & near)).select("key", "rep", "last", "n"))
-    release(nodes.sparkSession)
-    larger = maybe_broadcast(shared.where("n > 2").select("key", "rep"), FEW)
-    both = shared.where("n = 2").select("key", "rep", F.col("last").alias("lid"))
-    more = buckets.join(larger, "key").where("lid <> rep").select("key", "rep", "lid")
-    members = both.unionByName(more)
-    known = nodes.select("lid", "sim", "size")
-    reps = known.select(F.col("lid").alias("rep"), F.col("sim").alias("rep_sim"), F.col("size").alias("rep_size"))
-    members = members.join(known, "lid").join(reps, "rep")
-    members = cut(members.select("key", "rep", "lid", "sim", "size", _near("", "rep_", least).alias("near")))
-    drop_scratch(shared)
+def _members(nodes: DataFrame, frequent: list[int]) -> DataFrame:
+    """(key, lid, rep, n): the nodes of each block with its least node and its size, of blocks of two and more.
+
+    Nearly all keys have one node, so counting before dealing saves nothing but
+    for the frequent ones.
+    """
+    rows = nodes.select("lid", F.explode("keys").alias("key"))
+    block = Window.partitionBy("key")
+    few = rows
+    if frequent:
+        often = F.coalesce(F.get(_table([int(i in set(frequent)) for i in range(KEY_BINS)]), _bin(F.col("key"), KEY_BINS)) == 1, F.lit(False))
+        few, many = rows.where(~often), rows.where(often)
+    out = few.withColumns({"rep": F.min("lid").over(block), "n": F.count(F.lit(1)).over(block)}).where("n > 1")
+    if frequent:
+        sums = cut(many.groupBy("key").agg(F.min("lid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        out = out.unionByName(many.join(maybe_broadcast(sums, FEW), "key"))
+    return cut(out.select("key", "lid", "rep", "n"))
+
+
+def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, frequent: list[int], least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between nodes(lid, size, s0.., keys, k1, k2, pos) that make the connected groups."""
+    members = _members(nodes, frequent)
     release(nodes.sparkSession)
-    pair = [F.least("rep", "lid").alias("a"), F.greatest("rep", "lid").alias("b")]
-    star = cut(members.where("near").select(*pair).distinct())
-    first = _verified(star, nodes, docs, text, id_col, least)
-    bad = members.where("near").select("key", "lid", "sim", "size", *pair).join(first.where("not ok").select("a", "b"), ["a", "b"], "left_semi")
-    left = members.where("not near").select("key", "lid", "sim", "size").unionByName(bad.select("key", "lid", "sim", "size"))
-    others = members.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "sim", "size")))
+    what = ["lid", "size", *_SIGS]
+    known = nodes.select(what)
+    reps = known.select(F.col("lid").alias("rep"), *(F.col(c).alias(f"rep_{c}") for c in what[1:]))
+    pairs = members.where("lid <> rep").select("rep", "lid").distinct().join(known, "lid").join(reps, "rep")
+    first = _verified(cut(pairs.where(_near("", "rep_", least)).select(F.col("rep").alias("a"), F.col("lid").alias("b"))), nodes, docs, text, id_col, least)
+    linked = first.where("ok").select(F.col("a").alias("rep"), F.col("b").alias("lid"))
+    larger = members.where("n > 2 and lid <> rep")
+    left = cut(larger.select("key", "lid", "rep").join(linked, ["rep", "lid"], "left_anti").select("key", "lid").join(known, "lid"))
+    others = larger.select("key", "lid").join(known, "lid").select("key", *(F.col(c).alias(f"two_{c}") for c in what))
     met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least))
     rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(cut(rest), nodes, docs, text, id_col, least)
     drop_scratch(members)
+    drop_scratch(left)
     return first.unionByName(second).where("ok").select("a", "b")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(k1, k2, gone): for each row of docs, by its keys, the places of lines that go."""
     spark = docs.sparkSession
-    if exact:
-        # Keys are computed again for the nodes rather than kept for each occurrence.
-        all_of = exact_occurrences(docs, id_col, text, least)
-        found = cut(all_of.drop("keys", "sim"))
-    else:
-        all_of = found = occurrences(docs, id_col, text)
+    every, frequent = occurrences(docs, id_col, text, least)
+    # Keys are computed again for the nodes rather than kept for each occurrence.
+    found = cut(every.select("k1", "k2", "pos", "h1", "h2"))
     release(spark)
-    # One occurrence stands for a node's text: first() takes all its columns from one row.
-    some = [F.first(c).alias(c) for c in ("sim", "size", "k1", "k2", "pos", *(["keys"] if exact else []))]
-    nodes = all_of.groupBy("h1", "h2").agg(*some, F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    nodes = cut(nodes.withColumn("lid", F.monotonically_increasing_id()))
+    at, of_line = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "pos"), ["size", "keys", *_SIGS]
+    nodes = every.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in of_line))
+    nodes = cut(nodes.select("h1", "h2", "at", "n", *of_line, *(F.col(f"at.{c}").alias(c) for c in ("k1", "k2", "pos")), F.monotonically_increasing_id().alias("lid")))
     release(spark)
-    groups = components(line_links(nodes, docs, text, id_col, least))
+    groups = components(line_links(nodes, docs, text, id_col, frequent, least))
     release(spark)
-    of = nodes.join(maybe_broadcast(groups, FEW), nodes["lid"] == groups["node"], "left").select("h1", "h2", "n", "id", "lid", "root")
-    of = cut(of.where("n > 1 or root is not null").select("h1", "h2", "id", F.coalesce("root", "lid").alias("root")))
-    first = of.groupBy("root").agg(F.min("id").alias("first"))
-    of = cut(of.select("h1", "h2", "root").join(first, "root"))
-    met = cut(found.select("id", "k1", "k2", "pos", "h1", "h2").join(maybe_broadcast(of, FEW), ["h1", "h2"]))
-    later = ~F.col("id").eqNullSafe(F.col("first"))
-    # In the first document the first line stays; rows that repeat its id are in order of their keys.
-    own = met.where(~later).groupBy("root").agg(F.min(F.struct("k1", "k2", "pos")).alias("stays"))
-    gone = met.join(own, "root").where(later | (F.struct("k1", "k2", "pos") != F.col("stays")))
-    return cut(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, new: str = "text_kept", exact: bool = False) -> DataFrame:
+    of = nodes.select("h1", "h2", "n", "at", "lid").join(maybe_broadcast(groups, FEW), nodes["lid"] == groups["node"], "left")
+    of = cut(of.where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "lid").alias("root")))
+    # Every node gets its group's first occurrence, so occurrences need no meeting by group.
+    stays = of.groupBy("root").agg(F.min("at").alias("stays"))
+    of = cut(of.select("h1", "h2", "root").join(stays, "root").select("h1", "h2", *(F.col(f"stays.{c}").alias(f"s_{c}") for c in ("k1", "k2", "pos"))))
+    drop_scratch(nodes)
+    met = found.join(maybe_broadcast(of, FEW), ["h1", "h2"])
+    gone = met.where("not (k1 = s_k1 and k2 = s_k2 and pos = s_pos)")
+    out = cut(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
+    drop_scratch(found)
+    return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, new: str = "text_kept") -> DataFrame:
     """docs with n_lines, n_removed and the text of the lines that stay.
 
     Blank lines are kept and never compared. A null text stays null, with no
     lines; an empty one has one blank line. Rows that repeat both id and text
-    count as one document: all of them keep the same lines. A null id comes
-    last in the order that tells which occurrence stays. Columns of docs named
-    like the new ones are replaced. With exact all lines of the similarity are
-    linked, else those that their SimHashes find.
+    count as one document, however many they are: all of them keep the same
+    lines. A null id comes last in the order that tells which occurrence stays.
+    Columns of docs named like the new ones are replaced. All lines of the edit
+    similarity `least` are linked.
     """
-    gone = removals(docs, id_col, text, least, exact).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
+    gone = removals(docs, id_col, text, least).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "gone": "_gone"})
     rows = docs.drop(*({"n_lines", "n_removed", new} - {id_col, text}))
     ident, t = row_keys(id_col, text_or_empty(text))
     rows = rows.withColumns({"_r1": ident, "_r2": t})
