@@ -142,7 +142,7 @@ def _near(a: str, b: str, least: float, sigs: list[str]) -> Column:
     """Whether lengths and signatures of a and b allow the similarity; whatever has it passes."""
     la, lb = F.col(f"{a}size"), F.col(f"{b}size")
     most = F.floor(F.greatest(la, lb) * (1 - least) + 1e-9)
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in sigs))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in sigs), F.lit(0))
     return (F.abs(la - lb) <= most) & (differ <= 2 * most)
 
 
@@ -187,22 +187,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def _members(nodes: DataFrame, frequent: list[int]) -> DataFrame:
-    """(key, lid, size, s0, rep, rep_size, rep_s0, n): the nodes of each block with its least node and its size, of blocks of two and more.
+    """(key, lid, size, rep, rep_size, n): the nodes of each block with its least node and its size, of blocks of two and more.
 
     Nearly all keys have one node, so counting before dealing saves nothing but
     for the frequent ones.
     """
-    rows = nodes.select("lid", "size", "s0", F.explode("keys").alias("key"))
-    block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size", "s0"))
+    rows = nodes.select("lid", "size", F.explode("keys").alias("key"))
+    block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size"))
     few = rows
     if frequent:
         often = F.coalesce(F.get(_table([int(i in set(frequent)) for i in range(KEY_BINS)]), _bin(F.col("key"), KEY_BINS)) == 1, F.lit(False))
         few, many = rows.where(~often), rows.where(often)
-    out = few.withColumn("n", F.count(F.lit(1)).over(block)).where("n > 1").withColumn("least", least.over(block))
+    out = few.withColumns({"n": F.count(F.lit(1)).over(block), "least": least.over(block)}).where("n > 1")
     if frequent:
         sums = cut(many.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         out = out.unionByName(many.join(maybe_broadcast(sums, FEW), "key"))
-    return cut(out.select("key", "lid", "size", "s0", "n", F.col("least.lid").alias("rep"), F.col("least.size").alias("rep_size"), F.col("least.s0").alias("rep_s0")))
+    return cut(out.select("key", "lid", "size", "n", F.col("least.lid").alias("rep"), F.col("least.size").alias("rep_size")))
 
 
 def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -216,24 +216,26 @@ def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, frequent: list[int], least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between nodes(lid, size, s0.., keys, k1, k2, pos) that make the connected groups.
 
-    Most meetings are chance; lengths and the first long of the signatures, which
-    travel with the keys, end nine in ten of them.
+    Most meetings are chance. Lengths travel with the keys and end many of them, signatures nearly all others.
     """
     spark = nodes.sparkSession
     members = _members(nodes, frequent)
     release(spark)
-    star = members.where((F.col("lid") != F.col("rep")) & _near("", "rep_", least, _SIGS[:1]))
+    star = members.where((F.col("lid") != F.col("rep")) & _near("", "rep_", least, []))
     star = _closer(star.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct(), nodes, least)
     first = _verified(star, nodes, docs, text, id_col, least)
     release(spark)
     linked = first.where("ok").select(F.col("a").alias("rep"), F.col("b").alias("lid"))
-    larger = members.where("n > 2 and lid <> rep").select("key", "lid", "size", "s0", "rep")
-    left = larger.join(maybe_broadcast(linked, FEW), ["rep", "lid"], "left_anti").select("key", "lid", "size", "s0")
+    larger = members.where("n > 2 and lid <> rep").select("key", "lid", "size", "rep").join(nodes.select("lid", "s0"), "lid")
+    larger = cut(larger.join(maybe_broadcast(linked.withColumn("done", F.lit(True)), FEW), ["rep", "lid"], "left").drop("rep"))
+    release(spark)
+    left = larger.where("done is null").drop("done")
     others = larger.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "size", "s0")))
     met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least, _SIGS[:1]))
     rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct()
     rest = cut(rest.join(maybe_broadcast(first.select("a", "b"), FEW), ["a", "b"], "left_anti"))
     drop_scratch(members)
+    drop_scratch(larger)
     release(spark)
     second = _verified(_closer(rest, nodes, least), nodes, docs, text, id_col, least)
     return first.unionByName(second).where("ok").select("a", "b")
