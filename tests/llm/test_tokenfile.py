@@ -24,12 +24,59 @@ def test_grammar_round_trip(seed):
     for a, b, i in zip(docs, shard.all(), range(len(docs)), strict=True):
         assert a.tolist() == b.tolist() == shard.ids(i).tolist()
     assert len(shard.symbols) < sum(map(len, docs))
+    flat = np.concatenate(docs)
+    for place in rng.integers(0, len(flat), 30).tolist():
+        i, at = shard.seek(place)
+        assert shard.ids(i, at, at + 7).tolist() == docs[i][at : at + 7].tolist() and docs[i][at] == flat[place]
+    with pytest.raises(IndexError):
+        shard.seek(len(flat))
     assert tokenfile.lengths(shard.rules, shard.first).tolist() == shard.lengths.tolist()
 
 
+def plain_counts(shard):
+    """Most uses, none overlapping another, of any pair of neighbouring symbols within documents."""
+    most, rows = 0, [shard.symbols[a:b].tolist() for a, b in zip(shard.begins, shard.begins[1:], strict=False)]
+    for pair in {p for row in rows for p in zip(row, row[1:], strict=False)}:
+        uses = 0
+        for row in rows:
+            k = 0
+            while k < len(row) - 1:
+                hit = (row[k], row[k + 1]) == pair
+                uses, k = uses + hit, k + 1 + hit
+        most = max(most, uses)
+    return most
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_pair_is_left_that_is_frequent(seed):
+    """Rounds end only when no pair can be replaced; a rule is used USES times when it is made."""
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(0, 300, rng.integers(3, 40)) for _ in range(20)]
+    docs = [np.concatenate([phrases[k] for k in rng.integers(0, 20, 30)]).astype(np.int32) for _ in range(12)]
+    shard = tokenfile.Shard(tokenfile.pack(list(range(12)), docs, 1000))
+    assert plain_counts(shard) < tokenfile.USES
+    assert len(shard.symbols) < sum(map(len, docs)) / 4
+    few = tokenfile.compress(np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])]), 1000, rules=3)
+    assert tokenfile.expand(few[0], few[1], 1000).tolist() == np.concatenate(docs).tolist()
+
+
+def test_rules_that_share_a_slot(monkeypatch):
+    monkeypatch.setattr(tokenfile, "_slot", lambda a, b: (a % np.uint32(3)).astype(np.uint32))
+    docs = [np.array([*range(8), *range(8)] * 12, np.int32)]
+    shard = tokenfile.Shard(tokenfile.pack([1], docs, 1000))
+    assert shard.all()[0].tolist() == docs[0].tolist() and plain_counts(shard) < tokenfile.USES
+
+
+def test_a_run_of_one_id_is_found_by_place():
+    docs = [np.full(100_000, 5, np.int32), np.arange(10, dtype=np.int32)]
+    shard = tokenfile.Shard(tokenfile.pack([1, 2], docs, 1000))
+    assert len(shard.symbols) < 40 and shard.ids(0, 99_990, 99_995).tolist() == [5] * 5
+    assert shard.seek(100_003) == (1, 3) and shard.ids(1, 3).tolist() == [3, 4, 5, 6, 7, 8, 9]
+
+
 def test_large_symbols_take_four_bytes():
-    docs = [np.array([70_000, 5, 70_000, 5] * 50, np.int32)]
-    assert tokenfile.Shard(tokenfile.pack([1], docs, 1000)).all()[0].tolist() == docs[0].tolist()
+    docs = [np.array([70_000, 5, 70_000, 5] * 50, np.int32), np.array([70_001], np.int32)]
+    assert tokenfile.Shard(tokenfile.pack([*range(len(docs))], docs, 1000)).all()[0].tolist() == docs[0].tolist()
 
 
 def test_encoder_equals_the_library(library):

@@ -2,20 +2,24 @@
 
 Documents are put in ascending order of their ids, encoded, and gathered in
 shards of about SHARD ids. In each shard frequent pairs of neighbouring symbols
-are replaced by new symbols, round after round: a round estimates the counts of
-pairs from every fourth place, takes up to RULES of the most frequent, and
-replaces their occurrences, leftmost first where they overlap. A pair never
-spans two documents, so every document begins at a symbol.
+are replaced by new symbols, round after round, until no pair is found USES
+times: a round counts the pairs, takes up to RULES of the most frequent, and
+replaces their occurrences, leftmost first where they overlap. A pair that is
+too rare stays so until one of its symbols is replaced, so a round looks only at
+places that were frequent or have changed. A pair never spans two documents, so
+every document begins at a symbol.
 
 A file is a Parquet table with a row for each shard: its number, its first
 place in order, its numbers of documents and ids, and the payload. A payload
-holds, little-endian: b"TLRP", version and bytes of a symbol (u16 each), the
+holds, little-endian: b"TLRP", version and halves of a symbol (u16 each), the
 numbers of documents, rules and symbols and `first` (u32 each); ids of documents
 (i64), a byte each for null; each document's first symbol (u32, and the end);
-the rules' pairs (2 u32 each), their expansion lengths (u32), and the symbols.
+the rules' pairs (2 u32 each), their expansion lengths (u32), and the symbols:
+the lower halves (u16), and if there are two halves the upper ones.
 Symbols below `first` are ids, symbol first + i is rule i.
-A document is decoded from its own symbols alone, and the lengths give the
-place of any id without expanding what comes before it.
+A document, and any run of its ids, is decoded from the symbols that it takes
+and the rules below them; the lengths give the place of any id without
+expanding what comes before it.
 """
 
 from __future__ import annotations
@@ -27,16 +31,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.bpe import ragged
+from trackloom.llm.bpe import byte_letters, ragged
 from trackloom.llm.common import arrow_batch_rows, maybe_broadcast, text_or_empty
 
 END_ID = 2
-#: Ids of a shard, rounds, rules of a round, least uses of a rule.
-SHARD, ROUNDS, RULES, USES = 1 << 20, 6, 4096, 4
+#: Ids of a shard, rules of a round, and least uses of a rule: with fewer it takes more room than it saves.
+SHARD, RULES, USES = 1 << 20, 8192, 8
+#: Texts whose words are looked up together, by their number of letters.
+TOGETHER = 1 << 23
 #: Pieces that a worker remembers before it starts afresh; about 200 bytes each.
 REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4sHHIIII")
@@ -52,8 +59,10 @@ class Encoder:
 
     Between single spaces a text falls into pieces that are encoded
     independently, each with its space. The library encodes the pieces that are
-    new to the worker, many in a call, set apart by an added token, and whole
-    texts in which white space meets white space or an added token occurs.
+    new to the worker, many in a call: they are told apart by the tokens that
+    begin with the space, or, at the beginning of a text, by an added token
+    between them. It also encodes whole texts in which white space meets white
+    space or an added token occurs.
     """
 
     def __init__(self, path: str):
@@ -63,6 +72,9 @@ class Encoder:
         added = self.library.get_added_tokens_decoder()
         self._added = [t.content for t in added.values()]
         self._apart = min(added, default=None)
+        self._opens = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self._opens[i] = token.startswith(byte_letters()[32])
         self._forget()
 
     def _forget(self) -> None:
@@ -73,6 +85,12 @@ class Encoder:
 
     def _library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and each one's number, straight from the library."""
+        if pieces[0].startswith(" "):
+            found = self.library.encode_batch_fast(["".join(pieces[i : i + 200]) for i in range(0, len(pieces), 200)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+            begin = np.flatnonzero(self._opens[ids])
+            if len(begin) == len(pieces):
+                return ids, np.diff(np.append(begin, len(ids)))
         if self._apart is None:
             lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
             return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
@@ -106,7 +124,7 @@ class Encoder:
         self._n, self._used = self._n + len(safe), self._used + len(ids)
 
     def _places(self, pieces: list[str], known: dict[str, int], space: str) -> np.ndarray:
-        """Place of each piece among those remembered, after learning the new ones; -1 for those to leave to the library."""
+        """Place of each of distinct pieces among those remembered, after learning the new ones; -1 for those to leave to the library."""
         out = np.fromiter(map(known.get, pieces, repeat(-2)), np.int64, len(pieces))
         new = np.flatnonzero(out == -2)
         if len(new):
@@ -115,22 +133,33 @@ class Encoder:
             out[new] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def _looked_up(self, pieces: pa.Array, known: dict[str, int], space: str) -> np.ndarray:
+        """Place of each piece; each distinct one is looked up once."""
+        coded = pieces.dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist(), known, space)
+        return places[coded.indices.to_numpy()] if len(places) else np.zeros(0, np.int64)
+
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
         if self._n > REMEMBERED:
             self._forget()
-        cuts = [t.split(" ") for t in texts]
-        counts = np.array([len(c) for c in cuts], np.int64)
+        cuts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        counts, pieces = cuts.value_lengths().to_numpy(), cuts.flatten()
         begin = np.cumsum(counts) - counts
-        first = self._places([c[0] for c in cuts], self._first, "")
-        which = self._places([p for c in cuts for p in c], self._at, " ")
+        first = self._looked_up(pieces.take(pa.array(begin)), self._first, "")
+        which = self._looked_up(pieces, self._at, " ")
         which[begin] = first
-        rest = np.minimum.reduceat(which, begin) < 0 if len(cuts) else np.zeros(0, bool)
+        rest = np.minimum.reduceat(which, begin) < 0
         sizes = np.where(which < 0, 0, self._size[which])
         ids = ragged(self._pool, self._start[which], sizes)
-        ends = np.cumsum(sizes)[begin + counts - 1] if len(cuts) else begin
-        out = np.split(ids, ends[:-1]) if len(cuts) else []
+        ends = np.cumsum(sizes)[begin + counts - 1]
+        out = np.split(ids, ends[:-1])
         for i in np.flatnonzero(rest).tolist():
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids if texts[i] else [], np.int32)
+            text = texts[i].as_py()
+            out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids if text else [], np.int32)
         return out
 
 
@@ -153,7 +182,7 @@ def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint32(2_654_435_761) ^ b * np.uint32(2_246_822_519)) >> np.uint32(14)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, first: int, rules: int = RULES, uses: int = USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules' pairs and documents' first symbols; starts: documents' first ids.
 
     Symbols from `first` on are rules, in the order in which they were made.
@@ -161,46 +190,71 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
     seq = ids.astype(np.uint32)
     begins = np.zeros(len(seq) + 1, bool)
     begins[starts] = True
-    made: list[np.ndarray] = []
-    limit, count = max(0, (1 << 16) - first) or (1 << 31), 0
-    table = np.full(_TABLE, -1, np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2 or count >= limit:
+    made, count = [np.zeros((0, 2), np.uint32)], 0
+    marked = np.zeros(_TABLE, bool)
+    live = np.flatnonzero(~begins[1:-1])  # places of pairs that may be frequent
+    while len(live):
+        a, b = seq[live], seq[live + 1]
+        code = a.astype(np.uint64) << np.uint64(32) | b
+        pairs, times = np.unique(code, return_counts=True)
+        often = times >= uses
+        if not often.any():
             break
-        a, b, whole = seq[:-1], seq[1:], ~begins[1:-1]
-        step = 4 if len(seq) > 50_000 else 1
-        code = (a[::step].astype(np.uint64) << np.uint64(32) | b[::step])[whole[::step]]
-        pairs, uses = np.unique(code, return_counts=True)
-        often = np.flatnonzero(uses >= max(2, USES // step))
-        best = often[np.argsort(uses[often], kind="stable")[::-1][: min(rules, limit - count)]]
-        if not len(best):
-            break
-        pa_, pb = (pairs[best] >> np.uint64(32)).astype(np.uint32), pairs[best].astype(np.uint32)
-        table.fill(-1)
-        slots = _slot(pa_, pb)
-        table[slots[::-1]] = np.arange(len(best), dtype=np.int32)[::-1]  # of two in a slot the more frequent
-        rule = table[_slot(a, b)]
-        at = np.flatnonzero(rule >= 0)
-        r = rule[at]
-        hit = (pa_[r] == a[at]) & (pb[r] == b[at]) & whole[at]
-        at, r = at[hit], r[hit]
-        at, r = _apart(at, r)
-        used = np.bincount(r, minlength=len(best))
-        fine = used >= USES
-        if not fine.any():
-            break
-        keep = fine[r]
-        at, r = at[keep], r[keep]
-        number = (np.cumsum(fine) - 1 + first + count).astype(np.uint32)
-        made.append(np.column_stack([pa_[fine], pb[fine]]))
-        count += int(fine.sum())
-        seq = seq.copy()
-        seq[at] = number[r]
-        stay = np.ones(len(seq), bool)
+        slots = _slot(a, b)
+        marked.fill(False)
+        marked[_slot((pairs[often] >> np.uint64(32)).astype(np.uint32), pairs[often].astype(np.uint32))] = True
+        there = marked[slots]
+        live, code, slots = live[there], code[there], slots[there]
+        best = np.flatnonzero(often)
+        best = best[np.argsort(times[best], kind="stable")[::-1][:rules]]
+        at, r = _replaced(live, code, slots, pairs[best], uses)
+        if not len(at):
+            best = best[:1]
+            at, r = _replaced(live, code, slots, pairs[best], 2)
+            if len(at) < uses:
+                break
+        used = np.bincount(r, minlength=len(best)) > 0
+        kept = pairs[best[used]]
+        made.append(np.column_stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+        seq[at] = (np.cumsum(used) - 1 + first + count).astype(np.uint32)[r]
+        count += len(kept)
+        stay = np.ones(len(seq) + 1, bool)
         stay[at + 1] = False
-        seq, begins = seq[stay], np.append(begins[:-1][stay], False)
-    all_rules = np.concatenate(made) if made else np.zeros((0, 2), np.uint32)
-    return seq, all_rules, np.flatnonzero(begins)
+        place = np.cumsum(stay) - 1
+        changed = place[at]
+        live = place[live[stay[live]]]
+        seq, begins = seq[stay[:-1]], begins[stay]
+        live = np.concatenate([live, changed, changed[changed > 0] - 1])
+        live = live[live < len(seq) - 1]
+        live = live[~begins[live + 1]]
+        again = np.zeros(len(seq), bool)
+        again[live] = True
+        live = np.flatnonzero(again)
+    return seq, np.concatenate(made), np.flatnonzero(begins[:-1])
+
+
+def _replaced(live: np.ndarray, code: np.ndarray, slots: np.ndarray, best: np.ndarray, uses: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places to replace, no two of them neighbours, and each one's index in best; pairs left with fewer than `uses` places have none.
+
+    live, code, slots: the places looked at, their pairs and slots. Pairs of
+    best that share a slot are looked up one after the other.
+    """
+    own = _slot((best >> np.uint64(32)).astype(np.uint32), best.astype(np.uint32))
+    rule, left = np.full(len(live), -1, np.int32), np.arange(len(best), dtype=np.int32)
+    table, open_ = np.full(_TABLE, -1, np.int32), np.arange(len(live))
+    while len(left):
+        table.fill(-1)
+        table[own[left][::-1]] = left[::-1]
+        r = table[slots[open_]]
+        some = r >= 0
+        open_, r = open_[some], r[some]
+        hit = best[r] == code[open_]
+        rule[open_[hit]] = r[hit]
+        open_, left = open_[~hit], left[table[own[left]] != left]
+    some = rule >= 0
+    at, r = _apart(live[some], rule[some])
+    fine = np.bincount(r, minlength=len(best)) >= uses
+    return at[fine[r]], r[fine[r]]
 
 
 def _apart(at: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,25 +267,36 @@ def _apart(at: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[even], r[even]
 
 
+def _by_level(rules: np.ndarray, first: int) -> list[np.ndarray]:
+    """Rules in groups, each made of ids and rules of earlier groups only."""
+    level, pairs = np.zeros(first + len(rules), np.int32), rules.astype(np.int64)
+    while len(rules):
+        now = level[pairs].max(axis=1) + 1
+        if np.array_equal(now, level[first:]):
+            break
+        level[first:] = now
+    return [np.flatnonzero(level[first:] == i) for i in range(1, int(level.max(initial=0)) + 1)]
+
+
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Expansion length of each rule."""
-    out = np.ones(len(rules), np.int64)
-    size = lambda s: 1 if s < first else out[s - first]
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = size(a) + size(b)
-    return out
+    out, pairs = np.ones(first + len(rules), np.int64), rules.astype(np.int64)
+    for some in _by_level(rules, first):
+        out[first + some] = out[pairs[some]].sum(axis=1)
+    return out[first:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for: all rules are expanded once, then gathered."""
+    """The ids that symbols stand for: all rules are expanded once, level by level, then gathered."""
     sizes = np.concatenate([np.ones(first, np.int64), lengths(rules, first)])
-    pool = np.empty(first + int(sizes[first:].sum()), np.int64)
+    start, pairs = np.cumsum(sizes) - sizes, rules.astype(np.int64)
+    pool = np.empty(int(sizes.sum()), np.int32)
     pool[:first] = np.arange(first)
-    start = np.concatenate([np.arange(first), first + np.cumsum(sizes[first:]) - sizes[first:]])
-    for i, (a, b) in enumerate(rules.tolist()):
-        at, na, nb = start[first + i], sizes[a], sizes[b]
-        pool[at : at + na] = pool[start[a] : start[a] + na]
-        pool[at + na : at + na + nb] = pool[start[b] : start[b] + nb]
+    for some in _by_level(rules, first):
+        parts, whole = pairs[some].ravel(), first + some
+        n = sizes[whole]
+        at = np.arange(int(n.sum())) + np.repeat(start[whole] - (np.cumsum(n) - n), n)
+        pool[at] = ragged(pool, start[parts], sizes[parts])
     return ragged(pool, start[symbols], sizes[symbols])
 
 
@@ -242,17 +307,17 @@ def pack(doc_ids: list, ids: list[np.ndarray], first: int) -> bytes:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     first = max(first, int(flat.max()) + 1 if len(flat) else 0)
     seq, rules, begins = compress(flat, starts, first)
-    wide = 2 if first + len(rules) <= 1 << 16 else 4
+    halves = 1 if first + len(rules) <= 1 << 16 else 2
     null = np.array([d is None for d in doc_ids], np.uint8)
     return b"".join(
         [
-            _HEAD.pack(b"TLRP", 1, wide, len(ids), len(rules), len(seq), first),
+            _HEAD.pack(b"TLRP", 1, halves, len(ids), len(rules), len(seq), first),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             null.tobytes(),
             np.append(begins, len(seq)).astype("<u4").tobytes(),
             rules.astype("<u4").tobytes(),
             lengths(rules, first).astype("<u4").tobytes(),
-            seq.astype(f"<u{wide}").tobytes(),
+            *((seq >> (16 * h)).astype("<u2").tobytes() for h in range(halves)),
         ]
     )
 
@@ -261,7 +326,7 @@ class Shard:
     """A payload, open for reading."""
 
     def __init__(self, payload: bytes):
-        magic, version, wide, n, n_rules, n_seq, self.first = _HEAD.unpack_from(payload)
+        magic, version, halves, n, n_rules, n_seq, self.first = _HEAD.unpack_from(payload)
         if magic != b"TLRP" or version != 1:
             raise ValueError("not a token shard")
         at = _HEAD.size
@@ -277,16 +342,50 @@ class Shard:
         self.begins = take("<u4", n + 1)
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         self.lengths = take("<u4", n_rules)
-        self.symbols = take(f"<u{wide}", n_seq)
-
-    def ids(self, i: int) -> np.ndarray:
-        """Ids of document i, from its own symbols."""
-        return expand(self.symbols[self.begins[i] : self.begins[i + 1]], self.rules, self.first)
+        self.symbols = sum(take("<u2", n_seq).astype(np.uint32) << (16 * h) for h in range(halves))
+
+    def ids(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids start to stop of document i; only symbols that hold some of them are expanded."""
+        symbols = self.symbols[self.begins[i] : self.begins[i + 1]]
+        ends = np.cumsum(self._spans(symbols))
+        total = int(ends[-1]) if len(ends) else 0
+        start, stop, _ = slice(start, stop).indices(total)
+        out, stack = [], []
+        low, high = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+        before = int(ends[low - 1]) if low else 0
+        for s in symbols[low:high].tolist():
+            stack.append(s)
+            while stack:
+                x = stack.pop()
+                span = 1 if x < self.first else int(self.lengths[x - self.first])
+                if before + span <= start or before >= stop:
+                    before += span
+                elif x < self.first:
+                    out.append(x)
+                    before += 1
+                else:
+                    one, two = self.rules[x - self.first].tolist()
+                    stack += [two, one]
+        return np.array(out, np.int64)
+
+    def seek(self, place: int) -> tuple[int, int]:
+        """The document that holds the shard's id number `place`, and the id's place in it."""
+        ends = np.cumsum(self.sizes())
+        if not 0 <= place < (int(ends[-1]) if len(ends) else 0):
+            raise IndexError(place)
+        i = int(np.searchsorted(ends, place, "right"))
+        return i, place - (int(ends[i - 1]) if i else 0)
+
+    def _spans(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        rule = symbols >= self.first
+        out = np.ones(len(symbols), np.int64)
+        out[rule] = self.lengths[symbols[rule] - self.first]
+        return out
 
     def sizes(self) -> np.ndarray:
         """Ids of each document, from the expansion lengths."""
-        one = np.concatenate([np.ones(self.first, np.int64), self.lengths])
-        ends = np.concatenate([[0], np.cumsum(one[self.symbols])])
+        ends = np.concatenate([[0], np.cumsum(self._spans(self.symbols))])
         return np.diff(ends[self.begins])
 
     def all(self) -> list[np.ndarray]:
@@ -294,6 +393,19 @@ class Shard:
         return np.split(flat, ends[:-1]) if len(ends) else []
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER letters, so that a word that many texts share is looked up once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, out: str, id_col: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, shard: int = SHARD) -> None:
     """Write the ids of every text of docs to the folder `out`.
 
@@ -317,8 +429,8 @@ def write(docs: DataFrame, out: str, id_col: str = "doc_id", text: str = "text",
                 ["part", "shard", "n_docs", "n_ids", "payload"],
             )
 
-        for b in batches:
-            for d, ids in zip(b.column("id").to_pylist(), enc.encode_batch(b.column("t").to_pylist()), strict=True):
+        for b in _together(batches):
+            for d, ids in zip(b.column("id").to_pylist(), enc.encode_batch(b.column("t")), strict=True):
                 names.append(d)
                 held.append(np.append(ids, np.int32(end_id)))
                 total += len(held[-1])
