@@ -55,3 +55,42 @@ def test_no_labels_and_empty(spark, odd_docs):
     named = odd_docs.withColumnsRenamed({"lang": "p_toxic", "source": "toxic"})
     kept = toxicity.reject(named, labels)
     assert kept.columns == named.columns and kept.count() == odd_docs.count()
+
+
+def test_an_id_repeated_often_is_one_row_of_the_sample(spark):
+    """The model is that of single rows, as the least text of an id stands for it."""
+    from pyspark.sql import functions as F
+
+    docs, labels = corpus(spark, 120)
+    many = docs.union(docs.where("doc_id = 10").crossJoin(spark.range(20_000)).select("doc_id", "text"))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    assert one.features == two.features and np.array_equal(one.weights, two.weights) and np.array_equal(one.bias, two.bias)
+    assert toxicity.score(many.where(F.col("doc_id") == 10), two).select("p_toxic").distinct().count() == 1
+
+
+def test_found_of_documents_never_labelled(spark):
+    """End to end against the chain fitted by hand on the same sample."""
+    docs, labels = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    marked = {}
+    for r in labels.where("doc_id is not null and quality is not null").collect():
+        low, toxic = marked.get(r.doc_id, (0, 0))
+        marked[r.doc_id] = (max(low, int(r.quality == 0)), max(toxic, r.toxic))
+    ids = sorted(marked)
+    y = np.array([[marked[i][0], marked[i][1], marked[i][0] * marked[i][1]] for i in ids], float)
+    names = list(toxicity.CATEGORIES)
+    sets = [sorted(model.held(rows[i])) for i in ids]
+    plain = toxicity.unfitted(names, model.features)
+    fold, apart = np.arange(len(ids)) % toxicity.FOLDS, np.zeros((len(ids), 3))
+    for c in range(3):
+        used = [[j for j in s if model.weights[c][j] != 0] for s in sets]
+        at = lambda pick: toxicity.flat([used[i] for i in pick])
+        every = np.arange(len(ids))
+        plain.weights[c], plain.chain[c, :c], plain.bias[c] = toxicity.logistic(*at(every), apart[:, :c], y[:, c], len(model.features))
+        for f in range(toxicity.FOLDS):
+            inside, held = every[fold != f], every[fold == f]
+            w, chain, bias = toxicity.logistic(*at(inside), apart[inside, :c], y[inside, c], len(model.features))
+            apart[held, c] = [toxicity.sigmoid(w[used[i]].sum() + apart[i, :c] @ chain + bias) for i in held]
+    texts = list(rows.values())
+    assert np.allclose(model.probabilities(texts), plain.probabilities(texts), atol=1e-6)

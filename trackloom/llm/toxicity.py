@@ -9,12 +9,14 @@ Features are the distinct words of a text and the first 4 to 8 letters of each
 word, present or not, numbered by a hash. They are chosen by the
 log-likelihood ratio of their counts in a category's rows and the others, for
 each category its own, so that what speaks for one has no say in another but
-through the chain; the counts are summed on the executors, so the driver holds the chosen features of
-a bounded sample of labelled rows only.
+through the chain. Counts are summed on the executors, and the chain is fitted in one task
+over the chosen features of a bounded sample of labelled documents, so the
+driver holds the features' places and the weights only.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, cut, text_or_empty
+from trackloom.llm.common import arrow_batch_rows, cut, drop_scratch, text_or_empty
 
 #: Bound of the labelled sample, features chosen for a category, folds.
 SAMPLE, FEATURES, FOLDS = 12_000, 3000, 5
@@ -129,12 +131,21 @@ def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features:
 
     own: the features (columns) that each category (rows) uses; all if None.
     """
-    n, c_all, n_features = len(sets), len(names), len(features)
-    model = Model(names, features, np.zeros((c_all, n_features)), np.zeros((c_all, c_all)), np.full(c_all, -40.0))
-    apart = np.zeros((n, c_all))
+    return fit_flat(*flat(sets), y, names, features, own, folds)
+
+
+def unfitted(names: list[str], features: dict[int, int]) -> Model:
+    """A model that gives every text probability zero."""
+    k = len(names)
+    return Model(names, features, np.zeros((k, len(features))), np.zeros((k, k)), np.full(k, -40.0))
+
+
+def fit_flat(all_rows: np.ndarray, all_columns: np.ndarray, y: np.ndarray, names: list[str], features: dict[int, int], own: np.ndarray | None = None, folds: int = FOLDS) -> tuple[Model, np.ndarray]:
+    """fit_chain() with the sets as arrays: the row and the feature of each member."""
+    n, c_all, n_features = len(y), len(names), len(features)
+    model, apart = unfitted(names, features), np.zeros((n, c_all))
     if not n:
         return model, apart
-    all_rows, all_columns = flat(sets)
     fold = np.arange(n) % folds
     for c in range(c_all):
         used = slice(None) if own is None else own[c][all_columns]
@@ -155,7 +166,7 @@ def fit_chain(sets: list[list[int]], y: np.ndarray, names: list[str], features:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", categories: dict[str, str] | None = None, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit on at most `sample` labelled rows of docs, those with the least hashes of their ids.
 
-    Labels with a null id or a null category are not used; an id labelled more
+    Of an id with several texts the one of the least hash is used. Labels with a null id or a null category are not used; an id labelled more
     than once has a category if any of its rows has it. Without usable labels
     the model gives every text probability zero.
     """
@@ -166,6 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     marked = marked.na.drop().groupBy("_id").agg(*(F.max(y).alias(y) for y in ys))
     chosen = marked.orderBy(F.xxhash64(F.lit("toxicity"), "_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t")).join(F.broadcast(chosen), "_id")
+    # One text for each id, so the sample is bounded in rows, too.
+    one = F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t")
+    rows = cut(rows.groupBy("_id").agg(one, *(F.first(y).alias(y) for y in ys)))
     arrow_batch_rows(docs.sparkSession)
     k = len(names)
 
@@ -201,10 +215,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             held = pa.array([sorted(has.held(t)) for t in b.column("_t").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("_id"), *(b.column(y) for y in ys), held], ["_id", *ys, "held"])
 
-    out = rows.mapInArrow(pick, rows.drop("_t").select("_id", *ys).withColumn("held", F.array(F.lit(0))).schema).toArrow()
-    got = sorted(zip(out["_id"].to_pylist(), out["held"].to_pylist(), *(out[y].to_pylist() for y in ys), strict=True))
-    y = np.array([g[2:] for g in got], float).reshape(len(got), k)
-    return fit_chain([g[1] for g in got], y, names, at, own)[0]
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_id")
+        held = t.column("held").combine_chunks()
+        of = np.repeat(np.arange(t.num_rows), held.value_lengths().to_numpy())
+        y = np.column_stack([t.column(c).to_numpy() for c in ys]).astype(float)
+        m = fit_flat(of, held.flatten().to_numpy(), y, names, shared.value, own)[0]
+        return pa.table({"model": pa.array([pickle.dumps((m.weights, m.chain, m.bias))], pa.binary())})
+
+    picked = rows.mapInArrow(pick, rows.drop("_t").select("_id", *ys).withColumn("held", F.array(F.lit(0))).schema)
+    solved = picked.groupBy(F.lit(0).alias("_all")).applyInArrow(solve, "model binary").collect()
+    drop_scratch(rows)
+    drop_scratch(counts)
+    return Model(names, at, *pickle.loads(solved[0]["model"])) if solved else unfitted(names, at)
 
 
 def _ratio(has, n, positives: float, total: float):
