@@ -43,3 +43,12 @@ def clip(master: DataFrame, cells: DataFrame) -> DataFrame:
     high = [F.least(c, f"c_{c}").alias(c) for c in BOX[3:]]
     rest = [c for c in master.columns if c not in (*BOX, "space_id")]
     return master.join(named, "space_id").select("space_id", *low, *high, *rest)
+
+
+def expand(master: DataFrame, cells: DataFrame) -> DataFrame:
+    """Bounds that hold the partitions' cells and what is in them, for stores whose shapes reach beyond their cell."""
+    named = cells.select("space_id", *(F.col(c).alias(f"c_{c}") for c in BOX))
+    low = [F.least(c, f"c_{c}").alias(c) for c in BOX[:3]]
+    high = [F.greatest(c, f"c_{c}").alias(c) for c in BOX[3:]]
+    rest = [c for c in master.columns if c not in (*BOX, "space_id")]
+    return master.join(named, "space_id").select("space_id", *low, *high, *rest)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geom import BOX, box, box_intersection, box_volume, boxes_overlap, col, planar_distance, rect, rect_has_point
-from trackloom.operators.stays import _cut as cut
+from trackloom.operators.scratch import cut
 
 #: Cells up to which each row is compared with all of them; beyond, both sides meet in a coarse grid.
 FEW_CELLS = 2000
@@ -59,6 +59,40 @@ def _disjoint(cells: DataFrame, n: int) -> bool:
     return a.join(F.broadcast(b), on).limit(1).count() == 0
 
 
+def meeting(shapes: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Each shape (x1..z2) beside each space whose box overlaps its own; the space's box gets the prefix s_.
+
+    A few spaces are broadcast and compared with every shape. More are cut, like
+    the shapes, into the bins of a coarse grid over their common area, joined on
+    the bin, and a pair comes out in the bin of the low corner of its common box.
+    """
+    named = spaces.withColumnsRenamed({c: f"s_{c}" for c in BOX})
+    other = [f"s_{c}" for c in BOX]
+    overlap = boxes_overlap(box(), box(*other))
+    s = named.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in other[:3]), *(F.max(c).alias(c) for c in other[3:])).first()
+    if s["n"] <= FEW_CELLS:
+        return shapes.join(F.broadcast(named), overlap)
+    bins = max(1, min(64, round(s["n"] ** (1 / 3))))
+    low = [s[c] for c in other[:3]]
+    step = [(s[h] - w) / bins or 1.0 for h, w in zip(other[3:], low, strict=True)]
+
+    def bin_of(v: Column, i: int) -> Column:
+        return F.least(F.greatest(F.floor((v - F.lit(low[i])) / F.lit(step[i])), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    def binned(rows: DataFrame, box_names: list[str]) -> DataFrame:
+        for i in range(3):
+            rows = rows.withColumn(f"_b{i}", F.explode(F.sequence(bin_of(F.col(box_names[i]), i), bin_of(F.col(box_names[i + 3]), i))))
+        return rows
+
+    near = shapes.where(boxes_overlap(box(), box(*(F.lit(s[c]) for c in other))))
+    spread = binned(named, other)
+    spread = F.broadcast(spread) if spread.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else spread
+    here = overlap
+    for i, (a, b) in enumerate(zip(BOX[:3], other[:3], strict=True)):
+        here = here & (bin_of(F.greatest(F.col(a), F.col(b)), i) == F.col(f"_b{i}"))
+    return binned(near, list(BOX)).join(spread, ["_b0", "_b1", "_b2"]).where(here).drop("_b0", "_b1", "_b2")
+
+
 def replicate(shapes: DataFrame, spaces: DataFrame, source: str | None = None) -> DataFrame:
     """Each shape (x1..z2) with every space_id that its box overlaps.
 
@@ -66,29 +100,27 @@ def replicate(shapes: DataFrame, spaces: DataFrame, source: str | None = None) -
     read from: then only the copy whose low corner lies in that partition is
     passed on, so that shapes stored several times come out once for each space.
     """
-    named = spaces.select("space_id", *(F.col(c).alias(f"s_{c}") for c in BOX))
-    out = shapes.join(F.broadcast(named), boxes_overlap(box(), box(*(f"s_{c}" for c in BOX)))).drop(*(f"s_{c}" for c in BOX))
     if source:
         low = F.col(source)
-        out = out.where((F.col("x1") >= low["x1"]) & (F.col("x1") < low["x2"]) & (F.col("y1") >= low["y1"]) & (F.col("y1") < low["y2"]) & (F.col("z1") >= low["z1"]) & (F.col("z1") < low["z2"]))
-    return out
+        shapes = shapes.where((F.col("x1") >= low["x1"]) & (F.col("x1") < low["x2"]) & (F.col("y1") >= low["y1"]) & (F.col("y1") < low["y2"]) & (F.col("z1") >= low["z1"]) & (F.col("z1") < low["z2"]))
+    return meeting(shapes, spaces.select("space_id", *BOX)).drop(*(f"s_{c}" for c in BOX))
 
 
 def most_overlap(shapes: DataFrame, spaces: DataFrame, key: str) -> DataFrame:
-    """Each shape with the one space_id of the largest common volume, the least id of equals; null without overlap."""
-    named = spaces.select("space_id", *(F.col(c).alias(f"s_{c}") for c in BOX))
-    b, s = box(), box(*(f"s_{c}" for c in BOX))
-    pairs = shapes.join(F.broadcast(named), boxes_overlap(b, s), "left")
-    best = Window.partitionBy(key).orderBy(F.col("_volume").desc_nulls_last(), "space_id")
-    pairs = pairs.withColumn("_volume", box_volume(box_intersection(b, s)))
-    return pairs.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "_volume", *(f"s_{c}" for c in BOX))
+    """Each shape with the one space_id of the largest common volume, the least id of equals; null without overlap.
+
+    Rows that repeat a key stand for one shape.
+    """
+    pairs = meeting(shapes.select(key, *BOX), spaces.select("space_id", *BOX))
+    volume = box_volume(box_intersection(box(), box(*(f"s_{c}" for c in BOX))))
+    best = pairs.groupBy(key).agg(F.max(F.struct(volume.alias("v"), (-F.col("space_id")).alias("s"))).alias("best"))
+    return shapes.dropDuplicates([key]).join(best.select(key, (-F.col("best.s")).alias("space_id")), key, "left").select(*shapes.columns, "space_id")
 
 
 def partition_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of partitions of two stores whose boxes overlap: (a_id, b_id)."""
-    one = a.select(F.col("space_id").alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in BOX))
-    two = b.select(F.col("space_id").alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in BOX))
-    return one.join(F.broadcast(two), boxes_overlap(box(*(f"a_{c}" for c in BOX)), box(*(f"b_{c}" for c in BOX)))).select("a_id", "b_id")
+    met = meeting(a.select(F.col("space_id").alias("a_id"), *BOX), b.select(F.col("space_id").alias("b_id"), *BOX))
+    return met.select("a_id", "b_id")
 
 
 def spatial_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, spaces: DataFrame) -> DataFrame:
@@ -96,11 +128,13 @@ def spatial_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, spaces: Dat
 
     Both sides are dealt to the spaces that they overlap and joined within each;
     a pair comes out in the space that holds the low corner of its common box.
+    Shapes travel with their spaces' boxes, so no other join is needed; adaptive
+    execution splits a space that holds a large share of the shapes.
     """
-    one = replicate(a.select(F.col(a_key).alias("_a"), *BOX), spaces).select("_a", "space_id", *(F.col(c).alias(f"a_{c}") for c in BOX))
-    two = replicate(b.select(F.col(b_key).alias("_b"), *BOX), spaces).select("_b", "space_id", *(F.col(c).alias(f"b_{c}") for c in BOX))
-    at = spaces.select("space_id", *(F.col(c).alias(f"s_{c}") for c in BOX))
-    met = one.join(two, "space_id").where(boxes_overlap(box(*(f"a_{c}" for c in BOX)), box(*(f"b_{c}" for c in BOX)))).join(F.broadcast(at), "space_id")
+    at = [F.col(f"s_{c}") for c in BOX]
+    one = meeting(a.select(F.col(a_key).alias("_a"), *BOX), spaces.select("space_id", *BOX)).select("_a", "space_id", *(F.col(c).alias(f"a_{c}") for c in BOX), *at)
+    two = meeting(b.select(F.col(b_key).alias("_b"), *BOX), spaces.select("space_id", *BOX)).select("_b", "space_id", *(F.col(c).alias(f"b_{c}") for c in BOX))
+    met = one.join(two, "space_id").where(boxes_overlap(box(*(f"a_{c}" for c in BOX)), box(*(f"b_{c}" for c in BOX))))
     corner = F.lit(True)
     for axis in "xyz":
         low = F.greatest(f"a_{axis}1", f"b_{axis}1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from trackloom.operators.partition.base import Partitioner, assign_points, overlapping
@@ -12,9 +14,8 @@ from trackloom.operators.partition.rtree import pack, tree_shape
 from trackloom.operators.partition.zcurve import ZCurve
 
 KINDS = {"grid": Grid, "kd": KdTree, "quad": QuadTree, "zcurve": ZCurve}
-#: What a policy does with a shape's partition bounds: shrink to content, grow to content, or replicate the shape.
+#: Policies whose partitions are bounded by their content, and whose shapes are in every cell that they meet; see sinks.bounded (fixed values).
 PACKED = ("heap", "rtree", "r+tree", "str", "str+")
-EXPANDED = ("heap", "rtree", "str")
 REPLICATED = ("grid", "r+tree", "str+")
 
 
@@ -25,13 +26,20 @@ def build_index(kind: str, points: DataFrame, area: tuple[float, float, float, f
     return KINDS[kind].build(points, area, n, x, y, sample)
 
 
+def load(spec: str) -> Partitioner:
+    """The partitioner that spec() wrote, in another job."""
+    state = json.loads(spec)
+    if state["kind"] not in KINDS:
+        raise ValueError(f"unknown index {state['kind']!r}")
+    return KINDS[state["kind"]].restored(tuple(state["area"]), state)
+
+
 def partition_count(size: int, block: int, overhead: float = 0.1) -> int:
     """Partitions of at most a block each, with room for the index."""
     return max(1, -(-int(size * (1 + overhead)) // block))
 
 
 __all__ = [
-    "EXPANDED",
     "KINDS",
     "PACKED",
     "REPLICATED",
@@ -44,6 +52,7 @@ __all__ = [
     "ZCurve",
     "assign_points",
     "build_index",
+    "load",
     "overlapping",
     "pack",
     "partition_count",

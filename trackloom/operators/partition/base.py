@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.functions.geom import col, rect, rects_overlap
+from trackloom.functions.geom import col, rect
+from trackloom.operators.joins import meeting
 
 Area = tuple[float, float, float, float]
 CELLS = "cell_id long, x1 double, y1 double, x2 double, y2 double"
@@ -43,6 +44,11 @@ class Partitioner(ABC):
     def _state(self) -> dict:
         return {}
 
+    @classmethod
+    def restored(cls, area: Area, state: dict) -> Partitioner:
+        """The partitioner of what _state() gave."""
+        return cls(area, **{k: v for k, v in state.items() if k not in ("kind", "area")})
+
     def inside(self, x, y) -> Column:
         x, y = col(x), col(y)
         return (x >= self.area[0]) & (x < self.area[2]) & (y >= self.area[1]) & (y < self.area[3])
@@ -51,18 +57,25 @@ class Partitioner(ABC):
 def sampled(points: DataFrame, x: str, y: str, limit: int) -> np.ndarray:
     """At most `limit` points as rows of x and y, in an order that does not depend on the input's."""
     rows = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    kept = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(limit).collect()
+    h, n = F.xxhash64("x", "y"), rows.count()
+    if n > 8 * limit:
+        # Hashes below a bound that some 4 * limit points have: tasks then send few points. Not if those are too few after all.
+        some = rows.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (4 * limit / n))))
+        rows = some if some.limit(limit).count() == limit else rows
+    kept = rows.orderBy(h, "x", "y").limit(limit).collect()
     return np.array([(r.x, r.y) for r in kept], float).reshape(-1, 2)
 
 
 def overlapping(shapes: DataFrame, cells: DataFrame, r: Column | None = None) -> DataFrame:
-    """Every shape beside every cell that it overlaps; cells is a small table of boxes.
+    """Every shape beside every cell that it overlaps; many cells meet the shapes in the bins of a grid.
 
     shapes has x1..y2 unless r gives its rectangle; cells' columns get the prefix c_.
     """
-    named = cells.select(F.col("cell_id"), *(F.col(c).alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")))
-    r = rect() if r is None else r
-    return shapes.join(F.broadcast(named), rects_overlap(r, rect("c_x1", "c_y1", "c_x2", "c_y2")))
+    corners = ("x1", "y1", "x2", "y2")
+    r, flat = rect() if r is None else r, {"z1": F.lit(0.0), "z2": F.lit(1.0)}
+    packed = shapes.select(F.struct("*").alias("_row"), *(r[c].alias(c) for c in corners)).withColumns(flat)
+    met = meeting(packed, cells.select("cell_id", *corners).withColumns(flat))
+    return met.select("_row.*", "cell_id", *(F.col(f"s_{c}").alias(f"c_{c}") for c in corners))
 
 
 def assign_points(points: DataFrame, partitioner: Partitioner, x: str = "x", y: str = "y", out: str = "cell_id") -> DataFrame:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geom import BOX, box, boxes_overlap, col
+from trackloom.functions.geom import BOX, col
+from trackloom.operators.joins import meeting
 from trackloom.operators.partition.base import Area, Partitioner
 
 
@@ -132,5 +133,4 @@ class BoxGrid:
     def overlapping(self, shapes: DataFrame) -> DataFrame:
         """Each shape beside each space that its box overlaps."""
         spaces = self.frame(shapes.sparkSession)
-        named = spaces.select("space_id", *(F.col(c).alias(f"s_{c}") for c in BOX))
-        return shapes.join(F.broadcast(named), boxes_overlap(box(), box(*(f"s_{c}" for c in BOX))))
+        return meeting(shapes, spaces.select("space_id", *BOX))

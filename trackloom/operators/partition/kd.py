@@ -56,6 +56,10 @@ class KdTree(Partitioner):
             queue.append((2 * node + 1, ordered[cut:], 1 - axis))
         return cls(area, splits, n)
 
+    @classmethod
+    def restored(cls, area: Area, state: dict) -> KdTree:
+        return cls(area, {int(k): v for k, v in state["splits"].items()}, state["n"])
+
     def _state(self) -> dict:
         return {"splits": {str(k): v for k, v in self.splits.items()}, "n": self.n}
 

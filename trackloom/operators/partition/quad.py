@@ -58,7 +58,11 @@ class QuadTree(Partitioner):
         return cls(area, sorted(leaves), counts)
 
     def _state(self) -> dict:
-        return {"leaves": self.leaves}
+        return {"leaves": self.leaves, "counts": {str(k): v for k, v in self.counts.items()}}
+
+    @classmethod
+    def restored(cls, area: Area, state: dict) -> QuadTree:
+        return cls(area, state["leaves"], {int(k): v for k, v in state["counts"].items()})
 
     def code_range(self, leaf: int) -> tuple[int, int]:
         """Least code of a leaf, and the first after it."""

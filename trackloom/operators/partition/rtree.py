@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geom import BOX
+from trackloom.operators.scratch import cut
 
 
 def tree_shape(n: int, degree: int) -> dict[str, int]:
@@ -32,27 +33,32 @@ def pack(shapes: DataFrame, degree: int, key: str, levels: int | None = None, n:
     """shapes(x1..z2) with `leaf`, the leaf's path of slices read as a number, root first.
 
     Each level sorts a node's shapes by centre, by x, then y, then z and again,
-    and cuts them in `degree` slices. The ties are ordered by key. The first
-    level ranks all shapes by a range sort in place of one window.
+    and cuts them in `degree` slices. The ties are ordered by key. Every level
+    ranks all shapes by one range sort, a node's by their ranks less its least
+    one, so that no task holds a node.
     """
     n = shapes.count() if n is None else n
     levels = tree_shape(n, degree)["height"] - 1 if levels is None else levels
     centres = [((F.col(a) + F.col(b)) / 2).alias(f"_c{i}") for i, (a, b) in enumerate((("x1", "x2"), ("y1", "y2"), ("z1", "z2")))]
     rows = shapes.select("*", *centres).withColumn("leaf", F.lit(0).cast("long"))
     for level in range(levels):
-        order = [f"_c{level % 3}", key]
+        rows = _ranked(rows, ["leaf", f"_c{level % 3}", key])
         if level == 0:
-            rows = _ranked(rows, order).withColumn("_n", F.lit(n))
+            rows = rows.withColumns({"_s": F.lit(0), "_n": F.lit(n)})
         else:
-            within = Window.partitionBy("leaf")
-            rows = rows.withColumn("_r", F.row_number().over(within.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(within))
-        rows = rows.withColumn("leaf", F.col("leaf") * degree + slice_of(F.col("_r"), F.col("_n"), degree)).drop("_r", "_n")
-    return rows.drop("_c0", "_c1", "_c2")
+            own = rows.groupBy("leaf").agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
+            rows = rows.join(own, "leaf")
+        rows = rows.withColumn("leaf", F.col("leaf") * degree + slice_of(F.col("_r") - F.col("_s"), F.col("_n"), degree)).drop("_r", "_s", "_n")
+    return rows.drop("_c0", "_c1", "_c2").select(*shapes.columns, "leaf")
 
 
 def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with _r, the 0-based rank over the whole table: sorted by range, offsets from the partitions' counts."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    """rows with _r, the 0-based rank over the whole table.
+
+    Sorted by range and written, as ranks must not change when a task runs
+    again; a partition's rows begin after those of the partitions before it.
+    """
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     starts, total = [], 0
     for p, k in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect()):

@@ -8,12 +8,11 @@ the stays without walking through a user's records.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.grid import MiningGrid
+from trackloom.operators.scratch import cut
 
 HOUR = 3600
 #: Hours of the rules for day and night (fixed values).
@@ -161,11 +160,11 @@ def clusters(cells: DataFrame, grid: MiningGrid, neighbours: int = 0, max_rounds
     beside a core belong to its cluster (the least of several), others to none.
     Labels spread in rounds, each written out, until none changes.
     """
-    cells = _cut(cells.select("user", "cell").distinct())
-    edges = _cut(_edges(cells, grid))
+    cells = cut(cells.select("user", "cell").distinct())
+    edges = cut(_edges(cells, grid))
     cores = cells
     if neighbours:
-        cores = _cut(edges.groupBy("user", F.col("a").alias("cell")).count().where(F.col("count") >= neighbours).select("user", "cell"))
+        cores = cut(edges.groupBy("user", F.col("a").alias("cell")).count().where(F.col("count") >= neighbours).select("user", "cell"))
     inner = edges.join(cores.withColumnRenamed("cell", "a"), ["user", "a"], "left_semi").join(cores.withColumnRenamed("cell", "b"), ["user", "b"], "left_semi")
     labels = cores.withColumn("cluster", F.col("cell"))
     for _ in range(max_rounds):
@@ -173,25 +172,18 @@ def clusters(cells: DataFrame, grid: MiningGrid, neighbours: int = 0, max_rounds
         spread = labels.join(heard, ["user", "cell"], "left").select("user", "cell", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved"))
         # a label's own label is at least as small: halves long chains
         jump = spread.select("user", F.col("cell").alias("cluster"), F.col("cluster").alias("up"))
-        spread = _cut(spread.join(jump, ["user", "cluster"], "left").select("user", "cell", F.coalesce("up", "cluster").alias("cluster"), "moved"))
+        spread = cut(spread.join(jump, ["user", "cluster"], "left").select("user", "cell", F.coalesce("up", "cluster").alias("cluster"), "moved"))
         labels = spread.drop("moved")
         if not spread.where("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     if not neighbours:
         return labels
     border = edges.join(labels.select("user", F.col("cell").alias("b"), "cluster"), ["user", "b"]).join(cores.withColumnRenamed("cell", "a"), ["user", "a"], "left_anti")
     return labels.unionByName(border.groupBy("user", F.col("a").alias("cell")).agg(F.min("cluster").alias("cluster")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder named by spark.checkpoint.dir; a local one only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.sparkContext._jsc.hadoopConfiguration().get('hadoop.tmp.dir')}/trackloom"
-    path = f"{root.rstrip('/')}/stays-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cluster_centres(labels: DataFrame, grid: MiningGrid) -> DataFrame:
     """(user, cluster, cells, centre): the cell at the truncated mean column and row."""
     c, r = F.pmod(F.col("cell"), F.lit(grid.columns)), F.floor(F.col("cell") / grid.columns)

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from trackloom.functions.geom import BOX
 from trackloom.operators import commute, joins
 from trackloom.operators.partition import BoxGrid, Grid
-from trackloom.plans.registry import ORACLES, QUERIES, query
+from trackloom.plans.registry import query
 from trackloom.plans.scalars import cell_sql
 from trackloom.functions.grid import MiningGrid
-from trackloom.plans.views import ALL_ORDERS, VIEWS, WholeViews
 
 AREA = (115.75, 39.5, 117.2, 40.5)
 SPACE = (0.0, 0.0, 0.0, 1050.0, 1000.0, 105.0)
@@ -128,10 +127,10 @@ def jn11(v):
     return joins.partition_pairs(a, moved)
 
 
-@query("join_jn12_spatial_join", f"SELECT b.id AS a_id, s.id AS b_id FROM (SELECT * FROM boxes WHERE id % 2 = 0) b JOIN (SELECT * FROM boxes WHERE id % 2 = 1) s ON {_MEET}")
+@query("join_jn12_spatial_join", f"SELECT b.id AS a_id, s.id AS b_id FROM boxes b JOIN boxes s ON b.id < s.id AND {_MEET}")
 def jn12(v):
-    even, odd = v.boxes.where("id % 2 = 0"), v.boxes.where("id % 2 = 1")
-    return joins.spatial_join(even, odd, "id", "id", _GRID4.frame(v.spark))
+    """All boxes with all others."""
+    return joins.spatial_join(v.boxes, v.boxes, "id", "id", _GRID4.frame(v.spark)).where("a_id < b_id")
 
 
 @query("join_jn12_nearest", "SELECT event_id, round(sqrt(pow(lng - 116.4E0, 2) + pow(lat - 39.9E0, 2)), 9) AS distance FROM gps ORDER BY sqrt(pow(lng - 116.4E0, 2) + pow(lat - 39.9E0, 2)), event_id LIMIT 25")
@@ -139,24 +138,12 @@ def jn12_nearest(v):
     return joins.nearest(v.gps, 116.4, 39.9, 25, "event_id").select("event_id", F.round("distance", 9).alias("distance"))
 
 
-@query("join_jn12_nearest_join", "SELECT q AS query_id, event_id, rank FROM (SELECT a.event_id AS q, b.event_id, row_number() OVER (PARTITION BY a.event_id ORDER BY sqrt(pow(b.lng - a.lng, 2) + pow(b.lat - a.lat, 2)), b.event_id) AS rank FROM (SELECT * FROM gps WHERE event_id < 20) a, gps b) t WHERE rank <= 3")
-def jn12_join(v):
-    q = v.gps.where("event_id < 20").select(F.col("event_id").alias("query_id"), "lng", "lat")
-    return joins.nearest_join(q, v.gps, 3, "query_id", "event_id").select("query_id", "event_id", F.col("rank").cast("long").alias("rank"))
-
-
-@query("join_jn12_spatial_join_all", f"SELECT b.id AS a_id, s.id AS b_id FROM boxes b JOIN boxes s ON b.id < s.id AND {_MEET}")
-def jn12_all(v):
-    """All boxes with all others."""
-    return joins.spatial_join(v.boxes, v.boxes, "id", "id", _GRID4.frame(v.spark)).where("a_id < b_id")
-
-
-_NEAREST_ALL = """SELECT q AS query_id, event_id, rank FROM (SELECT a.event_id AS q, b.event_id, row_number() OVER (PARTITION BY a.event_id ORDER BY sqrt(pow(b.lng - a.lng, 2) + pow(b.lat - a.lat, 2)), b.event_id) AS rank
+_NEAREST = """SELECT q AS query_id, event_id, rank FROM (SELECT a.event_id AS q, b.event_id, row_number() OVER (PARTITION BY a.event_id ORDER BY sqrt(pow(b.lng - a.lng, 2) + pow(b.lat - a.lat, 2)), b.event_id) AS rank
 FROM (SELECT * FROM gps WHERE event_id % 20 = 0) a, gps b) t WHERE rank <= 3"""
 
 
-@query("join_jn12_nearest_join_all", _NEAREST_ALL)
-def jn12_join_all(v):
+@query("join_jn12_nearest_join", _NEAREST)
+def jn12_join(v):
     """The searches of the whole table: every row whose id is divisible by 20, against all points."""
     q = v.gps.where("event_id % 20 = 0").select(F.col("event_id").alias("query_id"), "lng", "lat")
     return joins.nearest_join(q, v.gps, 3, "query_id", "event_id").select("query_id", "event_id", F.col("rank").cast("long").alias("rank"))
@@ -193,24 +180,3 @@ def ag12(v):
 @query("agg_ag12_distance_shares", "SELECT " + ", ".join(f"CAST(COUNT(*) FILTER (WHERE metres >= {a}000 AND metres < {b}000) AS DOUBLE) / COUNT(*) AS km_{a}_{b}" for a, b in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 10))) + f", CAST(COUNT(*) FILTER (WHERE metres >= 10000) AS DOUBLE) / COUNT(*) AS km_10_up FROM ({_FAR}) t")
 def ag12_shares(v):
     return commute.shares(commute.distances(_locs(v.live_at), _locs(v.work_at)))
-
-
-def _from_all_orders(name: str, build) -> None:
-    """Register a query of homes and work places again, as NAME_all, with both places taken from every order."""
-
-    def run(spark, sf_dir):
-        return build(WholeViews(spark, sf_dir))
-
-    QUERIES[f"{name}_all"] = run
-    sql = ORACLES[name]
-    for view, (_, text) in ALL_ORDERS.items():
-        sql = sql.replace(VIEWS[view][1], text)
-    ORACLES[f"{name}_all"] = sql
-
-
-for _name, _build in {
-    "join_jn3_home_work": jn3, "join_jn4_district_users": jn4, "join_jn5_district_pairs": jn5, "join_jn6_apart_from_home": jn6,
-    "join_jn7_work_cells": jn7, "join_jn8_work_clusters": jn8, "agg_ag8_population": ag8, "agg_ag9_same_district": ag9,
-    "agg_ag13_farthest_work": ag13, "agg_ag12_distance_histogram": ag12, "agg_ag12_distance_shares": ag12_shares,
-}.items():
-    _from_all_orders(_name, _build)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.grid import MiningGrid
 from trackloom.operators import commute, stays
+from trackloom.operators.scratch import cut
 from trackloom.plans.registry import query
 from trackloom.plans.scalars import cell_sql
 
@@ -194,17 +195,9 @@ def ag18(v):
     return stays.active_days(v.calls, 60)
 
 
-@query("stay_st11_user_report", f"""SELECT u."user", string_agg(DISTINCT CAST(t.bid AS VARCHAR), ';' ORDER BY CAST(t.bid AS VARCHAR)) AS bids FROM (SELECT DISTINCT "user", cell FROM ({_ON.format(calls="(SELECT * FROM calls WHERE sec % 86400 < 3600)")}) o) u
+@query("stay_st11_user_report", f"""SELECT u."user", string_agg(DISTINCT CAST(t.bid AS VARCHAR), ';' ORDER BY CAST(t.bid AS VARCHAR)) AS bids FROM (SELECT DISTINCT "user", cell FROM ({_ON.format(calls="calls")}) o) u
 JOIN (SELECT bid, {cell_sql(n=N)} AS cell FROM towers) t ON abs(t.cell % {N} - u.cell % {N}) <= 1 AND abs(t.cell // {N} - u.cell // {N}) <= 1 GROUP BY 1""")
 def st11(v):
-    centres = stays.on_grid(v.calls.where("sec % 86400 < 3600"), v.towers, GRID).select("user", F.col("cell").alias("centre")).distinct()
-    report = stays.user_report(centres, v.towers, GRID)
-    return report.select("user", F.array_join(F.array_sort(F.col("bids").cast("array<string>")), ";").alias("bids"))
-
-
-@query("stay_st11_user_report_all", f"""SELECT u."user", string_agg(DISTINCT CAST(t.bid AS VARCHAR), ';' ORDER BY CAST(t.bid AS VARCHAR)) AS bids FROM (SELECT DISTINCT "user", cell FROM ({_ON.format(calls="calls")}) o) u
-JOIN (SELECT bid, {cell_sql(n=N)} AS cell FROM towers) t ON abs(t.cell % {N} - u.cell % {N}) <= 1 AND abs(t.cell // {N} - u.cell // {N}) <= 1 GROUP BY 1""")
-def st11_all(v):
     """The report over the calls of all hours."""
     report = stays.user_report(_cells(v).withColumnRenamed("cell", "centre"), v.towers, GRID)
     return report.select("user", F.array_join(F.array_sort(F.col("bids").cast("array<string>")), ";").alias("bids"))
@@ -225,3 +218,16 @@ _FREQ = frequent_sql(stays_sql(_NIGHT, 8), 0, 1, 0)
 def st13(v):
     """The chain from calls to centres, with rules loose enough for the sparse test calls."""
     return stays.live_places(stays.night_calls(v.calls), v.towers, GRID, {"smear": 8, "least": 0}, gate=1, keep=0)
+
+
+@query("agg_ag20_counters", f"""SELECT 'calls' AS counter, COUNT(*) AS n FROM calls UNION ALL SELECT 'calls.night', COUNT(*) FROM {_NIGHT} c
+UNION ALL SELECT 'users', COUNT(DISTINCT "user") FROM calls UNION ALL SELECT 'users.tourists', COUNT(*) FROM (SELECT 1 AS one FROM calls GROUP BY "user" HAVING COUNT(DISTINCT sec // 86400) / CAST(60 AS DOUBLE) < 0.3E0) t""")
+def ag20(v):
+    """Counters filled while the report of active days is written."""
+    from trackloom.operators.counters import Counters
+
+    counters = Counters()
+    calls = counters.watch(v.calls, "calls", night=(stays.hour_of("sec") < 9) | (stays.hour_of("sec") > 21))
+    users = counters.watch(stays.active_days(calls, 60), "users", tourists=F.col("tourist"))
+    cut(users)
+    return v.spark.createDataFrame(sorted(counters.values().items()), "counter string, n long")

@@ -9,6 +9,7 @@ from trackloom.operators import globalindex, sampling
 from trackloom.operators.joins import locate
 from trackloom.operators.partition import BoxGrid, Grid, KdTree, QuadTree, ZCurve, assign_points, build_index, overlapping, pack, partition_count
 from trackloom.operators.partition.rtree import nodes
+from trackloom.operators.scratch import place
 from trackloom.plans.joins import _GRID4, _MEET, AREA, SPACE, SPACES, grid_cells_sql
 from trackloom.plans.registry import query
 from trackloom.plans.scalars import GPS_Z
@@ -18,7 +19,8 @@ _G = Grid.build(None, AREA, 500)
 _CX, _CY = f"CAST({_G.step[0]!r} AS DOUBLE)", f"CAST({_G.step[1]!r} AS DOUBLE)"
 
 
-@query("ix_ix1_grid_size", "SELECT 27 AS columns, 19 AS rows")
+@query("ix_ix1_grid_size", """WITH RECURSIVE g(c, r) AS (SELECT 1, 1 UNION ALL SELECT CASE WHEN 1.45E0 / c > 1.0E0 / r THEN c + 1 ELSE c END, CASE WHEN 1.45E0 / c > 1.0E0 / r THEN r ELSE r + 1 END FROM g WHERE c * r < 500)
+SELECT c AS columns, r AS rows FROM g WHERE c * r >= 500""")
 def ix1(v):
     return v.spark.range(1).select(F.lit(_G.columns).alias("columns"), F.lit(_G.rows).alias("rows"))
 
@@ -175,10 +177,7 @@ def ix19_bounds(v):
 
 
 def _store(v, name: str) -> str:
-    import uuid
-
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or f"{v.spark.sparkContext._jsc.hadoopConfiguration().get('hadoop.tmp.dir')}/trackloom"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place(v.spark, name)
 
 
 @query("ix_ix20_indexer", f"SELECT CAST(space_id AS BIGINT) AS space_id, record_count FROM ({_MASTER}) m")
@@ -210,16 +209,23 @@ def src11(v):
     return rows.where(_HIT).select("id")
 
 
-@query("src_src24_store_size", "SELECT CAST(SUM(record_count) * 48 AS BIGINT) AS size FROM (SELECT COUNT(*) AS record_count FROM boxes) t")
+_BOX_TEXT = "CAST(id AS VARCHAR) || ',' || " + " || ',' || ".join(f"CAST(CAST({c} AS BIGINT) AS VARCHAR)" for c in BOX)
+
+
+@query("src_src24_store_size", f"SELECT CAST(SUM(length({_BOX_TEXT})) AS BIGINT) AS size FROM boxes")
 def src24(v):
+    """Bytes of the boxes as text, from the master table alone."""
     from trackloom.sources.readers import path_size
 
-    return path_size(globalindex.master_of(_placed(v), size=F.lit(48)))
+    text = F.concat_ws(",", F.col("id").cast("string"), *(F.col(c).cast("long").cast("string") for c in BOX))
+    return path_size(globalindex.master_of(_placed(v), size=F.octet_length(text)))
 
 
-@query("ix_ix22_partition_count", "SELECT CAST(greatest(1, ceil(floor(1073741824 * 1.1E0) / 134217728)) AS INT) AS replicated, CAST(1 AS INT) AS least")
+@query("ix_ix22_partition_count", f"SELECT CAST(greatest(1, ceil(floor(SUM(length({_BOX_TEXT})) * 1.1E0) / 4096)) AS INT) AS parts, CAST(greatest(1, ceil(floor(COUNT(*) * 1.1E0) / 134217728)) AS INT) AS least FROM boxes")
 def ix22(v):
-    return v.spark.range(1).select(F.lit(partition_count(1 << 30, 1 << 27)).alias("replicated"), F.lit(partition_count(10, 1 << 27)).alias("least"))
+    """Partitions of 4 KB each for the boxes as text, and of a block for as many bytes as there are boxes."""
+    size, n = src24(v).first()["size"], v.boxes.count()
+    return v.spark.range(1).select(F.lit(partition_count(size, 4096)).alias("parts"), F.lit(partition_count(n, 1 << 27)).alias("least"))
 
 
 _D = "SELECT CAST(least(floor((lng - 115.75E0) / CAST(0.07250000000000014 AS DOUBLE)), 19) AS INT) AS col, CAST(least(floor((lat - 39.5E0) / 0.05E0), 19) AS INT) AS row, COUNT(*) AS n FROM gps GROUP BY 1, 2"
@@ -261,18 +267,25 @@ def smp1(v):
     return sampling.bernoulli(v.gps, 0.1).select("event_id")
 
 
-@query("smp_smp3_exact", "SELECT 500 AS n")
+@query("smp_smp3_exact", "SELECT CAST(least(500, COUNT(*)) AS INT) AS n, CAST(least(500, COUNT(*)) AS INT) AS known FROM gps")
 def smp3(v):
-    return sampling.exact(v.gps, 500).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """500 points, no two alike and each one of the table's."""
+    picked = sampling.exact(v.gps, 500).select("event_id").distinct()
+    known = picked.join(v.gps.select("event_id"), "event_id", "left_semi").agg(F.count(F.lit(1)).cast("int").alias("known"))
+    return picked.agg(F.count(F.lit(1)).cast("int").alias("n")).join(known)
 
 
-@query("smp_smp4_by_bytes", "SELECT TRUE AS fits, TRUE AS nearly_full")
+@query("smp_smp4_by_bytes", "SELECT COUNT(*) AS n, CAST(SUM(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
 def smp4(v):
-    """A sample of texts in a budget of bytes leaves less than the longest text unused."""
-    picked = sampling.by_bytes(v.documents, "text", 200_000, "doc_id")
-    longest = v.documents.agg(F.max(F.octet_length("text") + 1)).first()[0]
-    used = picked.agg(F.sum(F.octet_length("text") + 1).alias("used"))
-    return used.select((F.col("used") <= 200_000).alias("fits"), (F.col("used") > 200_000 - longest).alias("nearly_full"))
+    """A budget of all bytes takes every text; half of it takes half the bytes, less than the longest text missing, or the query fails."""
+    size = F.octet_length("text") + 1
+    texts = v.documents.where("text is not null")
+    whole = texts.agg(F.sum(size).alias("bytes"), F.max(size).alias("longest")).first()
+    half = sampling.by_bytes(texts, "text", whole["bytes"] // 2, "doc_id").agg(F.sum(size)).first()[0]
+    if not whole["bytes"] // 2 - whole["longest"] < half <= whole["bytes"] // 2:
+        raise AssertionError(f"{half} of {whole['bytes']} bytes")
+    picked = sampling.by_bytes(texts, "text", whole["bytes"], "doc_id")
+    return picked.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
 
 
 @query("snk_snk10_cells_text", "SELECT printf('%.6f %.6f %.6f %.6f 0', x1, y1, x2, y2) AS value FROM " + grid_cells_sql(Grid.build(None, AREA, 12)))
