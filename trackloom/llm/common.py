@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gc
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.scratch import place
+
 #: The folder that holds the package.
 HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Largest table, in rows, that an operator may broadcast after counting it.
@@ -20,15 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir.
-
-    Only where the session names none (as in tests) one is chosen here.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        root = f"{hadoop.get('hadoop.tmp.dir')}/trackloom"
-    return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
+    """A new path in the shared folder for intermediate tables: spark.checkpoint.dir, which only a local session may leave unset."""
+    return place(spark, "trackloom")
 
 
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -73,13 +67,18 @@ def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def arrow_batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so a batch of long texts fits a worker.
+#: Rows and bytes of an Arrow batch; one setting for all operators, as it holds for the session when a plan runs.
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the rows and the bytes of an Arrow batch, so a batch of long texts fits a worker.
 
     Also lets Python workers find this package where the driver found it; on a
     cluster without shared folders it is installed or sent with --py-files.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = spark.sparkContext.environment
     if HOME not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), HOME]))

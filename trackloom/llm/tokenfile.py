@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.bpe import byte_letters, ragged
-from trackloom.llm.common import arrow_batch_rows, maybe_broadcast, text_or_empty
+from trackloom.llm.common import arrow_batches, maybe_broadcast, text_or_empty
 
 END_ID = 2
 #: Ids of a shard, rules of a round, and least uses of a rule: with fewer it takes more room than it saves.
 SHARD, RULES, USES = 1 << 20, 8192, 8
 #: Texts whose words are looked up together, by their number of letters.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: Pieces that a worker remembers before it starts afresh; about 200 bytes each.
 REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4sHHIIII")
@@ -414,7 +414,7 @@ def write(docs: DataFrame, out: str, id_col: str = "doc_id", text: str = "text",
     comes first. An empty table gives a table without shards.
     """
     path = path or default_path()
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t")
 
@@ -446,7 +446,7 @@ def write(docs: DataFrame, out: str, id_col: str = "doc_id", text: str = "text",
 def read(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, ids): documents of the files in `out`; ids as little-endian unsigned 32-bit numbers, start the ids before them."""
     shards = spark.read.schema("part int, shard int, n_docs long, n_ids long, payload binary").parquet(out)
-    arrow_batch_rows(spark, 8)
+    arrow_batches(spark)
     sizes = shards.select("part", "shard", "n_ids")
     # Sums by part, then within each part: no place holds a row for every shard.
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))

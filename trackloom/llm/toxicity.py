@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, cut, drop_scratch, text_or_empty
+from trackloom.llm.common import arrow_batches, cut, drop_scratch, text_or_empty
 
 #: Bound of the labelled sample, features chosen for a category, folds.
 SAMPLE, FEATURES, FOLDS = 12_000, 3000, 5
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # One text for each id, so the sample is bounded in rows, too.
     one = F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t")
     rows = cut(rows.groupBy("_id").agg(one, *(F.first(y).alias(y) for y in ys)))
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     k = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +249,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "p_")
     """
     new = [f"{prefix}{n}" for n in model.names]
     keep = [c for c in docs.columns if c not in new]
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = shared.value.probabilities(b.column("_t").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(p[:, i]) for i in range(len(new)))], [*keep, *new])
+    # Only texts go to the workers, and only probabilities come back.
+    @F.arrow_udf("array<double>")
+    def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            p = shared.value.probabilities(texts.to_pylist())
+            yield pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
 
-    rows = docs.select(*keep, text_or_empty(text).alias("_t"))
-    schema = rows.drop("_t").withColumns({c: F.lit(0.0) for c in new}).schema
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*keep, probabilities(text_or_empty(text)).alias("_p"))
+    return rows.select(*keep, *(F.col("_p")[i].alias(c) for i, c in enumerate(new)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
