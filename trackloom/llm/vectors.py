@@ -2,21 +2,23 @@
 
 Equal vectors are one node, so copies cost nothing. Centroids fitted on a
 bounded sample cut the nodes into overlapping shards: each node goes to its
-OVERLAP nearest centroids; a shard over MAX_SHARD nodes is cut in parts, and
-the cluster's nodes then query every part. Each shard builds a graph by robust
+OVERLAP nearest centroids. Each shard builds a graph by robust
 pruning: from a node's nearest candidates the nearest is kept and those are
 dropped that are much nearer to it than to the node, again and again; a few
-edges across the node's range keep dense groups in one piece. The adjacency lists that a node gets in its shards are united, and made mutual.
+edges across the node's range keep dense groups in one piece, and a piece of
+the graph that nothing leads to has a medoid of its own. The adjacency lists that a node gets in its shards are united, and made mutual.
 
 Every node is a query in its shards. A greedy beam search starts at the shard's
 medoids; whatever it meets in range is then expanded along the graph until
-nothing new is in range. Pairs are verified by cosine in double precision and
-counted where they are found, in the least shard that both ends share; what
-leaves a task is a count for each node and a spanning forest of its links.
+nothing new is in range. Nodes that the walks have put in one group are then
+verified with each other by cosine in double precision, so that what a walk
+missed in a dense group is counted, too; a pair counts in the least shard that
+both ends share. What leaves a task is a count for each node and a spanning
+forest of its links. A shard over MAX_SHARD nodes is dealt as pairs of its parts.
 
 The recall is audited: a bounded sample of nodes is compared with all nodes.
 If it is under LEAST_RECALL, the overlap and the beam are widened and the
-search is run again.
+search is run again; after the last try all pairs are compared in blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, components, cut, maybe_broadcast
+from trackloom.llm.common import arrow_batches, components, cut, maybe_broadcast
 from trackloom.llm.simhash import Forest
 
 
@@ -143,9 +145,22 @@ def _medoids(x: np.ndarray, k: int) -> np.ndarray:
     return np.array(sorted(set(chosen)))
 
 
+def _starts(x: np.ndarray, table: np.ndarray, k: int) -> np.ndarray:
+    """The medoids of all nodes, and the one of each piece into which the graph falls, so that no piece is out of reach."""
+    forest = Forest(len(x))
+    a, column = np.nonzero(table >= 0)
+    forest.join(a, table[a, column])
+    root = forest.find(np.arange(len(x)))
+    order = np.argsort(root, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) != 0]))
+    pieces = np.split(order, begins[1:])
+    own = [int(p[(x[p] @ x[p].mean(axis=0)).argmax()]) for p in pieces] if len(pieces) > 1 else []
+    return np.unique(np.concatenate([_medoids(x, k), np.array(own, np.int64)]))
+
+
 def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) in range: beam search from the medoids, then expansion in range."""
-    n, starts, width = len(x), _medoids(x, s.medoids), 4
+    n, starts, width = len(x), _starts(x, table, s.medoids), 4
     single = x.astype(np.float32)
     found_q, found_n = [], []
     low = np.float32(s.threshold - 1e-5)
@@ -157,6 +172,9 @@ def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, s: Settings) -> tupl
         sims = query @ single[starts].T
         seen[:, starts] = True
         np.put_along_axis(hit, ids, sims >= low, 1)
+        if len(starts) > s.beam:
+            best = np.argpartition(-sims, s.beam - 1, axis=1)[:, : s.beam]
+            ids, sims = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
         done = np.zeros(ids.shape, bool)
         active = np.arange(m)
         while len(active):
@@ -275,49 +293,61 @@ def link(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
     graph = dealt.groupBy("cluster", "home").applyInArrow(build, "rid long, near array<long>")
     united = graph.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    asked = dealt.join(united, "rid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Parts of a cluster meet in pairs, so that a task holds two parts at most.
+    asked = dealt.join(united, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asked.withColumns({"lo": F.least("home", "other"), "hi": F.greatest("home", "other")}).drop("other", "parts")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        cluster = key[0].as_py()
+        cluster, lo, hi = (k.as_py() for k in key)
         t = t.sort_by("rid")
-        rid, copies = t.column("rid").to_numpy(), t.column("copies").to_numpy()
-        x = unit(_matrix(t.column("emb")))
-        node = t.column("home").to_numpy() == key[1].as_py()
-        own = np.array(t.column("own").to_pylist())
-        at = np.flatnonzero(node)
-        near = t.column("near").take(pa.array(at)).combine_chunks()
-        ends = near.value_lengths().to_numpy()
-        a, b = np.repeat(np.arange(len(at)), ends), near.flatten().to_numpy()
-        place = np.minimum(np.searchsorted(rid[at], b), len(at) - 1)
-        here = (rid[at][place] == b) if len(at) else np.zeros(0, bool)
-        if len(at):
-            table = _adjacency(len(at), a[here], place[here])
-            q, n = search(x[at], table, x, s)
-            n = at[n]
-        else:
-            q, n = np.zeros(0, int), np.zeros(0, int)
-        # Where all are nodes, a link that one end has found is the other's too.
-        if len(at) == len(rid):
-            code = np.unique(np.concatenate([q * len(rid) + n, n * len(rid) + q]))
-            q, n = code // len(rid), code % len(rid)
-        q, n = q[q != n], n[q != n]
-        # A pair that shares several clusters counts in the least of them.
-        shared = np.zeros(len(q), np.int64) + (1 << 62)
-        for i in range(own.shape[1]):
-            both = (own[q, i][:, None] == own[n]).any(axis=1)
-            shared = np.minimum(shared, np.where(both, own[q, i], 1 << 62))
-        counts = np.bincount(q[shared == cluster], copies[n[shared == cluster]], len(rid)).astype(np.int64)
+        rid, copies, home = (t.column(c).to_numpy() for c in ("rid", "copies", "home"))
+        x, own = unit(_matrix(t.column("emb"))), np.array(t.column("own").to_pylist())
+        near = t.column("near").combine_chunks()
         forest = Forest(len(rid))
-        forest.join(q, n)
-        root = forest.find(np.arange(len(rid)))
+        for nodes_of, asks in {(lo, hi), (hi, lo)}:
+            at, queries = np.flatnonzero(home == nodes_of), np.flatnonzero(home == asks)
+            if not len(at) or not len(queries):
+                continue
+            lists = near.take(pa.array(at))
+            ends = lists.value_lengths().to_numpy()
+            a, b = np.repeat(np.arange(len(at)), ends), lists.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(rid[at], b), len(at) - 1)
+            here = rid[at][place] == b
+            q, n = search(x[at], _adjacency(len(at), a[here], place[here]), x[queries], s)
+            forest.join(queries[q], at[n])
+        root, counts = forest.find(np.arange(len(rid))), np.zeros(len(rid), np.int64)
+        for q, n in _inside(x, root, s.threshold):
+            if lo != hi:
+                across = home[q] != home[n]
+                q, n = q[across], n[across]
+            # A pair that shares several clusters counts in the least of them.
+            shared = np.zeros(len(q), np.int64) + (1 << 62)
+            for i in range(own.shape[1]):
+                both = (own[q, i][:, None] == own[n]).any(axis=1)
+                shared = np.minimum(shared, np.where(both, own[q, i], 1 << 62))
+            mine = shared == cluster
+            np.add.at(counts, q[mine], copies[n[mine]])
         keep = (counts > 0) | (root != np.arange(len(rid)))
         return pa.table({"rid": rid[keep], "links": counts[keep], "root": rid[root[keep]]})
 
-    found = cut(asked.groupBy("cluster", "part").applyInArrow(run, "rid long, links long, root long"))
+    found = cut(asked.groupBy("cluster", "lo", "hi").applyInArrow(run, "rid long, links long, root long"))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     return counts, found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def _inside(x: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (q, n) in range, both ways, of rows with one root, in blocks."""
+    order = np.argsort(root, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) != 0])) if len(order) else order
+    for members in np.split(order, begins[1:]) if len(order) else []:
+        if len(members) < 2:
+            continue
+        for i in range(0, len(members), 256):
+            a, b = np.nonzero(x[members[i : i + 256]] @ x[members].T >= threshold)
+            a, b = members[i + a], members[b]
+            yield a[a != b], b[a != b]
+
+
 def link_exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """What link() returns, from all pairs of nodes of one dimension: blocks of nodes are dealt as pairs of blocks."""
     sizes = cut(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / s.max_shard).cast("int").alias("parts")))
@@ -402,7 +432,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", emb: str = "embe
     other; a null id is a component's least id only if all its ids are null.
     """
     s = settings or Settings()
-    arrow_batch_rows(vectors.sparkSession, 4096)
+    arrow_batches(vectors.sparkSession)
     rows, nodes = nodes_of(vectors, id_col, emb)
     for _ in range(s.tries):
         counts, edges = link(nodes, s)
