@@ -36,6 +36,36 @@ def test_encoder_equals_the_library(encoder, library):
         at += n
 
 
+def test_other_scripts_are_proposed_and_verified(monkeypatch):
+    """No text without an added token is encoded by the library, whatever its script."""
+    scripts = {
+        "ru": "Привет, мир! ЩУКА 12 №5 ё", "el": "Καλημέρα Κόσμε ΣΊΣΥΦΟΣ ὈΔΥΣΣΕΎΣ", "zh": "你好，世界。中文123测试", "ja": "日本語のテキスト、カタカナ", "ko": "안녕하세요 세계 한국어",
+        "ar": "مرحبا بالعالم ١٢٣", "he": "שלום עולם", "hi": "नमस्ते दुनिया क्षत्रिय", "th": "สวัสดีชาวโลก", "emoji": "😀\u200d🚀 “quoted” — dash… Ⅷ ﬁ ǅ İI ẞ",
+    }
+    enc = bpe.Encoder(bpe.default_path())
+    library, calls = enc.library, []
+
+    class Counted:
+        normalizer, pre_tokenizer = library.normalizer, library.pre_tokenizer
+
+        def encode_batch(self, *a, **k):
+            calls.append(a)
+            return library.encode_batch(*a, **k)
+
+    monkeypatch.setattr(enc, "library", Counted())
+    rng = random.Random(9)
+    texts = list(scripts.values())
+    texts += ["".join(rng.choice(t) for _ in range(40)) for t in scripts.values() for _ in range(20)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x3FFFF)])) for _ in range(30)) for _ in range(300)]
+    ids, sizes = enc.encode_batch(texts)
+    ends = sizes.cumsum()
+    for t, a, n in zip(texts, ends - sizes, sizes, strict=True):
+        assert ids[a : a + n].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert not calls
+    enc.encode_batch(["Мир<|endoftext|>"])
+    assert len(calls) == 1
+
+
 def test_verification_tells_exactly_which_words_fail(encoder):
     """A proposed word passes if and only if merging yields it."""
     m, rng = encoder.merges, random.Random(4)

@@ -13,9 +13,11 @@ a smaller rank than that one, merging would have crossed the border. Equal
 ranks go to the left occurrence.
 
 Pieces between white space are independent of each other for these
-vocabularies, so each worker remembers the pieces that it has seen. Pieces with
-added tokens or with characters from U+0250 on go to the library itself, whose
-Unicode tables then decide.
+vocabularies, so each worker remembers the pieces that it has seen. How a piece
+of other than Latin letters is put in lower case and cut into words is told by
+the library's normaliser and word splitter, whose Unicode tables decide; its
+words are proposed and verified like all others. The library itself encodes
+only pieces that hold an added token.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, text_or_empty
+from trackloom.llm.common import arrow_batches, text_or_empty
 
 END = "</w>"
+#: Marks a word that is in byte letters already; no word begins with white space.
+SHOWN = " "
 #: Unicode White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split() cuts at besides.
@@ -215,15 +219,21 @@ class Encoder:
             return [p for p in _white.split(text) if p]
         return text.split()
 
+    def _cut(self, piece: str) -> list[str]:
+        """The piece's words as the library cuts them, in byte letters and marked so."""
+        normal, split = self.library.normalizer, self.library.pre_tokenizer
+        piece = normal.normalize_str(piece) if normal is not None else piece
+        return [SHOWN + w for w, _ in split.pre_tokenize_str(piece)]
+
     def _learn(self, pieces: list[str]) -> None:
         if len(self._known_words) > REMEMBERED_WORDS:
             self._known_words = {}
         known, letters = self._known_words, self.merges.letters
-        plain = [p for p in pieces if not _odd.search(p) and not self._added.search(p)]
-        cuts = [self._words.findall(p.lower()) for p in plain]
+        plain = [p for p in pieces if not self._added.search(p)]
+        cuts = [self._cut(p) if _odd.search(p) else self._words.findall(p.lower()) for p in plain]
         missing = list({w for c in cuts for w in c if w not in known})
         if missing:
-            found = self.merges.words(["".join([letters[b] for b in w.encode()]) for w in missing])
+            found = self.merges.words([w.removeprefix(SHOWN) if w.startswith(SHOWN) else "".join([letters[b] for b in w.encode()]) for w in missing])
             known.update(zip(missing, (np.array(x, "<i4").tobytes() for x in found), strict=True))
         packed = [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cuts]
         if len(plain) < len(pieces):
@@ -300,7 +310,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
     """
     path = path or default_path()
     keep = [c for c in docs.columns if c not in (ids, decoded)]
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
