@@ -54,11 +54,21 @@ def test_trie_pairs_are_all_pairs(seed):
     assert got == want
 
 
-@pytest.mark.parametrize("max_shard", [40_000, 3])
-def test_links_connect_the_true_components(spark, max_shard):
+def test_more_blocks_for_more_rows():
+    assert [simhash.best_agree(n, 4, simhash.MAX_SHARD) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [1, 1, 1, 2, 3]
+    for agree in (1, 2, 3):
+        rng = np.random.default_rng(agree)
+        choices = simhash.masks(4, agree)
+        for _ in range(300):
+            differ = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(differ & m == 0 for m in choices)
+
+
+@pytest.mark.parametrize(("max_shard", "agree"), [(40_000, None), (3, None), (40_000, 2), (3, 3)])
+def test_links_connect_the_true_components(spark, max_shard, agree):
     values = near_values(np.random.default_rng(9), 200, 6)
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    edges = [(e.a, e.b) for e in simhash.links(df, max_shard=max_shard).collect()]
+    edges = [(e.a, e.b) for e in simhash.links(df, max_shard=max_shard, agree=agree).collect()]
     at = {int(v): i for i, v in enumerate(values.view(np.int64))}
     forest = simhash.Forest(200)
     if edges:

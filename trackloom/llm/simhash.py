@@ -5,8 +5,10 @@ text's word shingles. Two texts are linked if their fingerprints differ in at
 most `budget` bits.
 
 The self-join works on distinct fingerprints. The 64 bits are cut into
-budget + 1 blocks; two linked fingerprints agree on one whole block, so each
-fingerprint goes to one shard for each block, keyed by the block's value.
+budget + agree blocks; two linked fingerprints agree on `agree` whole blocks, so
+each fingerprint goes to one shard for each choice of so many blocks, keyed by
+their values. One block is enough for some 10^8 fingerprints; with more of them
+two or three are chosen, by their number, so that shards stay small.
 Inside a shard the other bits form a binary trie, held as ranges of the sorted
 fingerprints. Pairs of nodes are traversed together from the root: a step
 descends both nodes by one bit, adds one to the pair's differing bits when the
@@ -19,13 +21,14 @@ dealt as pairs of parts, so no task holds more than two parts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, components, cut, row_keys, text_or_empty
+from trackloom.llm.common import arrow_batches, components, cut, row_keys, text_or_empty
 
 #: Rows of a shard that one task joins; larger shards are cut in parts.
 MAX_SHARD = 40_000
@@ -61,7 +64,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
     """docs' other columns with fp, the fingerprint as a signed long."""
     keep = [c for c in docs.columns if c != text]
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +77,22 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of the budget + 1 blocks."""
-    ends = [64 * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+def masks(budget: int, agree: int) -> list[int]:
+    """The bits of each choice of `agree` of budget + agree blocks; fingerprints within the budget agree on one choice."""
+    n = budget + agree
+    ends = [64 * i // n for i in range(n + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
+def best_agree(n: int, budget: int, max_shard: int) -> int:
+    """How many blocks to choose for n fingerprints: that with the fewest rows dealt out, copies for a shard's parts included."""
+
+    def dealt(agree: int) -> float:
+        choices = masks(budget, agree)
+        return sum(max(1.0, n / 2 ** m.bit_count() / max_shard) for m in choices)
+
+    return min(range(1, 4), key=dealt)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -179,15 +194,11 @@ class Forest:
             x = up
 
 
-def links(distinct: DataFrame, budget: int = 4, max_shard: int = MAX_SHARD) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 4, max_shard: int = MAX_SHARD, agree: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the linked values of distinct(fp)."""
-    parts = _blocks(budget)
-    key = F.array(
-        *(
-            F.struct(F.lit(i).alias("rotation"), F.expr(f"shiftrightunsigned(shiftleft(fp, {a}), {64 - w})").alias("block"))
-            for i, (a, w) in enumerate(parts)
-        )
-    )
+    agree = best_agree(distinct.count(), budget, max_shard) if agree is None else agree
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    key = F.array(*(F.struct(F.lit(i).alias("rotation"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("block")) for i, m in enumerate(masks(budget, agree))))
     dealt = distinct.select("fp", F.explode(key).alias("k")).select("fp", "k.rotation", "k.block")
     sizes = dealt.groupBy("rotation", "block").count().where(F.col("count") > max_shard)
     large = cut(sizes.select("rotation", "block", F.ceil(F.col("count") / max_shard).cast("int").alias("n")))
