@@ -60,7 +60,21 @@ def test_estimates_and_merging_of_parts(spark):
 def test_repeats_ties_and_extremes(spark, odd_docs):
     docs = spark.createDataFrame([(1, "x y"), (1, "p q"), (1, "x y"), (None, "z")], "doc_id long, text string")
     out = sketch.with_edits(docs).collect()
-    assert sorted((r.doc_id is None, r.n_chars) for r in out) == [(False, 3), (False, 3), (True, 1)]
+    assert sorted((r.doc_id is None, r.n_chars) for r in out) == [(False, 3), (False, 3), (False, 3), (True, 1)]
     one = sketch.with_edits(docs.where("doc_id is null")).collect()
     assert one[0].near_next == 1.0
     assert sketch.with_edits(odd_docs.limit(0)).count() == 0
+
+
+def test_every_copy_of_a_row_has_a_row(spark):
+    docs = spark.range(2500).selectExpr("1L as doc_id", "'a b c d e f' as text").union(spark.createDataFrame([(2, "g h i")], "doc_id long, text string"))
+    out = sketch.with_edits(docs).groupBy("doc_id", "edited_sha256", "fingerprint").count().collect()
+    assert sorted((r.doc_id, r["count"]) for r in out) == [(1, 2500), (2, 1)]
+
+
+def test_a_hash_that_all_share_is_one_row_of_its_group(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.array(F.lit(-5).cast("long"), F.col("id")).alias("sketch"))
+    out = {r.g: r.sketch for r in sketch.merge_all(rows, ["g"], k=4).collect()}
+    assert out == {0: [-5, 0, 2, 4], 1: [-5, 1, 3, 5]}

@@ -66,10 +66,11 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def merge_all(rows: DataFrame, by: list[str], column: str = "sketch", k: int = K) -> DataFrame:
     """One sketch for each group: (by..., column), column null for groups of empty sketches.
 
-    The k least hashes are taken within each task before rows are dealt out, so
-    a group of any size sends at most k rows from a task.
+    Equal hashes of a group become one row, within each task first, and the k
+    least are taken within each task before rows are dealt out by group, so a
+    group of any size sends at most k rows from a task.
     """
-    one = rows.select(*by, F.explode_outer(column).alias("_h"))
+    one = rows.select(*by, F.explode_outer(column).alias("_h")).distinct()
     order = Window.partitionBy(*by).orderBy(F.col("_h").asc_nulls_last())
     ranked = one.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= k)
     return ranked.groupBy(*by).agg(F.sort_array(F.collect_set("_h")).alias(column))
@@ -99,8 +100,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     near_next, next_id). The edited text has its last floor(n_chars / 2) code points
     replaced by as many first ones of the next document in descending order of
     ids, the first one after the last. A null text counts as empty. Documents
-    with equal ids are ordered by hashes of their texts, null ids come last,
-    and rows that repeat both id and text give one row. Texts are dealt out
+    with equal ids are ordered by hashes of their texts, null ids come last.
+    Rows that repeat both id and text are one document: each gets its row, and
+    all get the same. Texts are dealt out
     once, what a document lends (a beginning and a sketch) once more: both
     sides read the same columns, so that the planner reuses the exchange.
     """
@@ -112,12 +114,12 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     borrowers = order.select(F.pmod(F.col("no") - 1, F.lit(max(total, 1))).alias("no"), F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.floor(F.col("n") / 2).cast("int").alias("half"))
     lends = order.select("no", "k1", "k2").join(borrowers, "no").drop("no")
 
-    texts = base.dropDuplicates(["k1", "k2"])
+    texts = base.groupBy("k1", "k2").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("copies")).where("copies > 0")
     lent = texts.join(lends, ["k1", "k2"]).select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("_id").alias("next_id"), F.expr("left(_text, half)").alias("start"), sketch(F.col("_text"), k, shingle).alias("next"))
     rows = texts.join(lent, ["k1", "k2"]).withColumn("n", F.length("_text"))
     rows = rows.withColumn("edited", F.expr("concat(left(_text, n - cast(floor(n / 2) as int)), start)"))
-    rows = rows.select("_id", "n", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("_text"), k, shingle).alias("own"), sketch(F.col("edited"), k, shingle).alias("changed"), "next", "next_id")
-    return rows.select(
+    rows = rows.select("_id", "n", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("_text"), k, shingle).alias("own"), sketch(F.col("edited"), k, shingle).alias("changed"), "next", "next_id", "copies")
+    out = rows.select(
         F.col("_id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
@@ -126,4 +128,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
         resemblance(F.col("own"), F.col("changed"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("next"), k).alias("near_next"),
         F.col("next_id").alias(f"next_{id_col}"),
+        F.col("copies").alias("_copies"),
     )
+    # In two steps, so that no row holds a list of all its copies.
+    step = 1000
+    out = out.withColumn("_copies", F.explode(F.expr(f"transform(sequence(0, (_copies - 1) div {step}), i -> least({step}, _copies - i * {step}))")))
+    return out.withColumn("_copies", F.explode(F.expr("sequence(1, cast(_copies as int))"))).drop("_copies")
