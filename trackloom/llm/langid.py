@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batch_rows, maybe_broadcast, text_or_empty
+from trackloom.llm.common import arrow_batches, cut, maybe_broadcast, text_or_empty
 
 LONGEST, PLACES = 4, 1 << 20
-#: Bounds of the sample that the model is fitted on: texts and landmarks of a language, landmarks in all.
-TEXTS, LANDMARKS, MOST_LANDMARKS = 600, 64, 1024
+#: Bounds of the sample that the model is fitted on: texts and landmarks of a language, landmarks in all, texts in all.
+TEXTS, LANDMARKS, MOST_LANDMARKS, MOST_TEXTS = 600, 64, 1024, 60_000
+#: Parts of a language whose least hashes are taken before the language's.
+PARTS = 32
 RIDGE = 1e-4
 UNKNOWN = "und"
 
@@ -119,16 +121,29 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TEXTS, landmarks: int = LANDMARKS) -> Model:
     """Fit on at most `texts` texts of each language, those with the least hashes of their ids.
 
-    Only rows with an id, a language, a text with a letter and held_out false are learned from.
+    Only rows with an id, a language, a text with a letter and held_out false
+    are learned from; of an id with several texts in a language the one of the
+    least hash is. With so many languages that these are more than MOST_TEXTS in
+    all, fewer of each are taken. The least hashes are taken by parts of a
+    language first, so no task sees a language's rows, however many.
     """
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(id_col))
-    ids = usable.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("langid"), "_id"), "_id")
-    chosen = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= texts)
-    chosen = chosen.groupBy("_id", "_lang").agg(F.min("_rank").alias("_rank"))
+    ids = usable.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang")).distinct()
+    ids = ids.select("*", F.xxhash64(F.lit("langid"), "_id").alias("_h"))
+
+    def least(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("_h", "_id")
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= texts)
+
+    some = least(ids.withColumn("_part", F.pmod(F.shiftright("_h", 7), F.lit(PARTS))), "_lang", "_part").drop("_part", "_rank")
+    chosen = cut(least(some, "_lang").drop("_h"))
+    languages = chosen.where("_rank = 1").count()
+    if languages * texts > MOST_TEXTS:
+        chosen = chosen.where(F.col("_rank") <= max(1, MOST_TEXTS // languages))
     rows = usable.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_t"))
-    sample = rows.join(maybe_broadcast(chosen), ["_id", "_lang"]).select("_lang", "_rank", "_t")
-    arrow_batch_rows(docs.sparkSession)
+    one = F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t")
+    sample = rows.join(maybe_broadcast(chosen), ["_id", "_lang"]).groupBy("_lang", "_rank").agg(one)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,10 +152,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
     found = sample.mapInArrow(run, "lang string, rank int, grams binary").toArrow()
     got = sorted(zip(found["lang"].to_pylist(), found["rank"].to_pylist(), found["grams"].to_pylist(), strict=True))
-    kept: dict[tuple, bytes] = {}
-    for name, rank, g in got:  # rows that repeat an id share a rank
-        kept.setdefault((name, rank), g)
-    return fit_sets([np.frombuffer(g, np.int32).astype(np.int64) for g in kept.values()], [k[0] for k in kept], landmarks)
+    return fit_sets([np.frombuffer(g, np.int32).astype(np.int64) for _, _, g in got], [name for name, _, _ in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -150,7 +162,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     text if the model knows no language. Rows are independent of each other.
     """
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    arrow_batch_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
