@@ -1,3 +1,5 @@
+import math
+import os
 import random
 
 import pytest
@@ -75,3 +77,57 @@ def test_odd_documents(spark, odd_docs):
 def test_documents_without_words(spark):
     docs = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix(docs).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_sample_is_the_prefix_of_a_plain_sort(spark, corpus):
+    """Pareto ranks sorted source by source: the longest prefix within the words due, then prefixes of what still fits."""
+    out = mixing.mix(corpus).withColumn("u", mixing._uniform("doc_id", mixing.SEED)).collect()
+    rules = {(r.source, r["class"]): r for r in mixing.plan(corpus).collect()}
+    by_source = {}
+    for r in out:
+        if r["size"]:
+            by_source.setdefault(r.source, []).append(r)
+    sampled = 0
+    for source, rows in by_source.items():
+        rule = {r.doc_id: rules[source, int(math.floor(math.log2(r["size"]) * 2))] for r in rows}
+        due = math.floor(rows[0].target - sum(rule[r.doc_id].whole * r["size"] for r in rows) + 0.5)
+        rank = {}
+        for r in rows:
+            p = rule[r.doc_id].p
+            if p > 0:
+                q = (r.u / (1 - r.u)) / (p / (1 - p))
+                rank[r.doc_id] = q / (1 + q)
+        # Odds are expected to fill what is due.
+        assert sum(rule[r.doc_id].p * r["size"] for r in rows) == pytest.approx(max(due, 0), abs=1 + 1e-6 * rows[0].target)
+        taken = set()
+        for _ in range(1 + mixing.FILLS):
+            left = sorted((rank[r.doc_id], r["size"], r.doc_id) for r in rows if r.doc_id in rank and r.doc_id not in taken and r["size"] <= due)
+            total = 0
+            for _, size, doc in left:
+                if total + size > due:
+                    break
+                total += size
+                taken.add(doc)
+            due -= total
+        assert {r.doc_id: r.copies for r in rows} == {r.doc_id: rule[r.doc_id].whole + (r.doc_id in taken) for r in rows}
+        sampled += len(taken)
+    assert sampled > 50
+
+
+def test_sizes_and_targets_are_those_of_sql(spark):
+    """Sizes, source sizes and targets of the test table, in SQL; no source there reaches its limit twice."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    sql = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM '{folder}/documents.parquet'),
+    s AS (SELECT source, SUM(size) AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+    a AS (SELECT *, least(3 * source_size, w * (SELECT SUM(source_size) FROM s) / (SELECT SUM(w) FROM s)) AS t1, w * (SELECT SUM(source_size) FROM s) / (SELECT SUM(w) FROM s) >= 3 * source_size AS full1 FROM s),
+    t AS (SELECT *, CASE WHEN full1 THEN 3.0 * source_size ELSE w * ((SELECT SUM(source_size) FROM s) - coalesce((SELECT SUM(3 * source_size) FROM a WHERE full1), 0)) / (SELECT SUM(w) FROM a WHERE NOT full1) END AS target FROM a)
+    SELECT d.doc_id, d.size, CAST(t.source_size AS BIGINT) AS source_size, t.target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["size"], r.source_size) == want[r.doc_id][:2] and r.target == pytest.approx(float(want[r.doc_id][2]))

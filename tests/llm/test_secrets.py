@@ -83,3 +83,21 @@ def test_odd_documents(spark, odd_docs):
     assert secrets.digests(secrets.scan(odd_docs.limit(0))).count() == 0
     twice = spark.createDataFrame([(1, "password=abcdefghijkl")] * 2 + [(None, "password=abcdefghijkl")], "doc_id long, text string")
     assert [r.n_assign for r in secrets.digests(secrets.scan(twice)).collect()] == [1, 1, 1]
+
+
+def test_base_counts_are_those_of_sql(spark):
+    """Counts of the base kinds in the test table, in SQL."""
+    import os
+
+    import duckdb
+    import pytest
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    assign = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    longer = lambda pattern, group, n: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {n}))"
+    sql = f"SELECT doc_id, {longer(assign, 2, 12)}, {longer('AKIA[A-Z0-9]+', 0, 18)}, {longer('[0-9a-f]+', 0, 16)} FROM '{folder}/documents.parquet'"
+    want = sorted(duckdb.sql(sql).fetchall())
+    out = secrets.digests(secrets.scan(spark.read.parquet(f"{folder}/documents.parquet"))).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in out) == want and sum(map(sum, (w[1:] for w in want))) > 0
