@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, lines, mixing, simhash, toxicity
-from trackloom.llm.common import cut, table
+from trackloom.llm.common import cut, drop_scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; every stage before it is written and read again."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
