@@ -52,6 +52,7 @@ def test_stages(spark, folder):
     kept = stages["line_dedup"](spark, clean, folder).cache()
     plain = links_of_all_pairs([(r.doc_id, r.text) for r in clean.where("text is not null").collect()])
     texts = {r.doc_id: r.text for r in kept.collect()}
+    plain |= {r.doc_id: None for r in clean.collect() if r.text is None}
     assert texts == {d: t for d, t in plain.items() if t is None or t.strip() or not (dict((r.doc_id, r.text) for r in clean.collect())[d] or "").strip()}
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept.collect())
 
