@@ -156,3 +156,53 @@ def test_lines_know_their_partition(spark, tmp_path):
     name = next(f for f in os.listdir(f"{tmp_path}/t") if f.endswith(".txt"))
     master = spark.createDataFrame([(4, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, name)], "space_id int, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, filename string")
     assert {(r.value, r.space_id) for r in readers.lines_with_partition(spark, f"{tmp_path}/t", master).collect()} == {("a", 4), ("b", 4)}
+
+
+def test_index_of_blocks_from_the_command_line(spark, tmp_path):
+    from trackloom.__main__ import main
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    assert main(["index", "grid", folder, "1.k", "--out", f"{tmp_path}/index"]) == 0
+    assert main(["index", "grid", folder, "4", "--out", f"{tmp_path}/few"]) == 0
+    assert spark.read.text(f"{tmp_path}/index").count() > spark.read.text(f"{tmp_path}/few").count() >= 4
+
+
+def test_binary_spaces_come_back(spark, tmp_path):
+    spaces = [(i, 0.5 * i, 1.0, -2.0, 0.5 * i + 1, 3.25, 1e9) for i in range(50)]
+    (tmp_path / "spaces.bin").write_bytes(sinks.index_bytes(spaces))
+    (tmp_path / "none.bin").write_bytes(sinks.index_bytes([]))
+    assert sorted(tuple(r) for r in readers.spaces_binary(spark, f"{tmp_path}/spaces.bin").collect()) == spaces
+    assert readers.spaces_binary(spark, f"{tmp_path}/none.bin").count() == 0
+
+
+def test_socket_stream_reads_lines(spark):
+    import socket
+    import threading
+
+    server = socket.socket()
+    server.bind(("127.0.0.1", 0))
+    server.listen(1)
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"one\ntwo\nthree\n")
+        done.wait(60)
+        peer.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    found = []
+    stream = readers.socket_stream(spark, "127.0.0.1", server.getsockname()[1])
+    q = stream.writeStream.foreachBatch(lambda b, n: found.extend(r[0] for r in b.collect())).start()
+    try:
+        for _ in range(120):
+            if len(found) >= 3:
+                break
+            q.awaitTermination(0.5)
+    finally:
+        q.stop()
+        done.set()
+        server.close()
+    assert sorted(found) == ["one", "three", "two"]

@@ -1,12 +1,16 @@
-"""python -m trackloom list | run NAME FOLDER [--out PATH] | index KIND FOLDER CELLS [--out PATH]"""
+"""python -m trackloom list | run NAME FOLDER [--out PATH] | index KIND FOLDER CELLS [--out PATH]
+
+CELLS is a number, or a block's size such as 64.m: then as many cells as blocks of the points as text."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.operators.partition import KINDS, build_index
+from trackloom.functions.options import size
+from trackloom.operators.partition import KINDS, build_index, partition_count
 from trackloom.plans import catalog
 from trackloom.plans.views import Views
 from trackloom.sources.sinks import index_lines
@@ -24,7 +28,7 @@ def main(args: list[str] | None = None) -> int:
     index = commands.add_parser("index", help="build a spatial index of the GPS points")
     index.add_argument("kind", choices=sorted(KINDS))
     index.add_argument("folder")
-    index.add_argument("cells", type=int)
+    index.add_argument("cells")
     for p in (run, index):
         p.add_argument("--out", help="write here instead of showing rows")
     given = parser.parse_args(args)
@@ -36,7 +40,13 @@ def main(args: list[str] | None = None) -> int:
         rows = catalog.QUERIES[given.name](spark, given.folder)
         rows.write.parquet(given.out) if given.out else rows.show(100, truncate=False)
         return 0
-    lines = index_lines(build_index(given.kind, Views(spark, given.folder).gps, AREA, given.cells, "lng", "lat").frame(spark))
+    points = Views(spark, given.folder).gps
+    if given.cells.isdigit():
+        cells = int(given.cells)
+    else:
+        text = points.select(F.octet_length(F.concat_ws(",", *(F.col(c).cast("string") for c in points.columns))).alias("n"))
+        cells = partition_count(text.agg(F.sum("n")).first()[0] or 0, size(given.cells))
+    lines = index_lines(build_index(given.kind, points, AREA, cells, "lng", "lat").frame(spark))
     lines.write.text(given.out) if given.out else lines.show(100, truncate=False)
     return 0
 

@@ -88,19 +88,31 @@ def index_text(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def index_binary(spark: SparkSession, path: str) -> DataFrame:
     """Cells from a binary index: a count, then an int id and four doubles each, big-endian."""
+    return _binary(spark, path, ("cell_id", "x1", "y1", "x2", "y2"))
+
+
+def spaces_binary(spark: SparkSession, path: str) -> DataFrame:
+    """Spaces with a third dimension from a binary file: a count, then an int id and six doubles each, big-endian."""
+    return _binary(spark, path, ("space_id", *BOX))
+
+
+def _binary(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
-    hexed = F.hex("content")
-    n = F.conv(F.substring(hexed, 1, 8), 16, 10).cast("int")
-    cell = files.select(F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "content")
+    n = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("int")
+    record = struct.Struct(f">i{len(names) - 1}d")
+    cell = files.where(n > 0).select(F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "content")
+    cell = cell.select(F.expr(f"substring(content, 5 + i * {record.size}, {record.size})").alias("cell"))
 
     def decode(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [struct.unpack_from(">i4d", c, 4 + 36 * i) for i, c in zip(b.column("i").to_pylist(), b.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("cell_id", "x1", "y1", "x2", "y2"), r, strict=True)) for r in rows], pa.schema([("cell_id", pa.int32()), *((k, pa.float64()) for k in ("x1", "y1", "x2", "y2"))]))
+            rows = zip(*(record.unpack(c) for c in b.column("cell").to_pylist()), strict=True)
+            columns = [pa.array(r, pa.float64() if i else pa.int32()) for i, r in enumerate(rows)]
+            if columns:
+                yield pa.RecordBatch.from_arrays(columns, list(names))
 
-    return cell.mapInArrow(decode, "cell_id int, x1 double, y1 double, x2 double, y2 double")
+    return cell.mapInArrow(decode, ", ".join(f"{c} {'double' if i else 'int'}" for i, c in enumerate(names)))
 
 
 def sequence_file(spark: SparkSession, path: str) -> DataFrame:

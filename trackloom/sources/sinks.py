@@ -124,9 +124,9 @@ def tsv(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in rows.columns)).alias("value"))
 
 
-def index_bytes(cells: list[tuple[int, float, float, float, float]]) -> bytes:
-    """The binary index of a list of cells: a count, then an int id and four doubles each, big-endian."""
-    return struct.pack(">i", len(cells)) + b"".join(struct.pack(">i4d", *c) for c in cells)
+def index_bytes(cells: list[tuple]) -> bytes:
+    """The binary index of a list of cells, or of spaces: a count, then an int id and its doubles each, big-endian."""
+    return struct.pack(">i", len(cells)) + b"".join(struct.pack(f">i{len(c) - 1}d", *c) for c in cells)
 
 
 def user_outputs(report: DataFrame, path: str) -> None:
