@@ -62,8 +62,9 @@ def sampled(points: DataFrame, x: str, y: str, limit: int) -> np.ndarray:
         # Hashes below a bound that some 4 * limit points have: tasks then send few points. Not if those are too few after all.
         some = rows.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (4 * limit / n))))
         rows = some if some.limit(limit).count() == limit else rows
-    kept = rows.orderBy(h, "x", "y").limit(limit).collect()
-    return np.array([(r.x, r.y) for r in kept], float).reshape(-1, 2)
+    kept = (rows if n <= limit else rows.orderBy(h, "x", "y").limit(limit)).select("x", "y", h.alias("h")).toArrow()
+    x, y, h = (kept.column(c).to_numpy() for c in ("x", "y", "h"))
+    return np.column_stack([x, y])[np.lexsort((y, x, h))]
 
 
 def overlapping(shapes: DataFrame, cells: DataFrame, r: Column | None = None) -> DataFrame:
