@@ -4,7 +4,8 @@ Documents are put in ascending order of their ids, encoded, and gathered in
 shards of about SHARD ids. In each shard frequent pairs of neighbouring symbols
 are replaced by new symbols, round after round, until no pair is found USES
 times: a round counts the pairs, takes up to RULES of the most frequent, and
-replaces their occurrences, leftmost first where they overlap. A pair that is
+replaces their occurrences, the more frequent first where two overlap, and so
+the same ones in all copies of a passage. A pair that is
 too rare stays so until one of its symbols is replaced, so a round looks only at
 places that were frequent or have changed. A pair never spans two documents, so
 every document begins at a symbol.
@@ -73,8 +74,9 @@ class Encoder:
         self._added = [t.content for t in added.values()]
         self._apart = min(added, default=None)
         self._opens = np.zeros(self.library.get_vocab_size(), bool)
+        space = byte_letters()[32]
         for token, i in self.library.get_vocab().items():
-            self._opens[i] = token.startswith(byte_letters()[32])
+            self._opens[i] = token.startswith(space)
         self._forget()
 
     def _forget(self) -> None:
@@ -197,6 +199,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rules: int = RULES
         a, b = seq[live], seq[live + 1]
         code = a.astype(np.uint64) << np.uint64(32) | b
         pairs, times = np.unique(code, return_counts=True)
+        # Every other place of a run of one symbol counts.
+        twice = live[a == b]
+        if len(twice):
+            some, fewer = np.unique(code[a == b][_even(twice, seq[twice])], return_counts=True)
+            times[np.searchsorted(pairs, some)] = fewer
         often = times >= uses
         if not often.any():
             break
@@ -206,13 +213,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rules: int = RULES
         there = marked[slots]
         live, code, slots = live[there], code[there], slots[there]
         best = np.flatnonzero(often)
-        best = best[np.argsort(times[best], kind="stable")[::-1][:rules]]
+        # Of equal counts in an order that has nothing to do with places.
+        best = best[np.lexsort((pairs[best] * np.uint64(0x9E3779B97F4A7C15), -times[best]))[:rules]]
         at, r = _replaced(live, code, slots, pairs[best], uses)
-        if not len(at):
-            best = best[:1]
-            at, r = _replaced(live, code, slots, pairs[best], 2)
-            if len(at) < uses:
-                break
         used = np.bincount(r, minlength=len(best)) > 0
         kept = pairs[best[used]]
         made.append(np.column_stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
@@ -257,14 +260,38 @@ def _replaced(live: np.ndarray, code: np.ndarray, slots: np.ndarray, best: np.nd
     return at[fine[r]], r[fine[r]]
 
 
+def _even(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a place is the first, third, ... of a run of neighbouring places of one kind."""
+    new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(kind.astype(np.int64)) != 0)])
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    return (np.arange(len(at)) - begin) % 2 == 0
+
+
 def _apart(at: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every other one of a run of neighbouring places."""
+    """Places of which no two are neighbours: those whose rule comes before the rules beside it, then, of what is left, again.
+
+    All places of the first rule are among them, so every round makes progress.
+    """
     if not len(at):
         return at, r
-    new = np.concatenate([[True], np.diff(at) > 1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - begin) % 2 == 0
-    return at[even], r[even]
+    even = _even(at, r)
+    at, r = at[even], r[even]
+    chosen = []
+    for _ in range(2):
+        beside = np.diff(at) == 1
+        stays = np.ones(len(at), bool)
+        stays[1:] &= ~(beside & (r[:-1] < r[1:]))
+        stays[:-1] &= ~(beside & (r[1:] < r[:-1]))
+        chosen.append((at[stays], r[stays]))
+        near = np.zeros(len(at), bool)
+        near[1:] |= beside & stays[:-1]
+        near[:-1] |= beside & stays[1:]
+        at, r = at[~stays & ~near], r[~stays & ~near]
+        if not len(at):
+            break
+    at, r = (np.concatenate(x) for x in zip(*chosen, strict=True))
+    order = np.argsort(at)
+    return at[order], r[order]
 
 
 def _by_level(rules: np.ndarray, first: int) -> list[np.ndarray]:
