@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geom import col
-from trackloom.operators.partition.base import Area, Partitioner, sampled
+from trackloom.operators.partition.base import Area, Partitioner, at_ranks, located, sampled
+from trackloom.operators.scratch import cut, drop
 
 
 def leaves_below(node: int, n: int) -> int:
@@ -34,26 +35,59 @@ class KdTree(Partitioner):
 
     @classmethod
     def build(cls, points: DataFrame, area: Area, n: int, x: str = "x", y: str = "y", sample: int = 100_000) -> KdTree:
-        return cls.from_array(sampled(points, x, y, sample), area, n)
+        """Exact splits: from an array of up to `sample` points, by counts beyond."""
+        rows = located(points, x, y)
+        count = rows.count()
+        if count <= sample:
+            return cls.from_array(sampled(points, x, y, sample), area, n)
+        return cls._counted(rows, count, area, n, sample)
+
+    @classmethod
+    def _counted(cls, points: DataFrame, count: int, area: Area, n: int, few: int) -> KdTree:
+        """Level by level, each split the point of its rank. Points of one coordinate are in the order of a hash, equal points in any."""
+        points = cut(points.withColumn("id", F.monotonically_increasing_id()))
+        rows = points.select(F.lit(1).cast("long").alias("g"), "x", "y", F.xxhash64("x", "y").alias("h"), "id")
+        splits, sizes, level = {}, {1: count}, 0
+        while nodes := [k for k in sizes if k.bit_length() == level + 1 and k < n]:
+            axis, ranks = level % 2, {}
+            for k in nodes:
+                one, two = leaves_below(2 * k, n), leaves_below(2 * k + 1, n)
+                sizes[2 * k] = sizes[k] * one // (one + two)
+                sizes[2 * k + 1] = sizes[k] - sizes[2 * k]
+                if sizes[k]:
+                    ranks[k] = [min(sizes[2 * k], sizes[k] - 1)]
+                else:
+                    splits[k] = (area[axis] + area[axis + 2]) / 2
+            rows = rows.where(F.col("g") < n)
+            keys = ["xy"[axis], "h", "id"]
+            found = [(k, *v, sizes[2 * k] == sizes[k]) for (k, _), v in at_ranks(rows, ranks, keys, few).items()] if ranks else []
+            splits |= {f[0]: float(f[1]) for f in found}
+            at = rows.sparkSession.createDataFrame(found, "g long, _v double, _h long, _id long, _all boolean")
+            below = F.struct(*keys) < F.struct("_v", "_h", "_id")
+            rows = rows.join(F.broadcast(at), "g").select((F.col("g") * 2 + F.when(F.col("_all") | below, 0).otherwise(1)).alias("g"), "x", "y", "h", "id")
+            level += 1
+        drop(points)
+        return cls(area, splits, n)
 
     @classmethod
     def from_array(cls, p: np.ndarray, area: Area, n: int) -> KdTree:
         splits: dict[int, float] = {}
-        queue = deque([(1, p, 0)])
+        # Points of one coordinate stay in the order of p.
+        queue = deque([(1, np.arange(len(p)), 0)])
         while queue:
             node, part, axis = queue.popleft()
             if node >= n:
                 continue
             one, two = leaves_below(2 * node, n), leaves_below(2 * node + 1, n)
             # the rank at which the points divide as the leaves do
-            cut = len(part) * one // (one + two)
-            ordered = part[np.argsort(part[:, axis], kind="stable")]
+            at = len(part) * one // (one + two)
+            ordered = part[np.argsort(p[part, axis], kind="stable")]
             if len(ordered):
-                splits[node] = float(ordered[min(cut, len(ordered) - 1), axis])
+                splits[node] = float(p[ordered[min(at, len(ordered) - 1)], axis])
             else:
                 splits[node] = (area[axis] + area[axis + 2]) / 2
-            queue.append((2 * node, ordered[:cut], 1 - axis))
-            queue.append((2 * node + 1, ordered[cut:], 1 - axis))
+            queue.append((2 * node, np.sort(ordered[:at]), 1 - axis))
+            queue.append((2 * node + 1, np.sort(ordered[at:]), 1 - axis))
         return cls(area, splits, n)
 
     @classmethod

@@ -21,4 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that nothing before it runs again."""
     path = place(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files behind a table made by cut()."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
