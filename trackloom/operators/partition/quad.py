@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import zorder
-from trackloom.operators.partition.base import Area, Partitioner, sampled
+from trackloom.operators.partition.base import Area, Partitioner, located, sampled
 
 #: Levels below the root at most; child ids then stay below 2**32.
 DEPTH = 15
@@ -39,7 +39,42 @@ class QuadTree(Partitioner):
 
     @classmethod
     def build(cls, points: DataFrame, area: Area, n: int, x: str = "x", y: str = "y", sample: int = 100_000) -> QuadTree:
-        return cls.from_array(sampled(points, x, y, sample), area, n)
+        """Exact leaves: from an array of up to `sample` points, from counts of code prefixes beyond."""
+        rows = located(points, x, y)
+        count = rows.count()
+        if count <= sample:
+            return cls.from_array(sampled(points, x, y, sample), area, n)
+        return cls._counted(rows.select(zorder.encode("x", "y", area).alias("z")), count, area, n)
+
+    @classmethod
+    def _counted(cls, codes: DataFrame, count: int, area: Area, n: int, depth: int = DEPTH, most_counts: int = 1 << 17) -> QuadTree:
+        """Counts some levels at once, then only within the nodes that are still too full: fewer than n + 1 on a level."""
+        most, spark = max(1, count // n), codes.sparkSession
+        leaves, counts, full, level = [], {}, [1], 0
+        if count <= most or not depth:
+            return cls(area, [1], {1: count})
+        while full:
+            low = level + 1
+            while low < depth and len(full) * 4 ** (low + 1 - level) <= most_counts:
+                low += 1
+            node = lambda at: F.shiftright("z", 62 - 2 * at) + F.lit(4**at)
+            inside = codes.join(F.broadcast(spark.createDataFrame([(k,) for k in full], "_node long")), node(level) == F.col("_node")) if level else codes
+            held = Counter()
+            for r in inside.groupBy(node(low).alias("node")).agg(F.count(F.lit(1)).alias("n")).collect():
+                for up in range(low - level + 1):
+                    held[r["node"] >> 2 * up] += r["n"]
+            queue, full, at_low = deque((k * 4 + i for k in full for i in range(4))), [], 4**low
+            while queue:
+                k = queue.popleft()
+                if held[k] <= most or k >= 4**depth:
+                    leaves.append(k)
+                    counts[k] = held[k]
+                elif k >= at_low:
+                    full.append(k)
+                else:
+                    queue += [k * 4 + i for i in range(4)]
+            level = low
+        return cls(area, sorted(leaves), counts)
 
     @classmethod
     def from_array(cls, p: np.ndarray, area: Area, n: int, depth: int = DEPTH) -> QuadTree:
