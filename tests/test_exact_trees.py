@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import differences
-from trackloom.operators.partition import KdTree, QuadTree
+from trackloom.operators.partition import KdTree, QuadTree, ZCurve
 from trackloom.operators.partition.base import at_ranks, sampled
 from trackloom.plans.catalog import ORACLES, QUERIES
 
@@ -19,7 +19,7 @@ def _points(spark):
     return spark.range(6000).select(F.when(many, 310.0).otherwise(x).alias("x"), F.when(many, 77.0).otherwise(y).alias("y"))
 
 
-@pytest.mark.parametrize("kind", [KdTree, QuadTree])
+@pytest.mark.parametrize("kind", [KdTree, QuadTree, ZCurve])
 @pytest.mark.parametrize("n", [4, 7, 40])
 def test_beyond_the_sample_all_points_count(spark, kind, n):
     points = _points(spark)
@@ -42,7 +42,7 @@ def test_ranks_of_many_keys(spark):
     assert got == {(g, r): want[g][r] for g, r in ((0, 0), (0, 700), (0, 1499), (1, 3))}
 
 
-@pytest.mark.parametrize("name", ["ix_ix8_kd_assign", "ix_ix9_quad_leaves", "ix_ix10_quad_bounds"])
+@pytest.mark.parametrize("name", ["ix_ix8_kd_assign", "ix_ix9_quad_leaves", "ix_ix10_quad_bounds", "ix_ix12_z_splits"])
 def test_trees_of_many_events_are_those_of_sql(spark, tmp_path, name):
     """150,000 events: more than the 100,000 points that come to the driver."""
     events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import zorder
-from trackloom.operators.partition.base import Area, Partitioner, sampled
+from trackloom.operators.partition.base import Area, Partitioner, at_ranks, located, sampled
 from trackloom.operators.partition.quad import _count_at_most, morton
 
 
@@ -23,14 +23,29 @@ class ZCurve(Partitioner):
 
     @classmethod
     def build(cls, points: DataFrame, area: Area, n: int, x: str = "x", y: str = "y", sample: int = 100_000) -> ZCurve:
-        return cls.from_array(sampled(points, x, y, sample), area, n)
+        """Exact splits: from an array of up to `sample` points, from counts of codes beyond."""
+        rows = located(points, x, y)
+        count = rows.count()
+        if count <= sample:
+            return cls.from_array(sampled(points, x, y, sample), area, n)
+        ranks = cls._ranks(count, n)
+        codes = rows.select(F.lit(0).alias("g"), zorder.encode("x", "y", area).alias("z"))
+        found = at_ranks(codes, {0: ranks}, ["z"], sample) if ranks else {}
+        return cls(area, [*(found[0, r][0] for r in ranks), cls._last(area)])
 
     @classmethod
     def from_array(cls, p: np.ndarray, area: Area, n: int) -> ZCurve:
         codes = np.sort(morton(p, area))
-        last = int(morton(np.array([[area[2], area[3]]], float), area)[0])
-        ranks = [min(len(codes) - 1, (i + 1) * len(codes) // n) for i in range(n - 1)]
-        return cls(area, [*(int(codes[r]) if len(codes) else last for r in ranks), last])
+        last = cls._last(area)
+        return cls(area, [*(int(codes[r]) if len(codes) else last for r in cls._ranks(len(codes), n)), last])
+
+    @staticmethod
+    def _last(area: Area) -> int:
+        return int(morton(np.array([[area[2], area[3]]], float), area)[0])
+
+    @staticmethod
+    def _ranks(count: int, n: int) -> list[int]:
+        return [min(count - 1, (i + 1) * count // n) for i in range(n - 1)]
 
     def _state(self) -> dict:
         return {"splits": self.splits}
