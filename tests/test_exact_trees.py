@@ -42,7 +42,7 @@ def test_ranks_of_many_keys(spark):
     assert got == {(g, r): want[g][r] for g, r in ((0, 0), (0, 700), (0, 1499), (1, 3))}
 
 
-@pytest.mark.parametrize("name", ["ix_ix8_kd_assign", "ix_ix9_quad_leaves", "ix_ix10_quad_bounds", "ix_ix12_z_splits"])
+@pytest.mark.parametrize("name", ["ix_ix8_kd_assign", "ix_ix9_quad_leaves", "ix_ix10_quad_bounds", "ix_ix12_z_splits", "ix_ix13_z_assign"])
 def test_trees_of_many_events_are_those_of_sql(spark, tmp_path, name):
     """150,000 events: more than the 100,000 points that come to the driver."""
     events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
