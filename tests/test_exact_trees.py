@@ -51,3 +51,9 @@ def test_trees_of_many_events_are_those_of_sql(spark, tmp_path, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert differences(QUERIES[name](spark, str(tmp_path)), c, ORACLES[name]) == ""
+
+
+def test_cubes_of_large_keys(spark, tmp_path):
+    """The cube of 1,199,999 is above 2**53."""
+    spark.createDataFrame([(k, 3) for k in (1, 208065, 1199999, 2000001)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.id: r.cube for r in QUERIES["fn11_bits"](spark, str(tmp_path)).collect()} == {k: k**3 for k in (1, 208065, 1199999, 2000001)}

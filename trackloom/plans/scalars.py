@@ -203,7 +203,8 @@ def fn10(v):
 
 @query("fn11_bits", "SELECT id, CAST(CASE WHEN id = 0 THEN 0 ELSE floor(log2(id)) + 1 END AS INT) AS bits, CAST(id * id * id AS BIGINT) AS cube FROM boxes")
 def fn11(v):
-    return v.boxes.select("id", zorder.significant_bits("id").alias("bits"), F.pow("id", F.lit(3)).cast("long").alias("cube"))
+    key = F.col("id").cast("long")
+    return v.boxes.select("id", zorder.significant_bits("id").alias("bits"), (key * key * key).alias("cube"))
 
 
 @query("fn12_grid_cell", f"SELECT bid, {cell_sql()} AS cell FROM towers")
