@@ -48,6 +48,8 @@ LETTERS = 55_000
 BINS, SAMPLE = 1 << 14, 8
 #: Bins in which the sample's keys are counted, and the share of them from which a bin's blocks are counted first.
 KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
+#: Keys of nodes that are dealt out at a time, in so many slices at most.
+SLICE, MOST_SLICES = 8_000_000, 16
 #: Longs of a signature.
 SIGS = 4
 _WHITE = " \t\n\x0b\x0c\r"
@@ -186,13 +188,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
     return out
 
 
-def _members(nodes: DataFrame, frequent: list[int]) -> DataFrame:
-    """(key, lid, size, rep, rep_size, n): the nodes of each block with its least node and its size, of blocks of two and more.
+def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int = 0) -> DataFrame:
+    """(key, lid, size, rep, rep_size, n): the nodes of each block with its least node and its size, of a slice's blocks of two and more.
 
     Nearly all keys have one node, so counting before dealing saves nothing but
     for the frequent ones.
     """
-    rows = nodes.select("lid", "size", F.explode("keys").alias("key"))
+    # Bits other than those of the bins of frequent keys, so that these spread over the slices.
+    keys = F.filter("keys", lambda k: F.pmod(F.shiftright(k, 12), F.lit(slices)) == slice_) if slices > 1 else F.col("keys")
+    rows = nodes.select("lid", "size", F.explode(keys).alias("key"))
     block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size"))
     few = rows
     if frequent:
@@ -217,27 +221,39 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, freque
     """Edges (a, b) between nodes(lid, size, s0.., keys, k1, k2, pos) that make the connected groups.
 
     Most meetings are chance. Lengths travel with the keys and end many of them, signatures nearly all others.
+    The blocks of a slice of the keys are dealt out at a time, so that the disk
+    holds one slice's keys, and of all slices only the pairs that signatures
+    allow and the members of blocks of three and more.
     """
     spark = nodes.sparkSession
-    members = _members(nodes, frequent)
+    slices = max(1, min(MOST_SLICES, -(-(nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // SLICE)))
+    stars, kept = [], []
+    for i in range(slices):
+        members = _members(nodes, frequent, slices, i)
+        star = members.where((F.col("lid") != F.col("rep")) & _near("", "rep_", least, []))
+        stars.append(cut(_closer(star.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct(), nodes, least)))
+        kept.append(cut(members.where("n > 2 and lid <> rep").select("key", "lid", "size", "rep")))
+        drop_scratch(members)
+        release(spark)
+    first = _verified(reduce(DataFrame.unionByName, stars).distinct(), nodes, docs, text, id_col, least)
     release(spark)
-    star = members.where((F.col("lid") != F.col("rep")) & _near("", "rep_", least, []))
-    star = _closer(star.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct(), nodes, least)
-    first = _verified(star, nodes, docs, text, id_col, least)
-    release(spark)
-    linked = first.where("ok").select(F.col("a").alias("rep"), F.col("b").alias("lid"))
-    larger = members.where("n > 2 and lid <> rep").select("key", "lid", "size", "rep").join(nodes.select("lid", "s0"), "lid")
-    larger = cut(larger.join(maybe_broadcast(linked.withColumn("done", F.lit(True)), FEW), ["rep", "lid"], "left").drop("rep"))
-    release(spark)
-    left = larger.where("done is null").drop("done")
-    others = larger.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "size", "s0")))
-    met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least, _SIGS[:1]))
-    rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct()
-    rest = cut(rest.join(maybe_broadcast(first.select("a", "b"), FEW), ["a", "b"], "left_anti"))
-    drop_scratch(members)
-    drop_scratch(larger)
-    release(spark)
-    second = _verified(_closer(rest, nodes, least), nodes, docs, text, id_col, least)
+    linked = cut(first.where("ok").select(F.col("a").alias("rep"), F.col("b").alias("lid")))
+    rests = []
+    for members in kept:
+        larger = members.join(nodes.select("lid", "s0"), "lid")
+        larger = cut(larger.join(maybe_broadcast(linked.withColumn("done", F.lit(True)), FEW), ["rep", "lid"], "left").drop("rep"))
+        left = larger.where("done is null").drop("done")
+        others = larger.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "size", "s0")))
+        met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least, _SIGS[:1]))
+        rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct()
+        rest = rest.join(maybe_broadcast(first.select("a", "b"), FEW), ["a", "b"], "left_anti")
+        rests.append(cut(_closer(rest, nodes, least)))
+        drop_scratch(members)
+        drop_scratch(larger)
+        release(spark)
+    second = _verified(reduce(DataFrame.unionByName, rests).distinct(), nodes, docs, text, id_col, least)
+    for df in (*stars, *rests, linked):
+        drop_scratch(df)
     return first.unionByName(second).where("ok").select("a", "b")
 
 
@@ -250,11 +266,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     release(spark)
     at, of_line = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "pos"), ["size", "keys", *_SIGS]
     nodes = every.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in of_line))
-    nodes = cut(nodes.select("h1", "h2", "at", "n", *of_line, *(F.col(f"at.{c}").alias(c) for c in ("k1", "k2", "pos")), F.monotonically_increasing_id().alias("lid")))
+    nodes = cut(nodes.select("h1", "h2", "n", *of_line, *(F.col(f"at.{c}").alias(c) for c in ("id", "k1", "k2", "pos")), F.monotonically_increasing_id().alias("lid")))
     release(spark)
     groups = components(line_links(nodes, docs, text, id_col, frequent, least))
     release(spark)
-    of = nodes.select("h1", "h2", "n", "at", "lid").join(maybe_broadcast(groups, FEW), nodes["lid"] == groups["node"], "left")
+    of = nodes.select("h1", "h2", "n", at.alias("at"), "lid").join(maybe_broadcast(groups, FEW), nodes["lid"] == groups["node"], "left")
     of = cut(of.where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "lid").alias("root")))
     # Every node gets its group's first occurrence, so occurrences need no meeting by group.
     stays = of.groupBy("root").agg(F.min("at").alias("stays"))
