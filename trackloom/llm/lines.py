@@ -13,17 +13,20 @@ order common to all lines. Pairs of words that a sample finds rare come first,
 which affects costs only.
 
 Nodes that meet are compared by a signature before their texts are fetched: 256
-bits, of which each word sets one by its hash. An edit adds and removes one word
-at most, so linked lines' signatures differ in at most 2t bits; those of
-unrelated lines of up to some 250 words hardly ever do. For the edit distance each word is a letter, one
-of LETTERS by its hash.
-
-In a block all are compared with one representative; those not linked to it are
-compared with the whole block. Two nodes that are both linked to the
-representative need no comparison: they are in its group anyhow. The groups are
-therefore exactly the connected ones, while a block of many like lines costs its
-size, not the square of it. Blocks that the sample finds frequent are counted
-before they are dealt out, so that no task holds one.
+bits, of which each word turns one over by its hash. An edit adds and removes one
+word at most, so linked lines' signatures differ in at most 2t bits; those of
+unrelated lines of up to some 250 words hardly ever do. The same signature
+folded to 64 bits travels with the keys and ends nearly all meetings of lines of
+up to some 60 words where they happen. For the edit distance each word is a
+letter, one of LETTERS by its hash.
+
+In a block of up to SMALL nodes all pairs are compared. In a larger one all are
+compared with one representative; the links of all blocks then give groups, and
+nodes that are not in their representative's group are compared with the nodes
+of other groups in the block. Two nodes of one group need no comparison. The
+groups are therefore exactly the connected ones, while a block of many like
+lines costs its size, not the square of it. Blocks that the sample finds
+frequent are counted before they are dealt out, so that no task holds one.
 
 Of each connected group the first occurrence stays, in order of document id and
 line.
@@ -50,6 +53,8 @@ BINS, SAMPLE = 1 << 14, 8
 KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
 #: Keys of nodes that are dealt out at a time, in so many slices at most.
 SLICE, MOST_SLICES = 8_000_000, 16
+#: Nodes of a block up to which all its pairs are compared at once.
+SMALL = 128
 #: Longs of a signature.
 SIGS = 4
 _WHITE = " \t\n\x0b\x0c\r"
@@ -118,9 +123,9 @@ def _with_keys(lines: DataFrame, levels: Column, least: float) -> DataFrame:
 
 
 def _signature(hashes: Column) -> list[Column]:
-    """SIGS longs; a word sets one bit of one of them."""
+    """SIGS longs; a word turns over one bit of one of them."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-    of = lambda i: lambda a, h: F.when(F.shiftright(h, 26).bitwiseAND(F.lit(SIGS - 1)) == i, a.bitwiseOR(bit(h))).otherwise(a)
+    of = lambda i: lambda a, h: F.when(F.shiftright(h, 26).bitwiseAND(F.lit(SIGS - 1)) == i, a.bitwiseXOR(bit(h))).otherwise(a)
     return [F.aggregate(hashes, F.lit(0).cast("long"), of(i)).alias(s) for i, s in enumerate(_SIGS)]
 
 
@@ -189,15 +194,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int = 0) -> DataFrame:
-    """(key, lid, size, rep, rep_size, n): the nodes of each block with its least node and its size, of a slice's blocks of two and more.
+    """(key, lid, size, sig, n, least): the nodes of each block with its size, of a slice's blocks of two and more; of those above SMALL also the least node.
 
-    Nearly all keys have one node, so counting before dealing saves nothing but
-    for the frequent ones.
+    sig is the signature folded to 64 bits. Nearly all keys have one node, so
+    counting before dealing saves nothing but for the frequent ones.
     """
     # Bits other than those of the bins of frequent keys, so that these spread over the slices.
     keys = F.filter("keys", lambda k: F.pmod(F.shiftright(k, 12), F.lit(slices)) == slice_) if slices > 1 else F.col("keys")
-    rows = nodes.select("lid", "size", F.explode(keys).alias("key"))
-    block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size"))
+    sig = reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, _SIGS))
+    rows = nodes.select("lid", "size", sig.alias("sig"), F.explode(keys).alias("key"))
+    block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size", "sig"))
     few = rows
     if frequent:
         often = F.coalesce(F.get(_table([int(i in set(frequent)) for i in range(KEY_BINS)]), _bin(F.col("key"), KEY_BINS)) == 1, F.lit(False))
@@ -206,7 +212,12 @@ def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int
     if frequent:
         sums = cut(many.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         out = out.unionByName(many.join(maybe_broadcast(sums, FEW), "key"))
-    return cut(out.select("key", "lid", "size", "n", F.col("least.lid").alias("rep"), F.col("least.size").alias("rep_size")))
+    return cut(out.select("key", "lid", "size", "sig", "n", F.when(F.col("n") > SMALL, F.col("least")).alias("least")))
+
+
+def _ends(rows: DataFrame, a: str, *more: str) -> DataFrame:
+    """rows(key, lid, size, sig) as one end of a pair, its columns named by the prefix a."""
+    return rows.select("key", *(F.col(c).alias(f"{a}{c}") for c in ("lid", "size", "sig", *more)))
 
 
 def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -220,41 +231,45 @@ def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, frequent: list[int], least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between nodes(lid, size, s0.., keys, k1, k2, pos) that make the connected groups.
 
-    Most meetings are chance. Lengths travel with the keys and end many of them, signatures nearly all others.
+    Most meetings are chance. Lengths and folded signatures travel with the keys and end most of them, whole signatures nearly all others.
     The blocks of a slice of the keys are dealt out at a time, so that the disk
     holds one slice's keys, and of all slices only the pairs that signatures
-    allow and the members of blocks of three and more.
+    allow and the members of blocks above SMALL.
     """
     spark = nodes.sparkSession
     slices = max(1, min(MOST_SLICES, -(-(nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // SLICE)))
-    stars, kept = [], []
+    met, kept = [], []
     for i in range(slices):
         members = _members(nodes, frequent, slices, i)
-        star = members.where((F.col("lid") != F.col("rep")) & _near("", "rep_", least, []))
-        stars.append(cut(_closer(star.select(F.col("rep").alias("a"), F.col("lid").alias("b")).distinct(), nodes, least)))
-        kept.append(cut(members.where("n > 2 and lid <> rep").select("key", "lid", "size", "rep")))
+        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+        pairs = _ends(few, "a_").join(_ends(few, "b_"), "key").where((F.col("a_lid") < F.col("b_lid")) & _near("a_", "b_", least, ["sig"]))
+        star = many.where(F.col("lid") != F.col("least.lid")).select("*", *(F.col(f"least.{c}").alias(f"rep_{c}") for c in ("lid", "size", "sig"))).where(_near("", "rep_", least, ["sig"]))
+        pairs = pairs.select(F.col("a_lid").alias("a"), F.col("b_lid").alias("b")).unionByName(star.select(F.col("rep_lid").alias("a"), F.col("lid").alias("b")))
+        met.append(cut(_closer(pairs.distinct(), nodes, least)))
+        kept.append(cut(many.select("key", "lid", "size", "sig", F.col("least.lid").alias("rep"))))
         drop_scratch(members)
         release(spark)
-    first = _verified(reduce(DataFrame.unionByName, stars).distinct(), nodes, docs, text, id_col, least)
+    first = _verified(reduce(DataFrame.unionByName, met).distinct(), nodes, docs, text, id_col, least).where("ok").select("a", "b")
     release(spark)
-    linked = cut(first.where("ok").select(F.col("a").alias("rep"), F.col("b").alias("lid")))
+    groups = cut(components(first))
     rests = []
     for members in kept:
-        larger = members.join(nodes.select("lid", "s0"), "lid")
-        larger = cut(larger.join(maybe_broadcast(linked.withColumn("done", F.lit(True)), FEW), ["rep", "lid"], "left").drop("rep"))
-        left = larger.where("done is null").drop("done")
-        others = larger.select("key", *(F.col(c).alias(f"two_{c}") for c in ("lid", "size", "s0")))
-        met = left.join(others, "key").where((F.col("lid") != F.col("two_lid")) & _near("", "two_", least, _SIGS[:1]))
-        rest = met.select(F.least("lid", "two_lid").alias("a"), F.greatest("lid", "two_lid").alias("b")).distinct()
-        rest = rest.join(maybe_broadcast(first.select("a", "b"), FEW), ["a", "b"], "left_anti")
-        rests.append(cut(_closer(rest, nodes, least)))
+        rows = members
+        for end in ("lid", "rep"):
+            of = groups.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            rows = rows.join(maybe_broadcast(of, FEW), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        rows = cut(rows)
+        pairs = _ends(rows.where("lid_root <> rep_root"), "a_", "lid_root", "rep").join(_ends(rows, "b_", "lid_root"), "key")
+        # Of two that are both outside their representative's group, the pair is met from both sides.
+        pairs = pairs.where((F.col("a_lid_root") != F.col("b_lid_root")) & (F.col("b_lid") != F.col("a_rep")) & _near("a_", "b_", least, ["sig"]))
+        rests.append(cut(_closer(pairs.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b")).distinct(), nodes, least)))
         drop_scratch(members)
-        drop_scratch(larger)
+        drop_scratch(rows)
         release(spark)
-    second = _verified(reduce(DataFrame.unionByName, rests).distinct(), nodes, docs, text, id_col, least)
-    for df in (*stars, *rests, linked):
+    second = _verified(reduce(DataFrame.unionByName, rests).distinct(), nodes, docs, text, id_col, least).where("ok").select("a", "b")
+    for df in (*met, *rests, groups):
         drop_scratch(df)
-    return first.unionByName(second).where("ok").select("a", "b")
+    return first.unionByName(second)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
