@@ -16,8 +16,9 @@ Nodes that meet are compared by a signature before their texts are fetched: 256
 bits, of which each word turns one over by its hash. An edit adds and removes one
 word at most, so linked lines' signatures differ in at most 2t bits; those of
 unrelated lines of up to some 250 words hardly ever do. The same signature
-folded to 64 bits travels with the keys and ends nearly all meetings of lines of
-up to some 60 words where they happen. For the edit distance each word is a
+folded to 64 bits travels with the keys and ends nearly all meetings of short
+lines where they happen; long lines' whole signatures join those keys that more
+than one line has. For the edit distance each word is a
 letter, one of LETTERS by its hash.
 
 In a block of up to SMALL nodes all pairs are compared. In a larger one all are
@@ -55,6 +56,8 @@ KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
 SLICE, MOST_SLICES = 8_000_000, 16
 #: Nodes of a block up to which all its pairs are compared at once.
 SMALL = 128
+#: Words from which the folded signature tells too little.
+LONG = 48
 #: Longs of a signature.
 SIGS = 4
 _WHITE = " \t\n\x0b\x0c\r"
@@ -194,16 +197,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int = 0) -> DataFrame:
-    """(key, lid, size, sig, n, least): the nodes of each block with its size, of a slice's blocks of two and more; of those above SMALL also the least node.
+    """(key, lid, size, sig, s0.., n, least): the nodes of each block with its size, of a slice's blocks of two and more; of those above SMALL also the least node.
 
-    sig is the signature folded to 64 bits. Nearly all keys have one node, so
+    sig is the signature folded to 64 bits, s0.. the whole one of lines of LONG words and more. Nearly all keys have one node, so
     counting before dealing saves nothing but for the frequent ones.
     """
     # Bits other than those of the bins of frequent keys, so that these spread over the slices.
     keys = F.filter("keys", lambda k: F.pmod(F.shiftright(k, 12), F.lit(slices)) == slice_) if slices > 1 else F.col("keys")
     sig = reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, _SIGS))
     rows = nodes.select("lid", "size", sig.alias("sig"), F.explode(keys).alias("key"))
-    block, least = Window.partitionBy("key"), F.min(F.struct("lid", "size", "sig"))
+    block, least = Window.partitionBy("key"), F.min("lid")
     few = rows
     if frequent:
         often = F.coalesce(F.get(_table([int(i in set(frequent)) for i in range(KEY_BINS)]), _bin(F.col("key"), KEY_BINS)) == 1, F.lit(False))
@@ -212,12 +215,20 @@ def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int
     if frequent:
         sums = cut(many.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         out = out.unionByName(many.join(maybe_broadcast(sums, FEW), "key"))
-    return cut(out.select("key", "lid", "size", "sig", "n", F.when(F.col("n") > SMALL, F.col("least")).alias("least")))
+    out = out.select("key", "lid", "size", "sig", "n", F.when(F.col("n") > SMALL, F.col("least")).alias("least"))
+    whole = nodes.where(F.col("size") >= LONG).select("lid", *_SIGS)
+    return cut(out.join(whole, "lid", "left"))
 
 
 def _ends(rows: DataFrame, a: str, *more: str) -> DataFrame:
     """rows(key, lid, size, sig) as one end of a pair, its columns named by the prefix a."""
-    return rows.select("key", *(F.col(c).alias(f"{a}{c}") for c in ("lid", "size", "sig", *more)))
+    return rows.select("key", *(F.col(c).alias(f"{a}{c}") for c in ("lid", "size", "sig", *_SIGS, *more)))
+
+
+def _may(least: float) -> Column:
+    """Whether sizes and what is known of the signatures of a_ and b_ allow the similarity."""
+    both = F.col(f"a_{_SIGS[0]}").isNotNull() & F.col(f"b_{_SIGS[0]}").isNotNull()
+    return _near("a_", "b_", least, ["sig"]) & (~both | _near("a_", "b_", least, _SIGS))
 
 
 def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -242,14 +253,15 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, freque
     for i in range(slices):
         members = _members(nodes, frequent, slices, i)
         few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        pairs = _ends(few, "a_").join(_ends(few, "b_"), "key").where((F.col("a_lid") < F.col("b_lid")) & _near("a_", "b_", least, ["sig"]))
-        star = many.where(F.col("lid") != F.col("least.lid")).select("*", *(F.col(f"least.{c}").alias(f"rep_{c}") for c in ("lid", "size", "sig"))).where(_near("", "rep_", least, ["sig"]))
-        pairs = pairs.select(F.col("a_lid").alias("a"), F.col("b_lid").alias("b")).unionByName(star.select(F.col("rep_lid").alias("a"), F.col("lid").alias("b")))
-        met.append(cut(_closer(pairs.distinct(), nodes, least)))
-        kept.append(cut(many.select("key", "lid", "size", "sig", F.col("least.lid").alias("rep"))))
+        pairs = _ends(few, "a_").join(_ends(few, "b_"), "key").where((F.col("a_lid") < F.col("b_lid")) & _may(least))
+        reps = _ends(many.where(F.col("lid") == F.col("least")), "a_")
+        star = reps.join(_ends(many, "b_"), "key").where((F.col("a_lid") < F.col("b_lid")) & _may(least))
+        met.append(cut(pairs.unionByName(star).select(F.col("a_lid").alias("a"), F.col("b_lid").alias("b")).distinct()))
+        kept.append(cut(many.withColumnRenamed("least", "rep").drop("n")))
         drop_scratch(members)
         release(spark)
-    first = _verified(reduce(DataFrame.unionByName, met).distinct(), nodes, docs, text, id_col, least).where("ok").select("a", "b")
+    near = _closer(reduce(DataFrame.unionByName, met).distinct(), nodes, least)
+    first = _verified(near, nodes, docs, text, id_col, least).where("ok").select("a", "b")
     release(spark)
     groups = cut(components(first))
     rests = []
@@ -261,13 +273,14 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, freque
         rows = cut(rows)
         pairs = _ends(rows.where("lid_root <> rep_root"), "a_", "lid_root", "rep").join(_ends(rows, "b_", "lid_root"), "key")
         # Of two that are both outside their representative's group, the pair is met from both sides.
-        pairs = pairs.where((F.col("a_lid_root") != F.col("b_lid_root")) & (F.col("b_lid") != F.col("a_rep")) & _near("a_", "b_", least, ["sig"]))
-        rests.append(cut(_closer(pairs.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b")).distinct(), nodes, least)))
+        pairs = pairs.where((F.col("a_lid_root") != F.col("b_lid_root")) & (F.col("b_lid") != F.col("a_rep")) & _may(least))
+        rests.append(cut(pairs.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b")).distinct()))
         drop_scratch(members)
         drop_scratch(rows)
         release(spark)
-    second = _verified(reduce(DataFrame.unionByName, rests).distinct(), nodes, docs, text, id_col, least).where("ok").select("a", "b")
-    for df in (*met, *rests, groups):
+    left = _closer(reduce(DataFrame.unionByName, rests).distinct(), nodes, least)
+    second = _verified(left, nodes, docs, text, id_col, least).where("ok").select("a", "b")
+    for df in (*met, *rests, near, left, groups):
         drop_scratch(df)
     return first.unionByName(second)
 
