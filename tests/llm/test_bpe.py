@@ -82,6 +82,18 @@ def test_verification_tells_exactly_which_words_fail(encoder):
     assert passed > 100 and failed > 100
 
 
+def test_a_worker_remembers_little(library):
+    """Of 400,000 words, all new, a worker keeps under 120 MB at 200 bytes each; what it has forgotten it encodes as before."""
+    enc, rng, most = bpe.Encoder(bpe.default_path()), random.Random(6), 0
+    for k in range(10):
+        text = " ".join("".join(rng.choice("abcdehiknorstu") for _ in range(9)) for _ in range(40_000))
+        ids, _ = enc.encode_batch([text, "the first words again"])
+        most = max(most, 200 * (len(enc._at) + len(enc._known_words)))
+        if k in (0, 9):
+            assert ids.tolist() == [i for e in library.encode_batch([text, "the first words again"], add_special_tokens=False) for i in e.ids]
+    assert 60e6 < most < 120e6
+
+
 def test_odd_documents(spark, odd_docs, library):
     docs = odd_docs.withColumnsRenamed({"lang": "ids", "source": "decoded"})
     out = bpe.encode(docs)

@@ -45,7 +45,7 @@ CONTROLS = "\x1c\x1d\x1e\x1f"
 #: How the vocabulary cuts a lower-case text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces, and words, that a worker remembers before it starts afresh; about 200 bytes each.
-REMEMBERED, REMEMBERED_WORDS = 900_000, 500_000
+REMEMBERED, REMEMBERED_WORDS = 300_000, 150_000
 #: Letters up to which a word is merged by scanning for the least rank, not with a heap.
 SHORT = 40
 
