@@ -153,7 +153,7 @@ def _near(a: str, b: str, least: float, sigs: list[str]) -> Column:
     la, lb = F.col(f"{a}size"), F.col(f"{b}size")
     most = F.floor(F.greatest(la, lb) * (1 - least) + 1e-9)
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in sigs), F.lit(0))
-    return (F.abs(la - lb) <= most) & (differ <= 2 * most)
+    return (F.abs(la - lb) <= most) & (differ + F.abs(la - lb) <= 2 * most)
 
 
 def letters(norm: Column) -> Column:
