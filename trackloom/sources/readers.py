@@ -99,15 +99,17 @@ def spaces_binary(spark: SparkSession, path: str) -> DataFrame:
 def _binary(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     n = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("int")
-    record = struct.Struct(f">i{len(names) - 1}d")
+    # The layout as a string, which every Python can send to its workers; a Struct cannot be pickled.
+    record = f">i{len(names) - 1}d"
+    size = struct.calcsize(record)
     cell = files.where(n > 0).select(F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "content")
-    cell = cell.select(F.expr(f"substring(content, 5 + i * {record.size}, {record.size})").alias("cell"))
+    cell = cell.select(F.expr(f"substring(content, 5 + i * {size}, {size})").alias("cell"))
 
     def decode(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = zip(*(record.unpack(c) for c in b.column("cell").to_pylist()), strict=True)
+            rows = zip(*(struct.unpack(record, c) for c in b.column("cell").to_pylist()), strict=True)
             columns = [pa.array(r, pa.float64() if i else pa.int32()) for i, r in enumerate(rows)]
             if columns:
                 yield pa.RecordBatch.from_arrays(columns, list(names))
