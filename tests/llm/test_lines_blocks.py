@@ -1,6 +1,9 @@
 """Large blocks give the same groups as small ones, and meetings end before they are dealt out."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from test_lines import DOCS, corpus, links_of_all_pairs
 from trackloom.llm import lines
@@ -28,3 +31,12 @@ def test_a_common_pair_does_not_pair_all_lines(spark, monkeypatch):
     out = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, DOCS)).collect()}
     assert out == {i: int(i > 400) for i in range(800)}
     assert sum(met) < 800 * 799 / 2 / 10
+
+
+def test_frequent_pairs_come_last(spark):
+    """A pair that many lines share is no key of theirs, though its words are rarer than the others, whose pairs are not frequent."""
+    rng = random.Random(5)
+    rows = [(i, " ".join([*(f"w{rng.randrange(10)}" for _ in range(16)), "p", "q"])) for i in range(1200)]
+    every, _ = lines.occurrences(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    blocks = every.select(F.explode("keys").alias("key")).groupBy("key").count()
+    assert blocks.agg(F.max("count")).first()[0] < 300

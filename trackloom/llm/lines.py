@@ -9,8 +9,9 @@ bits has no such blocks at this similarity: 0.8 moves some 13 bits, and of one
 word changed in 12 to 30 its blocks found 28 to 68 %. The blocks are therefore
 pairs of neighbouring words: an edit of one word changes two pairs at most, so
 lines within t edits share one of the 2t + 1 first pairs of either, in any
-order common to all lines. Pairs of words that a sample finds rare come first,
-which affects costs only.
+order common to all lines. Pairs of rare words come first, and those pairs that
+are themselves frequent come last, both as a sample finds them; that affects
+costs only.
 
 Nodes that meet are compared by a signature before their texts are fetched: 256
 bits, of which each word turns one over by its hash. An edit adds and removes one
@@ -23,8 +24,9 @@ letter, one of LETTERS by its hash.
 
 In a block of up to SMALL nodes all pairs are compared. In a larger one all are
 compared with one representative; the links of all blocks then give groups, and
-nodes that are not in their representative's group are compared with the nodes
-of other groups in the block. Two nodes of one group need no comparison. The
+nodes that are not in their block's largest group are compared with the nodes
+of other groups in the block, in the first large block that both share. Two
+nodes of one group need no comparison. The
 groups are therefore exactly the connected ones, while a block of many like
 lines costs its size, not the square of it. Blocks that the sample finds
 frequent are counted before they are dealt out, so that no task holds one.
@@ -50,6 +52,8 @@ FEW = 400_000
 LETTERS = 55_000
 #: Bins in which words are counted, and the share of documents, one in SAMPLE, that is counted.
 BINS, SAMPLE = 1 << 14, 8
+#: Pairs of words that the sample has so often at least come last, the most frequent of them, at most COMMON; bins that tell them.
+OFTEN, COMMON, PAIR_BINS = 8, 1 << 13, 1 << 16
 #: Bins in which the sample's keys are counted, and the share of them from which a bin's blocks are counted first.
 KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
 #: Keys of nodes that are dealt out at a time, in so many slices at most.
@@ -102,8 +106,44 @@ def _table(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
-def _with_keys(lines: DataFrame, levels: Column, least: float) -> DataFrame:
-    """lines(hashes) with size and keys, the first pairs of a line, those of rare words first.
+_MASK = (1 << 31) - 1
+
+
+def _level(h: Column) -> Column:
+    """A tagged hash's level."""
+    return h.bitwiseAND(F.lit(63))
+
+
+def _tagged(levels: Column) -> Column:
+    """Words' hashes with their levels in the lowest bits, so that a pair's level is a sum."""
+    return F.transform("hashes", lambda h: h.bitwiseAND(F.lit(~63)).bitwiseOR(F.get(levels, _bin(F.shiftright(h, 6), BINS)).cast("long")))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """The key of two neighbouring words, tagged; it fits an int."""
+    return F.xxhash64(a, b).bitwiseAND(F.lit(_MASK))
+
+
+def _common(some: DataFrame, levels: Column) -> Column:
+    """For each bin of keys the level, 0 to 15, of the most frequent pair of some(hashes) in it; 16 bins in a long."""
+    pairs = some.select(_tagged(levels).alias("w")).select(F.explode(_zipped(F.col("w"), _pair)).alias("pair"))
+    found = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    packed = [0] * (PAIR_BINS // 16)
+    for r in found.orderBy(F.desc("n"), "pair").limit(COMMON).collect():
+        at, shift = divmod(r["pair"] % PAIR_BINS, 16)
+        level = max(packed[at] >> 4 * shift & 15, min(15, int(log2(r["n"] / OFTEN)) + 1))
+        packed[at] = packed[at] & ~(15 << 4 * shift) | level << 4 * shift
+    return F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in packed)), ",").cast("array<bigint>")
+
+
+def _often(pair: Column, common: Column) -> Column:
+    at = pair.bitwiseAND(F.lit(PAIR_BINS - 1))
+    nibble = F.call_function("shiftright", F.get(common, F.shiftright(at, 4).cast("int")), (at.bitwiseAND(F.lit(15)) * 4).cast("int"))
+    return nibble.bitwiseAND(F.lit(15))
+
+
+def _with_keys(lines: DataFrame, levels: Column, common: Column, least: float) -> DataFrame:
+    """lines(hashes) with size and keys, the first pairs of a line, those of rare words first and frequent ones last.
 
     T = most - 1 - 2 t pairs are common to lines of at most `most` words and t =
     most * (1 - least) edits, so the first 2 t + 1 - (most - n) of a line of n
@@ -111,16 +151,14 @@ def _with_keys(lines: DataFrame, levels: Column, least: float) -> DataFrame:
     under four words are similar only if their words are equal.
     Each step is a column of its own, as it is used more than once.
     """
-    mask = F.lit((1 << 31) - 1)
-    # A word's level goes to the lowest bits of its hash, so that a pair's level is a sum.
-    tagged = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(~63)).bitwiseOR(F.get(levels, _bin(F.shiftright(h, 6), BINS)).cast("long")))
-    level = lambda h: h.bitwiseAND(F.lit(63))
-    pairs = _zipped(F.col("_tagged"), lambda a, b: F.shiftleft(level(a) + level(b), 31) + F.xxhash64(a, b).bitwiseAND(mask))
+    mask = F.lit(_MASK)
+    pairs = _zipped(F.col("_tagged"), lambda a, b: F.shiftleft(_level(a) + _level(b), 31) + _pair(a, b))
+    pairs = F.transform(pairs, lambda p: F.shiftleft(_often(p, common), 38) + p)
     edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
     first = F.greatest(2 * edits(F.col("size")) + 1, 2 * edits(F.col("size") + 1))
     keys = F.array_distinct(F.transform(F.slice("_pairs", 1, first), lambda p: p.bitwiseAND(mask).cast("int")))
     whole = F.array(F.xxhash64("hashes").bitwiseAND(mask).cast("int"))
-    out = lines.select("*", F.size("hashes").alias("size"), tagged.alias("_tagged"))
+    out = lines.select("*", F.size("hashes").alias("size"), _tagged(levels).alias("_tagged"))
     out = out.withColumn("_pairs", F.sort_array(pairs))
     return out.withColumn("keys", F.when(F.col("size") < 4, whole).otherwise(keys)).drop("_tagged", "_pairs")
 
@@ -142,9 +180,10 @@ def occurrences(docs: DataFrame, id_col: str, text: str, least: float = SIMILARI
     lines = _lines(docs, id_col, text)
     some = cut(lines.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select("hashes"))
     levels = _table([min(31, round(log2(n + 1))) for n in _counts(some.select(F.explode("hashes").alias("x")).select(F.shiftright("x", 6).alias("x")), BINS)])
-    counts = _counts(_with_keys(some, levels, least).select(F.explode("keys").alias("x")), KEY_BINS)
+    common = _common(some, levels)
+    counts = _counts(_with_keys(some, levels, common, least).select(F.explode("keys").alias("x")), KEY_BINS)
     drop_scratch(some)
-    rows = _with_keys(lines, levels, least).select("id", "k1", "k2", "pos", "h1", "h2", "size", "keys", *_signature(F.col("hashes")))
+    rows = _with_keys(lines, levels, common, least).select("id", "k1", "k2", "pos", "h1", "h2", "size", "keys", *_signature(F.col("hashes")))
     return rows, [i for i, n in enumerate(counts) if n > sum(counts) * FREQUENT]
 
 
@@ -266,17 +305,20 @@ def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, freque
     groups = cut(components(first))
     rests = []
     for members in kept:
-        rows = members
-        for end in ("lid", "rep"):
-            of = groups.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-            rows = rows.join(maybe_broadcast(of, FEW), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-        rows = cut(rows)
-        pairs = _ends(rows.where("lid_root <> rep_root"), "a_", "lid_root", "rep").join(_ends(rows, "b_", "lid_root"), "key")
-        # Of two that are both outside their representative's group, the pair is met from both sides.
+        of = groups.select(F.col("node").alias("lid"), F.col("root").alias("lid_root"))
+        rows = cut(members.join(maybe_broadcast(of, FEW), "lid", "left").withColumn("lid_root", F.coalesce("lid_root", "lid")))
+        # Whatever group is taken for a block's main one, of two nodes of different groups one is outside it.
+        main = rows.groupBy("key", "lid_root").agg(F.count(F.lit(1)).alias("n"))
+        main = main.groupBy("key").agg(F.max(F.struct("n", "lid_root"))["lid_root"].alias("main"))
+        large = rows.groupBy("lid").agg(F.collect_set("key").alias("large"))
+        whole = cut(rows.join(main, "key").join(large, "lid"))
+        pairs = _ends(whole.where("lid_root <> main"), "a_", "lid_root", "rep", "large").join(_ends(whole, "b_", "lid_root", "large"), "key")
+        # Of two that are both outside the main group, the pair is met from both sides; in the first of their blocks only.
         pairs = pairs.where((F.col("a_lid_root") != F.col("b_lid_root")) & (F.col("b_lid") != F.col("a_rep")) & _may(least))
+        pairs = pairs.where(F.array_min(F.array_intersect("a_large", "b_large")) == F.col("key"))
         rests.append(cut(pairs.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b")).distinct()))
-        drop_scratch(members)
-        drop_scratch(rows)
+        for df in (members, rows, whole):
+            drop_scratch(df)
         release(spark)
     left = _closer(reduce(DataFrame.unionByName, rests).distinct(), nodes, least)
     second = _verified(left, nodes, docs, text, id_col, least).where("ok").select("a", "b")
