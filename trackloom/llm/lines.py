@@ -16,10 +16,9 @@ costs only.
 Nodes that meet are compared by a signature before their texts are fetched: 256
 bits, of which each word turns one over by its hash. An edit adds and removes one
 word at most, so linked lines' signatures differ in at most 2t bits; those of
-unrelated lines of up to some 250 words hardly ever do. The same signature
-folded to 64 bits travels with the keys and ends nearly all meetings of short
-lines where they happen; long lines' whole signatures join those keys that more
-than one line has. For the edit distance each word is a
+unrelated lines of up to some 250 words hardly ever do. The signature travels
+with the keys, folded to 128 bits in lines of under LONG words, and ends nearly
+all other meetings where they happen. For the edit distance each word is a
 letter, one of LETTERS by its hash.
 
 In a block of up to SMALL nodes all pairs are compared. In a larger one all are
@@ -54,14 +53,14 @@ LETTERS = 55_000
 BINS, SAMPLE = 1 << 14, 8
 #: Pairs of words that the sample has so often at least come last, the most frequent of them, at most COMMON; bins that tell them.
 OFTEN, COMMON, PAIR_BINS = 8, 1 << 13, 1 << 16
-#: Bins in which the sample's keys are counted, and the share of them from which a bin's blocks are counted first.
-KEY_BINS, FREQUENT = 1 << 12, 1 / 1000
+#: Bins in which the sample's keys are counted, the share of them from which a bin's blocks are counted first, and lines of the sample from which it is thinned for that.
+KEY_BINS, FREQUENT, THINNED = 1 << 12, 1 / 1000, 1 << 16
 #: Keys of nodes that are dealt out at a time, in so many slices at most.
 SLICE, MOST_SLICES = 8_000_000, 16
 #: Nodes of a block up to which all its pairs are compared at once.
 SMALL = 128
 #: Words from which the folded signature tells too little.
-LONG = 48
+LONG = 96
 #: Longs of a signature.
 SIGS = 4
 _WHITE = " \t\n\x0b\x0c\r"
@@ -152,8 +151,8 @@ def _with_keys(lines: DataFrame, levels: Column, common: Column, least: float) -
     Each step is a column of its own, as it is used more than once.
     """
     mask = F.lit(_MASK)
-    pairs = _zipped(F.col("_tagged"), lambda a, b: F.shiftleft(_level(a) + _level(b), 31) + _pair(a, b))
-    pairs = F.transform(pairs, lambda p: F.shiftleft(_often(p, common), 38) + p)
+    pairs = _zipped(F.col("_tagged"), lambda a, b: F.shiftleft(_level(a) + _level(b), 31).bitwiseOR(_pair(a, b)))
+    pairs = F.transform(pairs, lambda p: F.shiftleft(_often(p, common), 38).bitwiseOR(p))
     edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
     first = F.greatest(2 * edits(F.col("size")) + 1, 2 * edits(F.col("size") + 1))
     keys = F.array_distinct(F.transform(F.slice("_pairs", 1, first), lambda p: p.bitwiseAND(mask).cast("int")))
@@ -164,13 +163,15 @@ def _with_keys(lines: DataFrame, levels: Column, common: Column, least: float) -
 
 
 def _signature(hashes: Column) -> list[Column]:
-    """SIGS longs; a word turns over one bit of one of them."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-    of = lambda i: lambda a, h: F.when(F.shiftright(h, 26).bitwiseAND(F.lit(SIGS - 1)) == i, a.bitwiseXOR(bit(h))).otherwise(a)
-    return [F.aggregate(hashes, F.lit(0).cast("long"), of(i)).alias(s) for i, s in enumerate(_SIGS)]
+    """SIGS longs; a word turns over one bit of one of them. Each takes its own words only: a step of a lambda costs more than a filter."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda i: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 62) == i)
+    return [F.aggregate(of(i), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias(s) for i, s in enumerate(_SIGS)]
 
 
 _SIGS = [f"s{i}" for i in range(SIGS)]
+#: What of a signature travels with a key: its halves folded, and of LONG lines also one long of each, which tells the other.
+_FOLDED, _REST = ["s01", "s23"], ["s1", "s3"]
 
 
 def occurrences(docs: DataFrame, id_col: str, text: str, least: float = SIMILARITY) -> tuple[DataFrame, list[int]]:
@@ -181,18 +182,24 @@ def occurrences(docs: DataFrame, id_col: str, text: str, least: float = SIMILARI
     some = cut(lines.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select("hashes"))
     levels = _table([min(31, round(log2(n + 1))) for n in _counts(some.select(F.explode("hashes").alias("x")).select(F.shiftright("x", 6).alias("x")), BINS)])
     common = _common(some, levels)
-    counts = _counts(_with_keys(some, levels, common, least).select(F.explode("keys").alias("x")), KEY_BINS)
+    share = max(1, some.count() // THINNED)
+    few = some.where(F.pmod(F.xxhash64("hashes"), F.lit(share)) == 0) if share > 1 else some
+    counts = _counts(_with_keys(few, levels, common, least).select(F.explode("keys").alias("x")), KEY_BINS)
     drop_scratch(some)
     rows = _with_keys(lines, levels, common, least).select("id", "k1", "k2", "pos", "h1", "h2", "size", "keys", *_signature(F.col("hashes")))
     return rows, [i for i, n in enumerate(counts) if n > sum(counts) * FREQUENT]
 
 
-def _near(a: str, b: str, least: float, sigs: list[str]) -> Column:
-    """Whether lengths and signatures of a and b allow the similarity; whatever has it passes."""
+def _near(a: str, b: str, least: float, differ: list[Column]) -> Column:
+    """Whether lengths of a and b and the bits in which signatures differ allow the similarity; whatever has it passes."""
     la, lb = F.col(f"{a}size"), F.col(f"{b}size")
     most = F.floor(F.greatest(la, lb) * (1 - least) + 1e-9)
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in sigs), F.lit(0))
-    return (F.abs(la - lb) <= most) & (differ + F.abs(la - lb) <= 2 * most)
+    bits = reduce(lambda x, y: x + y, map(F.bit_count, differ))
+    return (F.abs(la - lb) <= most) & (bits + F.abs(la - lb) <= 2 * most)
+
+
+def _xors(a: str, b: str, sigs: list[str]) -> list[Column]:
+    return [F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in sigs]
 
 
 def letters(norm: Column) -> Column:
@@ -236,15 +243,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
 
 def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int = 0) -> DataFrame:
-    """(key, lid, size, sig, s0.., n, least): the nodes of each block with its size, of a slice's blocks of two and more; of those above SMALL also the least node.
+    """(key, lid, size, s01, s23, s1, s3, n, least): the nodes of each block with its size, of a slice's blocks of two and more; of those above SMALL also the least node.
 
-    sig is the signature folded to 64 bits, s0.. the whole one of lines of LONG words and more. Nearly all keys have one node, so
+    s01 and s23 are the signature's folded halves; s1 and s3 are null in lines of under LONG words. Nearly all keys have one node, so
     counting before dealing saves nothing but for the frequent ones.
     """
-    # Bits other than those of the bins of frequent keys, so that these spread over the slices.
-    keys = F.filter("keys", lambda k: F.pmod(F.shiftright(k, 12), F.lit(slices)) == slice_) if slices > 1 else F.col("keys")
-    sig = reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, _SIGS))
-    rows = nodes.select("lid", "size", sig.alias("sig"), F.explode(keys).alias("key"))
+    folded = [F.col("s0").bitwiseXOR(F.col("s1")).alias("s01"), F.col("s2").bitwiseXOR(F.col("s3")).alias("s23")]
+    rest = [F.when(F.col("size") >= LONG, F.col(s)).alias(s) for s in _REST]
+    rows = nodes.select("lid", "size", *folded, *rest, F.explode("keys").alias("key"))
+    if slices > 1:
+        # Bits other than those of the bins of frequent keys, so that these spread over the slices.
+        rows = rows.where(F.pmod(F.shiftright("key", 12), F.lit(slices)) == slice_)
     block, least = Window.partitionBy("key"), F.min("lid")
     few = rows
     if frequent:
@@ -254,20 +263,19 @@ def _members(nodes: DataFrame, frequent: list[int], slices: int = 1, slice_: int
     if frequent:
         sums = cut(many.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         out = out.unionByName(many.join(maybe_broadcast(sums, FEW), "key"))
-    out = out.select("key", "lid", "size", "sig", "n", F.when(F.col("n") > SMALL, F.col("least")).alias("least"))
-    whole = nodes.where(F.col("size") >= LONG).select("lid", *_SIGS)
-    return cut(out.join(whole, "lid", "left"))
+    return cut(out.select("key", "lid", "size", *_FOLDED, *_REST, "n", F.when(F.col("n") > SMALL, F.col("least")).alias("least")))
 
 
 def _ends(rows: DataFrame, a: str, *more: str) -> DataFrame:
-    """rows(key, lid, size, sig) as one end of a pair, its columns named by the prefix a."""
-    return rows.select("key", *(F.col(c).alias(f"{a}{c}") for c in ("lid", "size", "sig", *_SIGS, *more)))
+    """rows(key, lid, size, s01, ..) as one end of a pair, its columns named by the prefix a."""
+    return rows.select("key", *(F.col(c).alias(f"{a}{c}") for c in ("lid", "size", *_FOLDED, *_REST, *more)))
 
 
 def _may(least: float) -> Column:
     """Whether sizes and what is known of the signatures of a_ and b_ allow the similarity."""
-    both = F.col(f"a_{_SIGS[0]}").isNotNull() & F.col(f"b_{_SIGS[0]}").isNotNull()
-    return _near("a_", "b_", least, ["sig"]) & (~both | _near("a_", "b_", least, _SIGS))
+    folded, rest = _xors("a_", "b_", _FOLDED), _xors("a_", "b_", _REST)
+    whole = _near("a_", "b_", least, [*rest, *(x.bitwiseXOR(y) for x, y in zip(folded, rest))])
+    return _near("a_", "b_", least, folded) & F.coalesce(whole, F.lit(True))
 
 
 def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -275,7 +283,7 @@ def _closer(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     known = nodes.select("lid", "size", *_SIGS)
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("lid").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in known.columns[1:])), end)
-    return cut(pairs.where(_near("a_", "b_", least, _SIGS)).select("a", "b"))
+    return cut(pairs.where(_near("a_", "b_", least, _xors("a_", "b_", _SIGS))).select("a", "b"))
 
 
 def line_links(nodes: DataFrame, docs: DataFrame, text: str, id_col: str, frequent: list[int], least: float = SIMILARITY) -> DataFrame:
